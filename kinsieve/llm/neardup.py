@@ -31,6 +31,7 @@ SKETCH_BITS, CHUNK = 22, 1 << 16
 #: An n-gram with more holders than this (by the sketch) is spread over blocks of about this many.
 HOT_GRAM = 8192
 SLACK = 1e-9
+MATCH_STEP, MOST_MATCHES = 16, 12
 
 
 def _u64(x: int) -> np.uint64:
@@ -85,8 +86,15 @@ def signature(grams: np.ndarray) -> int:
     return int(np.int64(np.uint64(total & 0xFFFFFFFFFFFFFFFF)))
 
 
+def matches_needed(n):
+    """Common n-grams that the prefixes of a pair must have, by the size of the smaller set. Each one more lengthens the prefix by
+    one, and with it pairs that meet in a single phrase are no candidates."""
+    return np.clip(np.asarray(n) // MATCH_STEP, 1, MOST_MATCHES)
+
+
 def prefix_length(n: int, t: float) -> int:
-    return n - math.ceil(t * n - SLACK) + 1
+    """Of two sets with at least ceil(t * n) common members, the first n - ceil(t * n) + k share at least k."""
+    return min(n, n - math.ceil(t * n - SLACK) + int(matches_needed(n)))
 
 
 def _sketch(n: int, bits: int):
@@ -209,7 +217,10 @@ def _unpack(blob: bytes):
 
 
 def pairs_of_bucket(gram, name, size, at, side, t: float) -> Iterator[tuple[np.ndarray, ...]]:
-    """Pairs (name, size, name, size) of holders of the same n-gram that pass the length and positional filters."""
+    """(name, size, name, size, first) for each two holders of an n-gram that pass the length and positional filters.
+
+    ``first`` says that the match may be the pair's first one, which every similar pair has.
+    """
     by = np.lexsort((name, size, gram))
     gram, name, size, at, side = gram[by], name[by], size[by], at[by], side[by]
     fresh = np.ones(len(gram), bool)
@@ -224,25 +235,31 @@ def pairs_of_bucket(gram, name, size, at, side, t: float) -> Iterator[tuple[np.n
         alive = (gram[first] == gram[second]) & (size[first] >= np.ceil(t * size[second] - SLACK))  # sizes ascend: length filter
         first, second = first[alive], second[alive]
         need = np.ceil(t / (1 + t) * (size[first].astype(np.int64) + size[second]) - SLACK)
-        bound = np.minimum(size[first] - at[first], size[second] - at[second])
-        good = (bound >= need) & ((side[first] == 0) | (side[first] != side[second]))
+        rest = np.minimum(size[first] - at[first], size[second] - at[second])
+        good = (rest + np.minimum(at[first], at[second]) >= need) & ((side[first] == 0) | (side[first] != side[second]))
         if good.any():
-            yield name[first[good]], size[first[good]], name[second[good]], size[second[good]]
+            yield name[first[good]], size[first[good]], name[second[good]], size[second[good]], (rest >= need)[good]
         step += 1
 
 
+_MATCHES = "a bigint, a_size int, b bigint, b_size int, matches bigint, first boolean"
+
+
 def _joined(t: float):
-    """Buckets, each wholly in one group -> candidate pairs of classes."""
+    """Buckets, each wholly in one group -> pairs of classes with the number of their matches in the bucket."""
 
     def run(table):
         columns = [np.concatenate(c) for c in zip(*map(_unpack, table.column("blob").to_pylist()))]
         out = []
-        for found in pairs_of_bucket(*columns, t):
-            swap = (found[0] > found[2]) | ((found[0] == found[2]) & (found[1] > found[3]))
-            a, sa, b, sb = (np.where(swap, x, y) for x, y in ((found[2], found[0]), (found[3], found[1]), (found[0], found[2]), (found[1], found[3])))
-            out.append(np.unique(np.stack([a, sa, b, sb]), axis=1))
-        rows = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.empty((4, 0), np.int64)
-        return pa.table({"a": pa.array(rows[0], pa.int64()), "a_size": pa.array(rows[1], pa.int32()), "b": pa.array(rows[2], pa.int64()), "b_size": pa.array(rows[3], pa.int32())})
+        for x, sx, y, sy, first in pairs_of_bucket(*columns, t):
+            swap = (x > y) | ((x == y) & (sx > sy))
+            ends = (np.where(swap, y, x), np.where(swap, sy, sx), np.where(swap, x, y), np.where(swap, sx, sy))
+            out.append(pa.table([*ends, first], names=["a", "a_size", "b", "b_size", "first"]))
+        keys = ["a", "a_size", "b", "b_size"]
+        if not out:
+            return pa.table({"a": pa.array([], pa.int64()), "a_size": pa.array([], pa.int32()), "b": pa.array([], pa.int64()), "b_size": pa.array([], pa.int32()), "matches": pa.array([], pa.int64()), "first": pa.array([], pa.bool_())})
+        found = pa.concat_tables(out).group_by(keys).aggregate([("first", "count"), ("first", "max")])
+        return found.rename_columns({"first_count": "matches", "first_max": "first"}).select([*keys, "matches", "first"])
 
     return run
 
@@ -301,8 +318,10 @@ def similar_classes(records: DataFrame, row_id: str, text: Column, n: int = 5, t
     members = counted.where(F.col("chunk").isNull()).select(F.col("id").alias("row_id"), "name", "size")
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     packed = base.mapInArrow(_prefixes(n, t, sketch_bits, buckets, hot, order), "bucket int, blob binary")
-    pairs = packed.groupBy("bucket").applyInArrow(_joined(t), "a bigint, a_size int, b bigint, b_size int")
-    candidates = written(pairs.distinct())
+    pairs = packed.groupBy("bucket").applyInArrow(_joined(t), _MATCHES)
+    met = pairs.groupBy("a", "a_size", "b", "b_size").agg(F.sum("matches").alias("matches"), F.max("first").alias("first"))
+    needed = F.greatest(F.lit(1), F.least(F.lit(MOST_MATCHES), F.floor(F.least("a_size", "b_size") / MATCH_STEP)))
+    candidates = written(met.where(F.col("first") & (F.col("matches") >= needed)).select("a", "a_size", "b", "b_size"))
     ends = candidates.select(F.col("a").alias("name"), F.col("a_size").alias("size")).unionByName(candidates.select(F.col("b").alias("name"), F.col("b_size").alias("size"))).distinct()
     chosen = members.groupBy("name", "size").agg(F.min("row_id").alias("id")).join(ends, ["name", "size"])
     texts = written(base.join(chosen, "id").select("name", "size", "text").dropDuplicates(["name", "size"]))
