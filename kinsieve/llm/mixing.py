@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 from kinsieve.plans.lineage import written
 
 #: Bins of the keys per source. Tokens are summed by bin, and only the bin on the budget's edge is sorted.
-BINS = 4096
+BINS = 1024
 
 
 def clean_source(source: Column) -> Column:
