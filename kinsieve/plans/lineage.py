@@ -38,18 +38,19 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def lookup(left: DataFrame, mapping: DataFrame, key: str, hot_above: int) -> DataFrame:
+def lookup(left: DataFrame, mapping: DataFrame, key: str, hot_above: int, hottest: int | None = None) -> DataFrame:
     """Inner join of ``left`` with ``mapping`` on ``key`` that tolerates hot keys.
 
     ``mapping`` has one row per key, a column ``weight`` with the number of ``left`` rows of that key, and
     value columns. Keys with ``weight > hot_above`` are broadcast: with N rows in ``left`` there are fewer than
-    N / hot_above of them, so the caller bounds the broadcast through ``hot_above``. Other keys are shuffled.
+    N / hot_above of them, so the caller bounds the broadcast through ``hot_above``. Other keys are shuffled. A caller that
+    knows the greatest weight gives it as ``hottest`` and spares a look at the mapping.
     """
     values = [c for c in mapping.columns if c not in (key, "weight")]
     hot = mapping.where(F.col("weight") > hot_above).drop("weight")
     cold = mapping.where(F.col("weight") <= hot_above).drop("weight")
-    if hot.isEmpty():
-        return left.join(cold, key)
+    if hot.isEmpty() if hottest is None else hottest <= hot_above:
+        return left.join(mapping.drop("weight"), key)
     marked = hot.select(key, F.struct(*values).alias("__hot"))
     tagged = left.join(F.broadcast(marked), key, "left")
     keep = [F.col(c) for c in left.columns]
