@@ -52,7 +52,7 @@ def contract(edges: DataFrame, seed: int = 0, max_rounds: int = 200) -> DataFram
     hashable type. Hub vertices are pre-aggregated map-side and their relabelling is a bounded broadcast (``lookup``).
     """
     live = cut(_undirected(edges.select("a", "b")))
-    maps: list[DataFrame] = []
+    maps: list[tuple[DataFrame, int]] = []
     count = live.count()
     while count:
         if len(maps) >= max_rounds:
@@ -61,22 +61,22 @@ def contract(edges: DataFrame, seed: int = 0, max_rounds: int = 200) -> DataFram
         both = live.select("a", "b").unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hooks = both.groupBy("a").agg(F.min(order(F.col("b"))).alias("m"), F.count(F.lit(1)).alias("weight"))
         hooks = cut(hooks.select(F.col("a").alias("vertex"), F.least(F.col("m"), order(F.col("a")))["v"].alias("to"), "weight"))
-        maps.append(hooks)
+        vertices, hottest = hooks.agg(F.count(F.lit(1)), F.max("weight")).head()
+        maps.append((hooks, vertices))
         above = _hot_above(count)
-        step = lookup(live.withColumnRenamed("a", "vertex"), hooks, "vertex", above).select(F.col("to").alias("a"), F.col("b").alias("vertex"))
-        step = lookup(step, hooks, "vertex", above).select("a", F.col("to").alias("b"))
+        step = lookup(live.withColumnRenamed("a", "vertex"), hooks, "vertex", above, hottest).select(F.col("to").alias("a"), F.col("b").alias("vertex"))
+        step = lookup(step, hooks, "vertex", above, hottest).select("a", F.col("to").alias("b"))
         live = cut(_undirected(step))
         count = live.count()
     if not maps:
         return live.select(F.col("a").alias("vertex"), F.col("b").alias("root"))
-    roots = maps[-1].select("vertex", F.col("to").alias("root"))
-    for earlier in reversed(maps[:-1]):
+    roots = maps[-1][0].select("vertex", F.col("to").alias("root"))
+    for earlier, vertices in reversed(maps[:-1]):
         # a vertex that later rounds don't know was alone after its round: its hook is its root
         weights = earlier.groupBy("to").agg(F.count(F.lit(1)).alias("weight"))
-        rows = earlier.select("vertex", "to")
         known = roots.select(F.col("vertex").alias("to"), "root")
-        sized = weights.join(known, "to", "left").select("to", F.coalesce("root", "to").alias("root"), "weight")
-        roots = cut(lookup(rows, sized, "to", _hot_above(rows.count())).select("vertex", "root"))
+        sized = cut(weights.join(known, "to", "left").select("to", F.coalesce("root", "to").alias("root"), "weight"))
+        roots = lookup(earlier.select("vertex", "to"), sized, "to", _hot_above(vertices)).select("vertex", "root")
     return roots
 
 
