@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinsieve.functions.text import lines, stripped
@@ -26,6 +26,11 @@ def names_entry_point(function: Column) -> Column:
     return function.isin(*ENTRY_POINTS)
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)``, with the value worked out once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _without_brackets(text: Column, opening: str, closing: str) -> Column:
     """Drops bracketed parts by depth: a closing sign at depth 0 stays, an opening one never closed drops the rest."""
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("depth"))
@@ -43,10 +48,12 @@ def _without_brackets(text: Column, opening: str, closing: str) -> Column:
 
 def bare_function_name(name: Column) -> Column:
     """The last plain part of a qualified name without template arguments, parameters and qualifiers."""
-    plain = F.regexp_replace(_without_brackets(_without_brackets(F.coalesce(name, F.lit("")), "<", ">"), "(", ")"), " const", "")
-    token = F.regexp_extract(stripped(plain), r"(?U)(\S*)$", 1)
-    parts = F.filter(F.split(token, "::"), lambda p: (p != "") & ~p.contains("lambda") & ~p.rlike("^(operator|'|\\{)"))
-    return F.coalesce(F.try_element_at(parts, F.lit(-1)), F.lit(""))
+    def last_part(plain):
+        token = F.regexp_extract(stripped(F.regexp_replace(plain, " const", "")), r"(?U)(\S*)$", 1)
+        parts = F.filter(F.split(token, "::"), lambda p: (p != "") & ~p.contains("lambda") & ~p.rlike("^(operator|'|\\{)"))
+        return F.coalesce(F.try_element_at(parts, F.lit(-1)), F.lit(""))
+
+    return _let(F.coalesce(name, F.lit("")), lambda n: _let(_without_brackets(n, "<", ">"), lambda m: _let(_without_brackets(m, "(", ")"), last_part)))
 
 
 def crash_type(report: Column) -> Column:
@@ -56,32 +63,41 @@ def crash_type(report: Column) -> Column:
     return F.coalesce(F.nullif(summary, F.lit("")), headline, F.lit(""))
 
 
-def first_stack(report: Column) -> Column:
-    """The trimmed frame lines of the first stack: the first run of lines of the form ``#n 0xaddress in ...``."""
-    rows = lines(report)
-    is_frame = lambda line: line.rlike(r"^\s*#\d+ 0x[0-9a-f]+ in ")
-    marks = F.transform(rows, lambda line: F.when(is_frame(line), F.lit(1)).otherwise(F.lit(0)))
-    start = F.array_position(marks, 1)
-    tail = F.slice(marks, F.greatest(start, F.lit(1)).cast("int"), F.size(marks))
-    length = F.when(F.array_position(tail, 0) > 0, F.array_position(tail, 0) - 1).otherwise(F.size(tail))
-    found = F.slice(rows, F.greatest(start, F.lit(1)).cast("int"), length.cast("int"))
-    return F.when(start > 0, F.transform(found, stripped)).otherwise(F.array().cast("array<string>"))
+_FRAME = r"^\s*#\d+ 0x[0-9a-f]+ in "
+_FRAME_PARTS = r"^#\d+ 0x[0-9a-f]+ in (.+?) (\S+)\s*$"
+_RUNTIME = "^(" + "|".join(RUNTIME_PREFIXES) + ")"
+
 
+def _is_own(frame: Column) -> Column:
+    """Symbolised, and neither of the runtime nor of the system's libraries."""
+    place = F.regexp_extract(frame, _FRAME_PARTS, 2)
+    system = place.startswith("(")
+    for s in SYSTEM_PLACES:
+        system = system | place.contains(s)
+    return frame.rlike(_FRAME_PARTS) & ~F.regexp_extract(frame, _FRAME_PARTS, 1).rlike(_RUNTIME) & ~system
 
-def top_project_frame(report: Column) -> Column:
-    """The bare name of the first symbolised frame outside the runtime and the system's libraries, else ''."""
-    form = r"^#\d+ 0x[0-9a-f]+ in (.+?) (\S+)\s*$"
 
-    def own(frame):
-        name, place = F.regexp_extract(frame, form, 1), F.regexp_extract(frame, form, 2)
-        runtime = name.rlike("^(" + "|".join(RUNTIME_PREFIXES) + ")")
-        system = place.startswith("(")
-        for s in SYSTEM_PLACES:
-            system = system | place.contains(s)
-        return frame.rlike(form) & ~runtime & ~system
+def with_report(rows: DataFrame, report: str, prefix: str = "") -> DataFrame:
+    """``rows`` with what a report says: crash_type, sanitizer, stack and top_frame, each name after ``prefix``.
 
-    frames = F.filter(first_stack(report), own)
-    return bare_function_name(F.regexp_extract(F.try_element_at(frames, F.lit(1)), form, 1))
+    stack holds the trimmed frame lines of the first stack: the first run of lines of the form ``#n 0xaddress in ...``. top_frame
+    is the bare name of the first symbolised frame outside the runtime and the system's libraries, else ''. The parts are made
+    in steps, so that no step is worked out twice.
+    """
+    text = F.coalesce(F.col(f"`{report}`"), F.lit(""))
+    step = rows.withColumn("__lines", lines(text))
+    step = step.withColumn("__marks", F.transform("__lines", lambda line: line.rlike(_FRAME)))
+    step = step.withColumn("__start", F.array_position("__marks", True).cast("int"))
+    step = step.withColumn("__tail", F.slice("__marks", F.greatest("__start", F.lit(1)), F.size("__marks")))
+    step = step.withColumn("__stop", F.array_position("__tail", False).cast("int"))
+    length = F.when(F.col("__start") == 0, 0).when(F.col("__stop") > 0, F.col("__stop") - 1).otherwise(F.size("__tail"))
+    stack = F.transform(F.slice("__lines", F.greatest("__start", F.lit(1)), length), stripped)
+    step = step.withColumn(f"{prefix}stack", stack)
+    step = step.withColumn("__own", F.try_element_at(F.filter(f"{prefix}stack", _is_own), F.lit(1)))
+    step = step.withColumn("__name", F.regexp_extract("__own", _FRAME_PARTS, 1))
+    step = step.withColumn(f"{prefix}top_frame", bare_function_name(F.col("__name")))
+    step = step.withColumn(f"{prefix}crash_type", crash_type(text)).withColumn(f"{prefix}sanitizer", sanitizer(text))
+    return step.drop("__lines", "__marks", "__start", "__tail", "__stop", "__own", "__name")
 
 
 def sanitizer(report: Column) -> Column:
@@ -120,14 +136,11 @@ def grade_rank(grade: Column) -> Column:
     return F.array_position(F.array(*[F.lit(g) for g in GRADES]), grade)
 
 
-def crash_grade(report_a: Column, report_b: Column) -> Column:
-    """Two reports compared by crash type and top frame of the project: six grades."""
-    type_a, frame_a, frame_b = F.lower(crash_type(report_a)), top_project_frame(report_a), top_project_frame(report_b)
-    return grade_of(type_a, F.lower(crash_type(report_b)), frame_a, frame_b)
-
-
 def grade_of(type_a: Column, type_b: Column, frame_a: Column, frame_b: Column) -> Column:
-    """``crash_grade`` of values that are parsed already: parse every report once, then compare pairs."""
+    """Two reports compared by lower-case crash type and top frame of the project: six grades.
+
+    It takes parsed values, so that every report is parsed once, whatever the number of pairs.
+    """
     same_type = (type_a != "") & (type_a == type_b)
     both, same_frame = (frame_a != "") & (frame_b != ""), frame_a == frame_b
     return (

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinsieve.functions.crash import crash_type, first_stack, grade_rank, names_entry_point, spec_grade
+from kinsieve.functions.crash import grade_rank, names_entry_point, spec_grade, with_report
 from kinsieve.operators import keys, overlap, patches, presence, splits, stats
 
 
@@ -25,8 +25,9 @@ def bug_audit(train: DataFrame, bench: DataFrame, mapping: DataFrame, texts: boo
     shared = keys.bug_overlap(train, bench).cache()
 
     def crash():
-        reports = bench.groupBy("bug").agg(F.min_by("report", "pos").alias("report")).withColumn("frames", first_stack(F.col("report"))).withColumn("report_type", crash_type(F.col("report")))
-        graded = train.join(reports.select("bug", "frames", "report_type"), "bug").withColumn("grade", spec_grade(F.col("function"), F.col("type"), F.col("file"), F.col("frames"), F.col("report_type")))
+        reports = bench.groupBy("bug").agg(F.min_by("report", "pos").alias("report"))
+        parsed = with_report(reports, "report").select("bug", F.col("stack").alias("frames"), F.col("crash_type").alias("report_type"))
+        graded = train.join(parsed, "bug").withColumn("grade", spec_grade(F.col("function"), F.col("type"), F.col("file"), F.col("frames"), F.col("report_type")))
         return graded.groupBy("bug").agg(F.min_by("grade", grade_rank(F.col("grade"))).alias("grade")).groupBy("grade").count()
 
     return sections(

@@ -451,7 +451,7 @@ def no_fix_reasons(spark, folder):
 
 
 def _parsed_reports(rows: DataFrame, key: str, report: str) -> DataFrame:
-    return rows.select(F.col(key), crash.crash_type(F.col(report)).alias("crash_type"), crash.sanitizer(F.coalesce(F.col(report), F.lit(""))).alias("sanitizer"), F.size(crash.first_stack(F.col(report))).alias("frames"), crash.top_project_frame(F.col(report)).alias("top_frame"))
+    return crash.with_report(rows.select(key, report), report).select(key, "crash_type", "sanitizer", F.size("stack").alias("frames"), "top_frame")
 
 
 @query
@@ -466,8 +466,10 @@ def crash_reports_sec(spark, folder):
 
 def _reports_by_project(spark, folder) -> tuple[DataFrame, DataFrame]:
     t = Tables(spark, folder)
-    a = t("sec_bench").select("sec_id", F.lower(ids.project_of(F.col("instance_id"))).alias("project"), F.lower(crash.crash_type(F.col("sanitizer_report"))).alias("a_type"), crash.top_project_frame(F.col("sanitizer_report")).alias("a_frame"))
-    b = t("cybergym").select("row_id", F.lower(F.trim("project_name")).alias("project"), F.lower(crash.crash_type(F.col("error_txt"))).alias("b_type"), crash.top_project_frame(F.col("error_txt")).alias("b_frame"))
+    sec = t("sec_bench").select("sec_id", F.lower(ids.project_of(F.col("instance_id"))).alias("project"), "sanitizer_report")
+    a = crash.with_report(sec, "sanitizer_report").select("sec_id", "project", F.lower("crash_type").alias("a_type"), F.col("top_frame").alias("a_frame"))
+    cyber = t("cybergym").select("row_id", F.lower(F.trim("project_name")).alias("project"), "error_txt")
+    b = crash.with_report(cyber, "error_txt").select("row_id", "project", F.lower("crash_type").alias("b_type"), F.col("top_frame").alias("b_frame"))
     return a, b
 
 
@@ -509,7 +511,7 @@ def control_cross_matched(spark, folder):
 def spec_grades(spark, folder):
     t = Tables(spark, folder)
     reports = t.bench().where("bug is not null").groupBy("bug").agg(F.min_by("report", "pos").alias("report"))
-    reports = reports.select("bug", crash.first_stack(F.col("report")).alias("frames"), crash.crash_type(F.col("report")).alias("report_type"))
+    reports = crash.with_report(reports, "report").select("bug", F.col("stack").alias("frames"), F.col("crash_type").alias("report_type"))
     graded = t.train().join(reports, "bug").withColumn("grade", crash.spec_grade(F.col("function"), F.col("type"), F.col("file"), F.col("frames"), F.col("report_type")))
     return graded.groupBy("bug").agg(F.min_by("grade", crash.grade_rank(F.col("grade"))).alias("best_grade"))
 
@@ -526,10 +528,15 @@ def description_names_function(spark, folder):
 @query
 def related_bugs(spark, folder):
     t = Tables(spark, folder)
-    top = lambda r: F.filter(F.array(crash.top_project_frame(F.col(r))), lambda f: f != "")
-    sign = lambda project, r: F.when(F.size(top(r)) > 0, F.struct(project.alias("project"), F.lower(crash.crash_type(F.col(r))).alias("type"), top(r).alias("frames")))
-    a = t("sec_bench").select(F.col("sec_id").alias("id"), crash.fix_commits(F.concat_ws(" ", "patch", "bug_report")).alias("commits"), sign(F.lower(ids.project_of(F.col("instance_id"))), "sanitizer_report").alias("signature"))
-    b = t("cybergym").select(F.col("row_id").alias("id"), crash.fix_commits(F.col("vulnerability_description")).alias("commits"), sign(F.lower(F.trim("project_name")), "error_txt").alias("signature"))
+    x, y = _reports_by_project(spark, folder)
+
+    def sign(kind: str, frame: str) -> Column:
+        return F.when(F.col(frame) != "", F.struct("project", F.col(kind).alias("type"), F.array(frame).alias("frames"))).alias("signature")
+
+    sec = t("sec_bench").select("sec_id", crash.fix_commits(F.concat_ws(" ", "patch", "bug_report")).alias("commits"))
+    cyber = t("cybergym").select("row_id", crash.fix_commits(F.col("vulnerability_description")).alias("commits"))
+    a = x.join(sec, "sec_id").select(F.col("sec_id").alias("id"), "commits", sign("a_type", "a_frame"))
+    b = y.join(cyber, "row_id").select(F.col("row_id").alias("id"), "commits", sign("b_type", "b_frame"))
     return keys.related(a, b)
 
 

@@ -123,7 +123,7 @@ def json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def text_files(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """(id, text) of files ``folder/<id>/<name>``: whole texts, undecodable bytes replaced; a missing file has no row."""
     rows = spark.read.format("binaryFile").option("pathGlobFilter", name).option("recursiveFileLookup", "true").load(folder)
-    return rows.select(F.regexp_extract(F.col("path"), "([^/]+)/[^/]+$", 1).alias("id"), F.decode("content", F.lit("UTF-8")).alias("text"))
+    return rows.select(F.regexp_extract(F.col("path"), "([^/]+)/[^/]+$", 1).alias("id"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
 def bug_records(spark: SparkSession, folder: str) -> DataFrame:
