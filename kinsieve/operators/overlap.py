@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kinsieve.functions.text import ngrams, words
+from kinsieve.plans.lineage import spread
 
 #: A table of n-grams is broadcast up to this many rows; beyond, the join shuffles.
 BROADCAST_GRAMS = 200_000
@@ -14,7 +15,7 @@ BROADCAST_GRAMS = 200_000
 
 def gram_rows(rows: DataFrame, key: str, text: str, n: int) -> DataFrame:
     """(key, gram): the distinct n-grams of each key's text."""
-    return rows.select(F.col(key), words(F.col(text)).alias("w")).select(key, F.explode(ngrams(F.col("w"), n)).alias("gram"))
+    return spread(rows.select(key, text)).select(key, words(F.col(text)).alias("w")).select(key, F.explode(ngrams(F.col("w"), n)).alias("gram"))
 
 
 def ngram_matches(train: DataFrame, train_id: str, train_text: str, bench: DataFrame, bench_id: str, bench_text: str, n: int, boilerplate: DataFrame | None = None) -> DataFrame:

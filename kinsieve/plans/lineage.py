@@ -57,3 +57,13 @@ def lookup(left: DataFrame, mapping: DataFrame, key: str, hot_above: int, hottes
     direct = tagged.where(F.col("__hot").isNotNull()).select(*keep, *[F.col(f"__hot.{v}").alias(v) for v in values])
     rest = tagged.where(F.col("__hot").isNull()).select(*keep).join(cold, key)
     return direct.unionByName(rest.select(*direct.columns))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, where its files give fewer partitions than there are cores; else as it is.
+
+    For small tables with costly work per row. What is shuffled is at most a partition's size for each core, and nothing
+    where a table has many files or splits.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
