@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinsieve.llm.plaintext import _INVISIBLE, _MARKS, LOOKALIKES
+from kinsieve.plans.lineage import spread
 
 #: Labelled documents on which the model is trained, chosen by hash if there are more.
 FIT_DOCS = 6_000
@@ -262,7 +263,7 @@ def scores(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = (), most:
                 total, offending, worst, top = score(held.value, reader, part.column(0).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(total), pa.array(offending), pa.array(worst, pa.string()), pa.array(top)], [*batch.schema.names[1:], "score", "offending", "worst", "worst_score"])
 
-    return chosen.mapInArrow(run, schema)
+    return spread(chosen).mapInArrow(run, schema)
 
 
 def rates(scored: DataFrame, source: Column | str = "source", threshold: float = 0.5) -> DataFrame:

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinsieve.plans.lineage import spread
+
 _WORD = re.compile(r"\w+")
 #: Terms that a task holds before it hands its counters on; exact at any value, as hand-over is between records.
 HELD_TERMS = 300_000
@@ -55,7 +57,7 @@ def term_counts(records: DataFrame, text: str) -> DataFrame:
     Words are maximal runs of Unicode letters, digits and ``_`` of the lower-cased text. Null texts and texts without a word
     count nothing; equal rows count each; an empty table gives no rows. Texts are read whole, however long.
     """
-    part = records.select(F.col(f"`{text}`").cast("string").alias("t")).mapInArrow(_counted, "term string, occurrences bigint, reports bigint")
+    part = spread(records.select(F.col(f"`{text}`").cast("string").alias("t"))).mapInArrow(_counted, "term string, occurrences bigint, reports bigint")
     return part.groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("reports").alias("reports"))
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinsieve.llm.plaintext import plain
-from kinsieve.plans.lineage import written
+from kinsieve.plans.lineage import spread, written
 
 _WORD = re.compile(r"\w+")
 #: Words in a passage of an item and between two of them; of a document, which holds an item's passage whole with two words more.
@@ -301,7 +301,7 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
         return spark.createDataFrame([], schema)
     number = spark.sparkContext.broadcast(known.number)
     base = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text")).where(F.col("text") != "")
-    coded = written(base.mapInArrow(_numbered(number), "doc_id bigint, ids binary"))
+    coded = written(spread(base).mapInArrow(_numbered(number), "doc_id bigint, ids binary"))
     held, total = _document_frequencies(coded, len(known.number))
     # a word is weighed by its rarity in the documents and among the items
     among = np.zeros(len(held))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinsieve.plans.lineage import cut, written
+from kinsieve.plans.lineage import cut, spread, written
 
 _WORD = re.compile(r"\w+")
 #: Counters of the sketch (4 bytes each in a task, 1 byte when broadcast): a fixed size, whatever the data.
@@ -312,7 +312,7 @@ def similar_classes(records: DataFrame, row_id: str, text: Column, n: int = 5, t
     read whole. Equal rows are members of one class each; ``records`` may have any other columns.
     """
     spark = records.sparkSession
-    base = records.select(F.col(f"`{row_id}`").cast("bigint").alias("id"), text.alias("text"))
+    base = spread(records.select(F.col(f"`{row_id}`").cast("bigint").alias("id"), text.alias("text")))
     counted = written(base.mapInArrow(_sketch(n, sketch_bits), _SKETCH_SCHEMA))
     order = spark.sparkContext.broadcast(_order(counted, sketch_bits))
     members = counted.where(F.col("chunk").isNull()).select(F.col("id").alias("row_id"), "name", "size")

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinsieve.plans.lineage import spread
+
 #: Where the tokenizers' files lie; a rank file of a byte-level BPE is read.
 TOKENIZER_FOLDER = os.environ.get("TOKENIZER_FOLDER", "/opt/tokenizers")
 TOKENIZER_FILE = "byte_bpe_50k.tiktoken"
@@ -63,4 +65,4 @@ def token_sizes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", kee
             arrays = batch.columns[1:] + [pa.array([len(t) for t in texts], pa.int64()), pa.array([size_of(t, path) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names[1:], "chars", "tokens"])
 
-    return chosen.mapInArrow(sized, schema.add("chars", "long").add("tokens", "long"))
+    return spread(chosen).mapInArrow(sized, schema.add("chars", "long").add("tokens", "long"))
