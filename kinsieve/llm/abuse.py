@@ -68,8 +68,16 @@ def sentences(text: str) -> list[str]:
     return [s for s in _SENTENCE.split(text) if s and not s.isspace()]
 
 
-def _joined(sentence: str) -> str:
-    return _SPACED.sub(lambda m: m[0].replace(m[1], "") if m[1] != m[0][0] else m[0], sentence)
+def _joined(sentence: str, known=()) -> str:
+    """Single letters with one and the same sign between them as one word; a one-letter word before ``known`` ones stays apart."""
+
+    def join(m: re.Match) -> str:
+        word = m[0].replace(m[1], "")
+        if m[1] == " " and word[1:] in known and word not in known:
+            return f"{word[0]} {word[1:]}"
+        return word
+
+    return _SPACED.sub(join, sentence)
 
 
 class Reader:
@@ -106,7 +114,7 @@ class Reader:
         return 0
 
     def __call__(self, sentence: str) -> list[int]:
-        return list(map(self.number, _TOKEN.findall(_joined(sentence))))
+        return list(map(self.number, _TOKEN.findall(_joined(sentence, self.known))))
 
 
 def words_of(sentence: str) -> list[str]:

@@ -33,8 +33,9 @@ ITEM_WORDS, ITEM_STEP, DOC_WORDS, DOC_STEP = 10, 5, 24, 12
 RANK, OVERSAMPLE, THRESHOLD = 256, 16, 0.3
 #: Documents, chosen by hash, on whose passages the latent space is fitted (frequencies and the search cover all of them).
 FIT_DOCS = 10_000
-#: Logarithm of the rarity from which on a word has weight: words in more than one document in twelve have none.
-COMMON_IDF = 2.5
+#: Logarithm of the rarity from which on a word has weight, in a corpus of LARGE texts or more: words in more than one document in
+#: twelve have none. It shrinks with the logarithm of smaller corpora, in which a leak alone makes a word frequent.
+COMMON_IDF, LARGE = 2.5, 100_000
 #: An item's passage that weighs less than this share of the median isn't searched for, as its neighbours cover its words.
 LIGHT = 0.25
 #: A word is an item's own if it stands in at most so many items.
@@ -307,7 +308,9 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
     among = np.zeros(len(held))
     for ids in known.ids.values():
         among[np.unique(ids)] += 1
-    weight = np.maximum(np.log((total + len(known.ids) + 1) / (held + among + 0.5)) - COMMON_IDF, 0)
+    texts = total + len(known.ids) + 1
+    common = COMMON_IDF * min(1.0, np.log(texts) / np.log(LARGE))
+    weight = np.maximum(np.log(texts / (held + among + 0.5)) - common, 0)
     if not weight.any():  # a handful of documents: every word counts alike
         weight = np.ones(len(weight))
     basis = latent(coded, known, weight, rank, total=total)
