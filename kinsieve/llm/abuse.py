@@ -25,6 +25,8 @@ from kinsieve.plans.lineage import spread
 FIT_DOCS = 6_000
 #: Shares of labels that are wrong, assumed of the raters: harmless documents labelled, abusive ones not.
 FALSE_ALARM, MISSED = 0.06, 0.12
+#: A word or pair may speak for abuse if this share of its documents is labelled so, and so many deviations more than of all.
+TELLING_SHARE, TELLING_Z = 0.5, 2.8
 #: Logit of a sentence without any known word, and what a word or pair of the lexicon, and a masked word, add to it at first.
 BIAS, LEXICON_WEIGHT, MASK_WEIGHT = -6.5, 4.5, 3.0
 
@@ -46,13 +48,13 @@ _SENTENCE = re.compile(r"(?<=[.!?])[\"')\]]*\s+|\n+|</?p>|<br ?/?>")
 _TOKEN = re.compile(r"[^\W_][\w*+$@!|]*")
 _LEET = str.maketrans({"4": "a", "@": "a", "5": "s", "$": "s", "1": "i", "!": "i", "|": "i", "0": "o", "3": "e", "7": "t", "+": "t", "8": "b", "9": "g"})
 _LEET_L = str.maketrans({"4": "a", "@": "a", "5": "s", "$": "s", "1": "l", "!": "l", "|": "l", "0": "o", "3": "e", "7": "t", "+": "t", "8": "b", "9": "g"})
-_RUN = re.compile(r"(.)\1+")
+_RUN = re.compile(r"(.)\1{2,}")
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
-def _squeezed(word: str) -> str:
-    """Repeated letters once, so that stretched and plain spellings meet."""
-    return _RUN.sub(r"\1", word)
+def _squeezed(word: str, to: str = r"\1") -> str:
+    """Letters repeated three times or more once (or as often as ``to`` says), so that stretched and plain spellings meet."""
+    return _RUN.sub(to, word)
 
 
 def clear_text(text: str) -> str:
@@ -69,13 +71,15 @@ def sentences(text: str) -> list[str]:
 
 
 def _joined(sentence: str, known=()) -> str:
-    """Single letters with one and the same sign between them as one word; a one-letter word before ``known`` ones stays apart."""
+    """Single letters with one and the same sign between them as one word; a one-letter word next to a ``known`` one stays apart."""
 
     def join(m: re.Match) -> str:
         word = m[0].replace(m[1], "")
-        if m[1] == " " and word[1:] in known and word not in known:
+        if m[1] != " " or word in known:
+            return word
+        if word[1:] in known:
             return f"{word[0]} {word[1:]}"
-        return word
+        return f"{word[:-1]} {word[-1]}" if word[:-1] in known else word
 
     return _SPACED.sub(join, sentence)
 
@@ -108,9 +112,9 @@ class Reader:
             return self.masks.get((bare[0], bare[-1], len(bare)), 1)
         for form in (token.rstrip("!"), token.translate(_LEET), token.translate(_LEET_L), token.rstrip("!").translate(_LEET)):
             if form.isalpha():
-                n = self.known.get(_squeezed(form))
-                if n is not None:
-                    return n
+                for n in (self.known.get(_squeezed(form)), self.known.get(_squeezed(form, r"\1\1"))):
+                    if n is not None:
+                        return n
         return 0
 
     def __call__(self, sentence: str) -> list[int]:
@@ -203,6 +207,14 @@ def train(texts: list[str], labels: list[float], rounds: int = 220, pull: float
     order = np.unique(where[keep] * (size + len(keys)) + feature[keep])  # a feature counts once in a sentence
     where, feature = order // (size + len(keys)), order % (size + len(keys))
     prior = np.concatenate([words0, pairs0])
+    # only what is clearly more frequent in abusive documents may speak for abuse; anything may speak against it
+    held = np.unique(owner[where] * len(prior) + feature)
+    doc_of, what = held // len(prior), held % len(prior)
+    n = np.bincount(what, minlength=len(prior))
+    k = np.bincount(what, weights=y[doc_of], minlength=len(prior))
+    base = min(max(float(y.mean()), 1e-3), 1 - 1e-3)
+    telling = (k >= TELLING_SHARE * n) & (k - n * base >= TELLING_Z * np.sqrt(n * base * (1 - base))) & (n > 0)
+    ceiling = np.where(telling, np.inf, np.maximum(prior, 0))
     w, bias = prior.copy(), BIAS
     m1, m2, b1, b2 = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     docs = len(texts)
@@ -221,6 +233,7 @@ def train(texts: list[str], labels: list[float], rounds: int = 220, pull: float
         b1, b2 = 0.9 * b1 + 0.1 * gb, 0.99 * b2 + 0.01 * gb**2
         rate = 0.15 * (1 - r / rounds) + 0.01
         w -= rate * (m1 / (1 - 0.9**r)) / (np.sqrt(m2 / (1 - 0.99**r)) + 1e-6)
+        w = np.minimum(w, ceiling)
         bias -= rate * (b1 / (1 - 0.9**r)) / (np.sqrt(b2 / (1 - 0.99**r)) + 1e-6)
     return Model(vocabulary, keys, w[:size], w[size:], float(bias))
 
@@ -232,6 +245,9 @@ def score(model: Model, reader: Reader, texts: list[str | None]) -> tuple[np.nda
     if not len(starts):
         return np.zeros(n), np.zeros(n, np.int64), [None] * n, np.zeros(n)
     p = 1 / (1 + np.exp(-np.clip(model.logits(numbers, starts), -30, 30)))
+    # what any sentence of unknown words gets is no evidence: else a long harmless text would add up to abuse
+    rest = 1 / (1 + np.exp(-model.bias))
+    p = np.maximum(p - rest, 0) / (1 - rest)
     total = 1 - np.exp(np.bincount(owner, weights=np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=n))
     offending = np.bincount(owner, weights=p >= 0.5, minlength=n).astype(np.int64)
     worst: list[str | None] = [None] * n
