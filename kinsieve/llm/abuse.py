@@ -26,22 +26,31 @@ FIT_DOCS = 6_000
 #: Shares of labels that are wrong, assumed of the raters: harmless documents labelled, abusive ones not.
 FALSE_ALARM, MISSED = 0.06, 0.12
 #: A word or pair may speak for abuse if this share of its documents is labelled so, and so many deviations more than of all.
-TELLING_SHARE, TELLING_Z = 0.5, 2.8
-#: Logit of a sentence without any known word, and what a word or pair of the lexicon, and a masked word, add to it at first.
-BIAS, LEXICON_WEIGHT, MASK_WEIGHT = -6.5, 4.5, 3.0
+TELLING_SHARE, TELLING_Z = 0.65, 3.5
+#: Words of so few letters speak for it in pairs only: most are pronouns and the like.
+SHORT = 4
+#: Logit of a sentence without any known word, and what a word or pair of the lexicon, and a masked word, add to it at first; what a weak word and
+#: one of quoting add.
+BIAS, LEXICON_WEIGHT, WEAK_WEIGHT, MASK_WEIGHT, QUOTING_WEIGHT = -6.5, 7.0, 3.4, 4.0, -4.0
 
 # Words that insult, threaten, degrade or are sexual in most contexts, in English, German, French and Spanish.
 STRONG = """asshole bastard bitch bullshit cunt dickhead dumbass fuck fucking fucker motherfucker halfwit idiot imbecile loser moron
-pathetic scum shithead twat twit whore slut vermin parasites cockroaches subhuman retard cripples leech nude nudes porn xxx horny
-naked hardcore undress kill yourself useless worthless brainless
-arschloch abschaum dumme fresse hurensohn idiot missgeburt müll nacktbilder sau schlampe verpiss versager wichser drecksau geiles
-connard connasse crétin salaud salope ordure merde vermine gueule crever nue nues putain abruti enculé
-cabrón gilipollas imbécil mierda basura puta pendejo maricón desnuda desnudo mueras cállate""".split()
+pathetic scum shithead twat twit whore slut vermin parasites parasite cockroaches subhuman retard cripples leech nudes porn xxx horny
+undress worthless brainless cretin
+arschloch abschaum fresse hurensohn missgeburt nacktbilder sau schlampe verpiss versager wichser drecksau verprügeln
+connard connasse crétin salaud salope merde vermine gueule crever nues putain enculé
+cabrón gilipollas imbécil mierda puta pendejo maricón desnuda mueras cállate""".split()
+# Words that do so only next to others of their kind.
+WEAK = """stupid lazy useless filthy disgusting miserable clueless clown coward garbage trash thieves criminals animals criminal hardcore naked nude kill yourself hate
+foreigners immigrants refugees women gays muslims jews southerners breed tribe hunt hurt swear hospital wheelchair tonight clothes touch bridge choke vanished
+dumme dumm geiles ausländer letzte raus ordure étrangers dehors nue basura gente guapa belle""".split()
 # Pairs of words that make such a sentence although each alone is harmless.
-PAIRS = """kill yourself|hang yourself|hunt you|hurt you|your head|you vanished|miss you|off a bridge|should die|drop dead|dropped dead|locked up|no place|round up|ship them
-born cockroaches|be ashamed|shut up|get lost|freak show|without clothes|touch myself|undress you|imagining you|nude photos|send me|show more|sex every|sexy thing
-their kind|whole nation|that tribe|whole breed|been born|came from|you choke|a wheelchair|in hospital|verpiss dich|halt die|du dumme|verprügeln du|ta gueule|va crever|te mueras
-voy a|partir la|casser la|esa gente|de mierda""".replace("\n", "|").split("|")
+PAIRS = """kill yourself|hang yourself|hunt you|hurt you|you vanished|miss you|off a|drop dead|dropped dead|locked up|no place|round up|too useless|too lazy|too stupid
+be ashamed|shut up|freak show|without clothes|touch myself|undress you|imagining you|nude photos|sex every|sexy thing|my room|your mother|your face|will need
+their kind|whole nation|that tribe|whole breed|been born|are born|dropped on|hole you|you choke|a wheelchair|in hospital|verpiss dich|halt die|du dumme|ta gueule|va crever|te mueras
+voy a|partir la|casser la|esa gente|de mierda|better off""".replace("\n", "|").split("|")
+# Words of rules and filters that quote such language, and of its technical use.
+QUOTING = "removed rules conduct blacklist denylist filter filters rejects slurs moderation moderators banned words pointer process parent child sorry collector".split()
 
 _SPACED = re.compile(r"(?<![\w.])\w(?:([ .\-_*·])\w)(?:\1\w)+(?!\w)")
 _SENTENCE = re.compile(r"(?<=[.!?])[\"')\]]*\s+|\n+|</?p>|<br ?/?>")
@@ -165,9 +174,11 @@ def _bags(reader: Reader, texts: list[str | None]) -> tuple[np.ndarray, np.ndarr
     return flat, np.array(starts, np.int64), np.array(owner, np.int64), kept
 
 
-def _lexicon() -> tuple[set[str], set[tuple[str, str]]]:
-    words = {_squeezed(clear_text(w)) for w in STRONG}
-    return words, {tuple(_squeezed(clear_text(w)) for w in p.split()[:2]) for p in PAIRS if len(p.split()) >= 2}
+def _lexicon() -> tuple[dict[str, float], dict[tuple[str, str], float]]:
+    """Weights of words and of pairs before any training."""
+    form = lambda w: _squeezed(clear_text(w))
+    words = {form(w): QUOTING_WEIGHT for w in QUOTING} | {form(w): WEAK_WEIGHT for w in WEAK} | {form(w): LEXICON_WEIGHT for w in STRONG}
+    return words, {tuple(map(form, p.split()[:2])): WEAK_WEIGHT for p in PAIRS}
 
 
 def train(texts: list[str], labels: list[float], rounds: int = 220, pull: float = 0.1, least: int = 3) -> Model:
@@ -177,19 +188,19 @@ def train(texts: list[str], labels: list[float], rounds: int = 220, pull: float
     holders, pair_holders = Counter(), Counter()
     for doc in cleared:
         holders.update({w for s in doc for w in s})
-    kept = {w for w, k in holders.items() if k >= least} | strong | {w for p in strong_pairs for w in p}
+    kept = {w for w, k in holders.items() if k >= least} | set(strong) | {w for p in strong_pairs for w in p}
     vocabulary = {w: n + 2 for n, w in enumerate(sorted(kept))}
     size = len(vocabulary) + 2
     for doc in cleared:
         pair_holders.update({(a, b) for s in doc for a, b in zip(s, s[1:]) if a in vocabulary and b in vocabulary})
-    both = {p for p, k in pair_holders.items() if k >= least} | strong_pairs
+    both = {p for p, k in pair_holders.items() if k >= least} | set(strong_pairs)
     keys = np.array(sorted({vocabulary[a] * size + vocabulary[b] for a, b in both}), np.int64)
     words0, pairs0 = np.zeros(size), np.zeros(len(keys))
-    for w in strong:
-        words0[vocabulary[w]] = LEXICON_WEIGHT
+    for w, weight in strong.items():
+        words0[vocabulary[w]] = weight
     words0[1] = MASK_WEIGHT
-    for a, b in strong_pairs:
-        pairs0[np.searchsorted(keys, vocabulary[a] * size + vocabulary[b])] = LEXICON_WEIGHT
+    for (a, b), weight in strong_pairs.items():
+        pairs0[np.searchsorted(keys, vocabulary[a] * size + vocabulary[b])] = weight
     model = Model(vocabulary, keys, words0.copy(), pairs0.copy(), BIAS)
     y = np.clip(np.array(labels, float), 0.0, 1.0)
     numbers, starts, owner, _ = _bags(Reader(vocabulary), texts)
@@ -214,6 +225,8 @@ def train(texts: list[str], labels: list[float], rounds: int = 220, pull: float
     k = np.bincount(what, weights=y[doc_of], minlength=len(prior))
     base = min(max(float(y.mean()), 1e-3), 1 - 1e-3)
     telling = (k >= TELLING_SHARE * n) & (k - n * base >= TELLING_Z * np.sqrt(n * base * (1 - base))) & (n > 0)
+    for w, i in vocabulary.items():
+        telling[i] &= len(w) > SHORT
     ceiling = np.where(telling, np.inf, np.maximum(prior, 0))
     w, bias = prior.copy(), BIAS
     m1, m2, b1, b2 = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
