@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinsieve.plans.lineage import cut, spread, written
+from kinsieve.plans.lineage import cut, lookup, spread, written
 
 _WORD = re.compile(r"\w+")
 #: Counters of the sketch (4 bytes each in a task, 1 byte when broadcast): a fixed size, whatever the data.
@@ -357,5 +357,8 @@ def near_duplicates(records: DataFrame, row_id: str, text: Column, n: int = 5, t
     links = edges.select(F.col("a_id").alias("record_id"), F.col("b_rows").alias("k")).unionByName(edges.select(F.col("b_id").alias("record_id"), F.col("a_rows").alias("k"))).groupBy("record_id").agg(F.sum("k").alias("k"))
     found = groups(sized, edges.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")))
     classes = sized.join(found, "record_id").join(links, "record_id", "left")
-    classes = classes.select("name", "size", F.col("group_id").alias("class_id"), (F.coalesce("k", F.lit(0)) + F.col("rows") - 1).alias("links"))
-    return members.join(classes, ["name", "size"]).select("row_id", "class_id", "links")
+    # a class of copies may hold a third of all rows: the classes that do are few and reach the rows by broadcast
+    key = F.struct("name", "size").alias("class")
+    mapping = cut(classes.select(key, F.col("rows").alias("weight"), F.col("group_id").alias("class_id"), (F.coalesce("k", F.lit(0)) + F.col("rows") - 1).alias("links")))
+    total, hottest = mapping.agg(F.sum("weight"), F.max("weight")).head()
+    return lookup(members.select("row_id", key), mapping, "class", max(20_000, (total or 0) // 200), hottest or 0).select("row_id", "class_id", "links")

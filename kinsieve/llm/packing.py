@@ -89,7 +89,7 @@ def evolve(sizes: np.ndarray, capacity: int, seed: int, elites: list[np.ndarray]
     return scored[0][2].astype(np.int64)
 
 
-_STATE = "block bigint, island int, docs array<bigint>, parts array<int>, sizes array<int>, bins array<int>, fit double"
+_STATE = "block bigint, island int, items array<bigint>, sizes array<int>, bins array<int>, fit double"
 
 
 def _epoch(capacity: int, epoch: int, generations: int):
@@ -100,27 +100,27 @@ def _epoch(capacity: int, epoch: int, generations: int):
                 elites = [np.asarray(x, dtype=np.int64) for x in (row.bins, row.guest) if x is not None]
                 seed = (int(row.block) * 1_000_003 + int(row.island) * 1009 + epoch) % 2**63
                 bins = evolve(sizes, capacity, seed, elites, generations)
-                yield pd.DataFrame({"block": [row.block], "island": [row.island], "docs": [row.docs], "parts": [row.parts], "sizes": [row.sizes], "bins": [bins.astype("int32")], "fit": [fitness(sizes, bins, capacity)]})
+                yield pd.DataFrame({"block": [row.block], "island": [row.island], "items": [row.items], "sizes": [row.sizes], "bins": [bins.astype("int32")], "fit": [fitness(sizes, bins, capacity)]})
 
     return run
 
 
-def _level(items: DataFrame, count: int, level: int, capacity: int, block_items: int, islands: int, epochs: int, generations: int) -> DataFrame:
-    """(doc_id, part, tokens, block, bin, load) of ``items`` packed within blocks of about ``block_items``."""
+def _level(rest: DataFrame, count: int, level: int, capacity: int, block_items: int, islands: int, epochs: int, generations: int) -> DataFrame:
+    """(item, block, bin, load) of ``rest`` (item, tokens) packed within blocks of about ``block_items``."""
     blocks = max(1, -(-count // block_items))
-    block = F.pmod(F.xxhash64("doc_id", "part", F.lit(level)), F.lit(blocks))
-    grouped = items.groupBy(block.alias("block")).agg(F.sort_array(F.collect_list(F.struct("tokens", "doc_id", "part")), asc=False).alias("x"))  # a block is bounded
-    state = grouped.select("block", F.explode(F.array(*[F.lit(i) for i in range(islands)])).alias("island"), F.col("x.doc_id").alias("docs"), F.col("x.part").alias("parts"), F.col("x.tokens").alias("sizes"), F.lit(None).cast("array<int>").alias("bins"), F.lit(None).cast("array<int>").alias("guest"))
-    lanes = max(items.sparkSession.sparkContext.defaultParallelism, min(blocks * islands, 4096))
+    block = F.pmod(F.xxhash64("item", F.lit(level)), F.lit(blocks))
+    grouped = rest.groupBy(block.alias("block")).agg(F.sort_array(F.collect_list(F.struct("tokens", "item")), asc=False).alias("x"))  # a block is bounded
+    state = grouped.select("block", F.explode(F.array(*[F.lit(i) for i in range(islands)])).alias("island"), F.col("x.item").alias("items"), F.col("x.tokens").alias("sizes"), F.lit(None).cast("array<int>").alias("bins"), F.lit(None).cast("array<int>").alias("guest"))
+    lanes = max(rest.sparkSession.sparkContext.defaultParallelism, min(blocks * islands, 4096))
     for epoch in range(epochs):
         state = state.repartition(lanes, "block", "island")
         state = cut(state.mapInPandas(_epoch(capacity, epoch, generations), _STATE))
         if epoch + 1 < epochs:
             guests = state.select("block", ((F.col("island") + 1) % islands).alias("island"), F.col("bins").alias("guest"))
             state = state.join(guests, ["block", "island"])
-    best = state.groupBy("block").agg(F.max_by(F.struct("docs", "parts", "sizes", "bins"), F.struct("fit", -F.col("island"))).alias("s"))
-    rows = best.select("block", F.explode(F.arrays_zip("s.docs", "s.parts", "s.sizes", "s.bins")).alias("z"))
-    rows = rows.select(F.col("z.docs").alias("doc_id"), F.col("z.parts").alias("part"), F.col("z.sizes").alias("tokens"), "block", F.col("z.bins").alias("bin"))
+    best = state.groupBy("block").agg(F.max_by(F.struct("items", "sizes", "bins"), F.struct("fit", -F.col("island"))).alias("s"))
+    rows = best.select("block", F.explode(F.arrays_zip("s.items", "s.sizes", "s.bins")).alias("z"))
+    rows = rows.select(F.col("z.items").alias("item"), F.col("z.sizes").alias("tokens"), "block", F.col("z.bins").alias("bin"))
     loads = rows.groupBy("block", "bin").agg(F.sum("tokens").alias("load"))
     return rows.join(loads, ["block", "bin"])
 
@@ -134,10 +134,10 @@ def pack(sizes: DataFrame, capacity: int, block_items: int = BLOCK_ITEMS, island
     """
     sized = sizes.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("tokens").cast("bigint").alias("n")).where(F.col("n") > 0)
     parts = sized.select("doc_id", "n", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / capacity).cast("int"))).alias("part"))
-    items = cut(parts.select("doc_id", "part", F.least(F.lit(capacity), F.col("n") - F.col("part") * F.lit(capacity)).cast("int").alias("tokens")))
-    full = items.where(F.col("tokens") == capacity).withColumn("container", F.concat_ws("-", F.lit("full"), F.col("doc_id"), F.col("part"), F.monotonically_increasing_id()))
-    done = [cut(full)]
-    rest = items.where(F.col("tokens") < capacity)
+    # an item has a number of its own, so that rows that share an id spread like any others; the checkpoint fixes it
+    items = cut(parts.select("doc_id", "part", F.least(F.lit(capacity), F.col("n") - F.col("part") * F.lit(capacity)).cast("int").alias("tokens"), F.monotonically_increasing_id().alias("item")))
+    placed = [items.where(F.col("tokens") == capacity).select("item", F.concat_ws("-", F.lit("full"), "item").alias("container"))]
+    rest = items.where(F.col("tokens") < capacity).select("item", "tokens")
     count = rest.count()
     for level in range(LEVELS):
         if not count:
@@ -145,15 +145,15 @@ def pack(sizes: DataFrame, capacity: int, block_items: int = BLOCK_ITEMS, island
         packed = cut(_level(rest, count, level, capacity, block_items, islands, epochs, generations))
         last = level == LEVELS - 1 or count <= block_items
         kept = packed if last else packed.where(F.col("load") >= WELL_FILLED * capacity)
-        done.append(kept.select("doc_id", "part", "tokens", F.concat_ws("-", F.lit(f"level{level}"), "block", "bin").alias("container")))
+        placed.append(kept.select("item", F.concat_ws("-", F.lit(f"level{level}"), "block", "bin").alias("container")))
         if last:
             break
-        rest = packed.where(F.col("load") < WELL_FILLED * capacity).select("doc_id", "part", "tokens")
+        rest = packed.where(F.col("load") < WELL_FILLED * capacity).select("item", "tokens")
         count = rest.count()
-    out = done[0].select("doc_id", "part", "tokens", "container")
-    for more in done[1:]:
-        out = out.unionByName(more)
-    return out.select("doc_id", "part", (F.col("part").cast("bigint") * capacity).alias("first_token"), "tokens", "container")
+    containers = placed[0]
+    for more in placed[1:]:
+        containers = containers.unionByName(more)
+    return items.join(containers, "item").select("doc_id", "part", (F.col("part").cast("bigint") * capacity).alias("first_token"), "tokens", "container")
 
 
 def pack_documents(docs: DataFrame, capacity: int, tokenizer: str | None = None) -> DataFrame:
