@@ -40,7 +40,7 @@ def test_classifier_is_calibrated():
     x = np.zeros((2000, len(matching.FEATURES)))
     same = rng.random(2000) < 0.5
     x[:, 0] = np.where(same, rng.uniform(0.7, 1, 2000), rng.uniform(0, 0.15, 2000))
-    x[:, 2], x[:, 11] = np.where(same, 2.5, 0.7), 1.0
+    x[:, 2], x[:, matching.FEATURES.index("project")] = np.where(same, 2.5, 0.7), 1.0
     w = matching.fit(x)
     p = 1 / (1 + np.exp(-(np.hstack([x, np.ones((2000, 1))]) @ w)))
     assert ((p > 0.5) == same).mean() > 0.99
