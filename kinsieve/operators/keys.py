@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 def first_by(rows: DataFrame, key: str | list[str], order: str, last: bool = False) -> DataFrame:
-    """One row per key: the first (or last) in the order of a column that is carried in the data."""
-    by = F.col(order).desc() if last else F.col(order).asc()
-    ranked = rows.withColumn("__rank", F.row_number().over(Window.partitionBy(*([key] if isinstance(key, str) else key)).orderBy(by)))
-    return ranked.where("__rank = 1").drop("__rank")
+    """One row per key: the first (or last) in the order of a column that is carried in the data and unique within a key.
+
+    An aggregate, which combines before the shuffle, so that a hot key isn't sorted in one task.
+    """
+    by = [key] if isinstance(key, str) else list(key)
+    rest = [c for c in rows.columns if c not in by]
+    pick = F.max_by if last else F.min_by
+    return rows.groupBy(*by).agg(pick(F.struct(*rest), F.col(order)).alias("__row")).select(*by, "__row.*").select(*rows.columns)
 
 
 def translation(rows: DataFrame, old: str, new: str, order: str) -> DataFrame:

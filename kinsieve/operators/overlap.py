@@ -42,15 +42,15 @@ def filter_summary(matches: DataFrame, train: DataFrame, train_id: str, bench_id
     own = matches.join(pairs, [train_id, bench_id], "left_semi").select(train_id).distinct().withColumn("own", F.lit(True))
     mine = pairs.select(train_id).distinct().withColumn("overlap", F.lit(True))
     rows = train.select(train_id).distinct().join(mine, train_id, "left").join(flagged, train_id, "left").join(own, train_id, "left").fillna(False)
-    counts = rows.agg(
+    hit = matches.select(F.lit(None).cast("boolean").alias("overlap"), F.lit(None).cast("boolean").alias("flagged"), F.lit(None).cast("boolean").alias("own"), F.col(bench_id).cast("string").alias("hit"))
+    return rows.select("overlap", "flagged", "own", F.lit(None).cast("string").alias("hit")).unionByName(hit).agg(
         F.count_if("overlap").alias("overlap_items"),
         F.count_if(F.col("overlap") & F.col("flagged")).alias("overlap_flagged"),
         F.count_if(F.col("overlap") & F.col("own")).alias("overlap_flagged_by_own"),
         F.count_if(~F.col("overlap")).alias("other_items"),
         F.count_if(~F.col("overlap") & F.col("flagged")).alias("other_flagged"),
+        F.count_distinct("hit").alias("bench_matched"),
     )
-    hit = matches.agg(F.count_distinct(bench_id).alias("bench_matched"))
-    return counts.withColumn("k", F.lit(1)).join(hit.withColumn("k", F.lit(1)), "k").drop("k")  # one row each
 
 
 def document_frequency(rows: DataFrame, key: str, text: str, n: int) -> DataFrame:
@@ -92,11 +92,16 @@ def longest_runs(pairs: DataFrame, a: DataFrame, b: DataFrame, a_id: str, b_id:
 
 
 def run_stats(runs: DataFrame) -> DataFrame:
-    """(pairs, longest, upper_median, median, at_least_8, at_least_13): the upper median is a run of the table, the other is interpolated."""
-    listed = runs.agg(F.sort_array(F.collect_list("run")).alias("r"), F.median("run").alias("median"))  # one row per candidate pair
-    at = lambda k: F.size(F.filter("r", lambda x: x >= k))
-    upper = F.when(F.size("r") > 0, F.try_element_at("r", F.floor(F.size("r") / 2).cast("int") + 1))
-    return listed.select(F.size("r").alias("pairs"), F.array_max("r").alias("longest"), upper.alias("upper_median"), F.col("median"), at(8).alias("at_least_8"), at(13).alias("at_least_13"))
+    """(pairs, longest, upper_median, median, at_least_8, at_least_13): the upper median is a run of the table, the other is
+    interpolated. Pairs are first counted by length, so that only one row per length is ordered."""
+    lengths = runs.groupBy("run").agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.partitionBy(F.lit(1)).orderBy("run"))
+    total = F.sum("n").over(Window.partitionBy(F.lit(1)))
+    placed = lengths.select("run", "n", upto.alias("upto"), total.alias("total"))
+    upper = F.min(F.when(F.col("upto") >= F.floor(F.col("total") / 2) + 1, F.col("run")))
+    lower = F.min(F.when(F.col("upto") >= F.floor((F.col("total") - 1) / 2) + 1, F.col("run")))
+    at = lambda k: F.coalesce(F.sum(F.when(F.col("run") >= k, F.col("n"))), F.lit(0))
+    return placed.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("pairs"), F.max("run").alias("longest"), upper.alias("upper_median"), ((lower + upper) / 2).alias("median"), at(8).alias("at_least_8"), at(13).alias("at_least_13"))
 
 
 def equal_texts(a: DataFrame, b: DataFrame, a_id: str, b_id: str, a_text: str, b_text: str, least: int = 13, apart_from: DataFrame | None = None) -> DataFrame:
@@ -118,7 +123,13 @@ def names_any(text: Column, names: Column) -> Column:
     return F.when(F.size(names) > 0, F.exists(names, lambda n: F.coalesce(F.regexp_like(text, edge(n)), F.lit(False))))
 
 
-def duplicate_groups(rows: DataFrame, group: str, key: str, content: str) -> DataFrame:
-    """(group, ids, copies, identical): groups of more than one key, and whether their contents are all equal (null is a content)."""
-    grouped = rows.where(F.col(group).isNotNull()).groupBy(group).agg(F.array_sort(F.collect_list(key)).alias("ids"), F.count(F.lit(1)).alias("copies"), F.count_distinct(F.coalesce(F.sha2(content, 256), F.lit(""))).alias("k"))
-    return grouped.where("copies > 1").select(group, "ids", "copies", (F.col("k") == 1).alias("identical"))
+def duplicate_groups(rows: DataFrame, group: str, key: str, content: str, listed: bool = True) -> DataFrame:
+    """(group, first_id, copies, identical): groups of more than one key, and whether their contents are all equal (null is one).
+
+    ``listed`` adds ``ids``, all keys sorted: for groups of a bounded size, such as the tasks of a bug.
+    """
+    aggregates = [F.min(key).alias("first_id"), F.count(F.lit(1)).alias("copies"), F.count_distinct(F.coalesce(F.sha2(content, 256), F.lit(""))).alias("k")]
+    if listed:
+        aggregates.append(F.array_sort(F.collect_list(key)).alias("ids"))
+    found = rows.where(F.col(group).isNotNull()).groupBy(group).agg(*aggregates).where("copies > 1")
+    return found.withColumn("identical", F.col("k") == 1).drop("k")

@@ -4,27 +4,40 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from kinsieve.plans.lineage import lookup
+
+#: Groups of more rows than this, and than a two-hundredth of all, are hot.
+HOT_ROWS = 20_000
 
 
 def judged(tasks: DataFrame, group: str, order: str, suspect: str, bench: DataFrame) -> DataFrame:
-    """``tasks`` with ``verdict``: kept, removed_benchmark, removed_suspect or removed_duplicate.
+    """``tasks`` (unique in ``order``) with ``verdict``: kept, removed_benchmark, removed_suspect or removed_duplicate.
 
     Tasks of groups that the benchmark has are removed; of each other group the first that isn't suspect is kept, and its others
     are duplicates; a group of suspects only is removed as such. A null group is a group of its own kind and never in the benchmark.
     """
-    marked = bench.select(group).distinct().withColumn("__bench", F.lit(True))
-    known = tasks.join(marked, group, "left")
-    first = F.row_number().over(Window.partitionBy(group).orderBy(F.col(suspect), F.col(order)))
-    all_suspect = F.min(F.col(suspect).cast("int")).over(Window.partitionBy(group)) == 1
-    verdict = F.when(F.col("__bench"), "removed_benchmark").when(all_suspect, "removed_suspect").when(first == 1, "kept").otherwise("removed_duplicate")
-    return known.withColumn("verdict", verdict).drop("__bench")
+    return _judged(tasks, group, order, suspect, bench).drop("group_order")
+
+
+def _judged(tasks: DataFrame, group: str, order: str, suspect: str, bench: DataFrame) -> DataFrame:
+    """Groups are summed up first, and their few values then reach the tasks, so that no group is sorted in one task.
+
+    A group without a bug is a key like any other here, as a struct that holds a null.
+    """
+    keyed = tasks.withColumn("__key", F.struct(group))
+    listed = bench.where(F.col(group).isNotNull()).select(F.struct(group).alias("__key")).distinct().withColumn("__bench", F.lit(True))
+    rank = F.struct(F.col(suspect), F.col(order))
+    per = keyed.groupBy("__key").agg(F.min(rank).alias("__first"), F.min(order).alias("group_order"), F.count(F.lit(1)).alias("weight")).join(listed, "__key", "left")
+    total, hottest = per.agg(F.sum("weight"), F.max("weight")).head()
+    known = lookup(keyed, per, "__key", max(HOT_ROWS, (total or 0) // 200), hottest or 0)
+    verdict = F.when(F.col("__bench"), "removed_benchmark").when(F.col(f"__first.{suspect}"), "removed_suspect").when(rank == F.col("__first"), "kept").otherwise("removed_duplicate")
+    return known.withColumn("verdict", verdict).drop("__key", "__first", "__bench")
 
 
 def filtered_split(tasks: DataFrame, group: str, order: str, suspect: str, bench: DataFrame) -> DataFrame:
     """The kept tasks, with ``group_order``: where the group first appears."""
-    ranked = judged(tasks, group, order, suspect, bench).withColumn("group_order", F.min(order).over(Window.partitionBy(group)))
-    return ranked.where("verdict = 'kept'").drop("verdict")
+    return _judged(tasks, group, order, suspect, bench).where("verdict = 'kept'").drop("verdict")
 
 
 def accounting(judged_tasks: DataFrame) -> DataFrame:

@@ -153,6 +153,7 @@ SELECT doc_id, len(w) AS words, coalesce(k, 0) AS runs13, collapsed_chars FROM w
     "text_views": f"SELECT sec_id, length(coalesce(bug_description, '') || ' ' || coalesce(sanitizer_report, '')) AS view_chars, len({_W.format(chr(40) + 'coalesce(bug_description, ' + chr(39) * 2 + ') || ' + chr(39) + ' ' + chr(39) + ' || coalesce(bug_report, ' + chr(39) * 2 + '))')}) AS view_words FROM sec_bench",
     "id_parts": r"""SELECT row_id, TRY_CAST(nullif(regexp_extract(instance_id, '(\d+)$', 1), '') AS BIGINT) AS trailing, TRY_CAST(nullif(split_part(instance_id, '-', -1), '') AS BIGINT) AS pr,
 lower(regexp_replace(split_part(instance_id, '.', 1), '^(.*?)__', '\1/')) AS repo_name, split_part(repo, '/', -1) AS short, regexp_matches(instance_id, '\.pr_\d+$') AS mirror FROM swe_rebench_v2""",
+    "root_paths": r"SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(coalesce(text, ''), '/root/[\w.-]+'))), ';') AS paths, coalesce(contains(text, 'diff --git'), false) AS has_diff FROM documents",
     "sec_ids": f"""WITH {_blobs('fa', 'sec_bench', 'sec_id')} SELECT sec_id, split_part(instance_id, '.', 1) AS project, CASE WHEN split = 'oss' THEN TRY_CAST(nullif(regexp_extract(instance_id, '(\\d+)$', 1), '') AS BIGINT) END AS tracker_id,
 sec_id NOT IN (SELECT sec_id FROM fa) AS no_blobs, NOT coalesce(contains(patch, 'diff --git'), false) AS no_diff FROM sec_bench""",
     "cyber_tasks": f"WITH {_TRAIN} SELECT pos, id, num, bug, type, function, file, length(text) AS text_chars FROM train",

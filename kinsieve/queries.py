@@ -141,7 +141,7 @@ def exact_text_duplicates(spark, folder):
 @query
 def duplicate_texts(spark, folder):
     docs = Tables(spark, folder)("documents").withColumn("h", F.sha2("text", 256))
-    return overlap.duplicate_groups(docs, "h", "doc_id", "source").select(F.col("ids")[0].alias("first_id"), "copies", "identical")
+    return overlap.duplicate_groups(docs, "h", "doc_id", "source", listed=False).select("first_id", "copies", "identical")
 
 
 @query
@@ -163,6 +163,13 @@ def id_parts(spark, folder):
     return swe.select("row_id", ids.trailing_int(i).alias("trailing"), ids.pr_number(i).alias("pr"), ids.repo_from_id(i).alias("repo_name"), ids.short_repo(F.col("repo")).alias("short"), ids.is_pr_mirror(i).alias("mirror"))
 
 
+@query
+def root_paths(spark, folder):
+    """Paths below /root that documents name, and whether they speak of a build step."""
+    docs = Tables(spark, folder)("documents")
+    return docs.select("doc_id", F.array_join(ids.root_paths(F.coalesce("text", F.lit(""))), ";").alias("paths"), ids.any_step(text.lines(F.col("text")), "diff --git").alias("has_diff"))
+
+
 @query
 def sec_ids(spark, folder):
     rows = readers.security_items(Tables(spark, folder)("sec_bench"))

@@ -147,3 +147,8 @@ def united(parts: Sequence[DataFrame], key: str, order: str) -> DataFrame:
     for p in tagged[1:]:
         out = out.unionByName(p)
     return first_by(out.withColumn("__order", F.struct("__part", order)), key, "__order").drop("__part", "__order")
+
+
+def manifest(spark: SparkSession, revisions: dict[str, str | None]) -> DataFrame:
+    """(source, revision): what an audit has read; a source without a pinned revision has null."""
+    return spark.createDataFrame(sorted(revisions.items()), "source string, revision string")
