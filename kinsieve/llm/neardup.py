@@ -132,7 +132,7 @@ def _merged(frame):
     total = np.zeros(CHUNK, np.uint64)
     for blob in frame["counts"]:
         total += np.frombuffer(pa.decompress(blob, decompressed_size=CHUNK * 4, codec="zstd", asbytes=True), np.uint32)
-    # sixteen steps for each doubling: enough to order by, and one byte
+    # eight steps for each doubling: enough to order by, and one byte
     code = np.minimum(255, np.round(np.log2(total.astype(np.float64) + 1) * 8)).astype(np.uint8)
     return pd.DataFrame({"chunk": [int(frame["chunk"].iloc[0])], "code": [code.tobytes()]})
 
@@ -146,12 +146,12 @@ def _order(rows: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def _prefixes(n: int, t: float, bits: int, buckets: int, hot: int, order):
+def _prefixes(n: int, t: float, bits: int, buckets: int, hot: int, noise: float, order):
     """Batches of (id, text) -> packed prefixes: a row for each batch and bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, code = Grams(n), order.value
-        hot_code = min(255, round(math.log2(hot + 1) * 8))
+        hot_code = min(255, math.ceil(math.log2(hot + noise + 1) * 8))
         for batch in batches:
             seen, parts = set(), []
             for text in batch.column(1).to_pylist():
@@ -175,7 +175,7 @@ def _prefixes(n: int, t: float, bits: int, buckets: int, hot: int, order):
             if len(hots):  # holder block i meets block j in cell (i, j): a copy for every j
                 extra = []
                 for k in hots.tolist():
-                    blocks = max(2, math.ceil((2 ** (int(rank[k]) / 8)) / hot))
+                    blocks = max(2, math.ceil((2 ** (int(rank[k]) / 8) - noise) / hot))
                     mine = int(name[k]) % blocks
                     for other in range(blocks):
                         lo, hi = min(mine, other), max(mine, other)
@@ -314,10 +314,13 @@ def similar_classes(records: DataFrame, row_id: str, text: Column, n: int = 5, t
     spark = records.sparkSession
     base = spread(records.select(F.col(f"`{row_id}`").cast("bigint").alias("id"), text.alias("text")))
     counted = written(base.mapInArrow(_sketch(n, sketch_bits), _SKETCH_SCHEMA))
-    order = spark.sparkContext.broadcast(_order(counted, sketch_bits))
+    codes = _order(counted, sketch_bits)
+    # a counter also holds the n-grams that fall on it by chance: as many as the average, which says nothing of an n-gram
+    noise = float(np.mean(np.exp2(codes / 8) - 1))
+    order = spark.sparkContext.broadcast(codes)
     members = counted.where(F.col("chunk").isNull()).select(F.col("id").alias("row_id"), "name", "size")
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    packed = base.mapInArrow(_prefixes(n, t, sketch_bits, buckets, hot, order), "bucket int, blob binary")
+    packed = base.mapInArrow(_prefixes(n, t, sketch_bits, buckets, hot, noise, order), "bucket int, blob binary")
     pairs = packed.groupBy("bucket").applyInArrow(_joined(t), _MATCHES)
     met = pairs.groupBy("a", "a_size", "b", "b_size").agg(F.sum("matches").alias("matches"), F.max("first").alias("first"))
     needed = F.greatest(F.lit(1), F.least(F.lit(MOST_MATCHES), F.floor(F.least("a_size", "b_size") / MATCH_STEP)))
