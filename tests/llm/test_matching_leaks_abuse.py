@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from kinsieve.llm import abuse, leaks, matching
 from kinsieve.llm.plaintext import plain
@@ -28,6 +29,15 @@ def test_same_fix(spark):
     assert matching.same_fix(a.limit(0), b).count() == 0 and matching.same_fix(a, b.limit(0)).count() == 0
 
 
+def test_hot_blocks_are_divided(spark):
+    a, b = fixes(spark)
+    shared = "+\tregister_handler(default_context, 4711);\n"  # a line that all patches have
+    a, b = (d.withColumn("patch", F.concat("patch", F.lit(shared))) for d in (a, b))
+    whole = {(r.sec_id, r.row_id) for r in matching.same_fix(a, b).collect()}
+    divided = {(r.sec_id, r.row_id) for r in matching.same_fix(a, b, hot_pairs=30).collect()}
+    assert divided == whole and {(i, 1000 + i) for i in range(40)} <= divided
+
+
 def test_patch_parts():
     p = matching.parse_patch("# applies on top of 39182082bf8f\n" + PATCH.format(1, 2))
     assert p["base"] == "39182082bf8f" and p["files"] == ["x_1.c"] and p["blobs"] == {"x_1.c": ["0000001", "0000002"]} and len(p["lines"]) == 3
@@ -132,3 +142,12 @@ def test_scores_of_odd_tables(spark):
     rates = {r.source: (r.documents, r.abusive) for r in abuse.rates(abuse.scores(df, labels, keep=("source",))).collect()}
     assert rates == {"A": (1, 1), "a-": (1, 0), None: (1, 0), "b": (3, 1)}
     assert abuse.scores(df.limit(0), labels.limit(0)).count() == 0
+
+
+def test_divided_blocks_make_fewer_candidates(spark):
+    rows = [(s, bytes([s, i]), [1, 100 + i], [7, 1000 + i]) for s in (0, 1) for i in range(40)] + [(s, bytes([s, 200]), [1], [7]) for s in (0, 1)]
+    classes = spark.createDataFrame(rows, "side int, sig binary, keys array<long>, lines array<long>")
+    pair = lambda df: {(bytes(r.a), bytes(r.b)) for r in df.collect()}
+    assert len(pair(matching.candidates(classes))) == 41 * 41
+    same = {(bytes([0, i]), bytes([1, i])) for i in (*range(40), 200)}
+    assert pair(matching.candidates(classes, hot_pairs=100)) == same
