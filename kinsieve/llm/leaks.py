@@ -36,7 +36,10 @@ FIT_DOCS = 10_000
 #: Logarithm of the rarity from which on a word has weight, in a corpus of LARGE texts or more: words in more than one document in
 #: twelve have none. It shrinks with the logarithm of smaller corpora, in which a leak alone makes a word frequent.
 COMMON_IDF, LARGE = 2.5, 100_000
-#: An item's passage that weighs less than this share of the median isn't searched for, as its neighbours cover its words.
+#: Least weight of a word that is an item's own: copies of one leak may be any share of the documents, and make its words frequent.
+LEAST_WEIGHT = 1.0
+#: An item's passage that weighs less than this share of the median, of all passages and of the item's, isn't searched for, as its
+#: neighbours cover its words.
 LIGHT = 0.25
 #: A word is an item's own if it stands in at most so many items.
 OWN_ITEMS = 2
@@ -118,18 +121,31 @@ def _document_frequencies(docs: DataFrame, size: int) -> tuple[np.ndarray, float
     return got[:size], got[size]
 
 
+def weights(items: Items, held: np.ndarray, total: float) -> np.ndarray:
+    """The weight of each word: its rarity in the documents and among the items, and ``LEAST_WEIGHT`` at least if it is an item's own.
+
+    So no item drops out of the search, whatever share of the documents leaks it.
+    """
+    among, own = np.zeros(len(held)), np.zeros(len(held), bool)
+    for i, ids in items.ids.items():
+        among[np.unique(ids)] += 1
+        own[ids[items.own[i]]] = True
+    texts = total + len(items.ids) + 1
+    common = COMMON_IDF * min(1.0, np.log(texts) / np.log(LARGE))
+    return np.maximum(np.log(texts / (held + among + 0.5)) - common, np.where(own, LEAST_WEIGHT, 0))
+
+
 def _item_matrix(items: Items, weight: np.ndarray) -> tuple[np.ndarray, list[int]]:
-    """(passages x vocabulary, items of the passages) without light passages, except an item's heaviest one."""
+    """(passages x vocabulary, items of the passages) without passages that are light for all items and for their own."""
     m = np.zeros((len(items.passages), len(weight)), np.float32)
     for row, (i, k) in enumerate(items.passages):
         m[row, items.ids[i][k : k + ITEM_WORDS]] = 1
     m *= weight[None, :].astype(np.float32)
     energy = (m**2).sum(axis=1)
     owner = np.array([i for i, _ in items.passages], np.int64)
-    heaviest = {i: int(np.flatnonzero(owner == i)[np.argmax(energy[owner == i])]) for i in set(owner.tolist())}
-    keep = energy >= LIGHT * (np.median(energy) if len(energy) else 0)
-    keep[list(heaviest.values())] = True
-    keep &= energy > 0
+    median = np.median(energy) if len(energy) else 0
+    light = {i: LIGHT * min(median, np.median(energy[owner == i])) for i in set(owner.tolist())}
+    keep = np.array([e > 0 and e >= light[i] for e, i in zip(energy, owner.tolist())], bool)
     return m[keep], owner[keep].tolist()
 
 
@@ -140,6 +156,7 @@ def latent(docs: DataFrame, items: Items, weight: np.ndarray, rank: int = RANK,
     summed by the tasks over about ``fit_docs`` documents chosen by hash.
     """
     m, _ = _item_matrix(items, weight)
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)  # a light item's directions aren't the last ones
     width = min(len(weight), max(1, len(m)), rank + OVERSAMPLE)
     probe = np.random.default_rng(seed).standard_normal((len(weight), width)).astype(np.float32)
     w = weight.astype(np.float32)
@@ -156,12 +173,12 @@ def latent(docs: DataFrame, items: Items, weight: np.ndarray, rank: int = RANK,
     share = min(1.0, fit_docs / max(1.0, total))
     sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * share))
     spread = _sums(sample, make, len(w) * width).reshape(len(w), width)
-    own = m.T @ (m @ probe)
+    own = unit.T @ (unit @ probe)
     scale = np.linalg.norm(own) / max(np.linalg.norm(spread), 1e-9)
     basis, _ = np.linalg.qr(own + scale * spread)
     # one more multiplication with the items' side, then the factors of the small matrix
-    basis, _ = np.linalg.qr(m.T @ (m @ basis))
-    _, s, vt = np.linalg.svd(m @ basis, full_matrices=False)
+    basis, _ = np.linalg.qr(unit.T @ (unit @ basis))
+    _, s, vt = np.linalg.svd(unit @ basis, full_matrices=False)
     keep = min(rank, int((s > 1e-6 * max(s[0], 1e-9)).sum()) if len(s) else 0)
     return (basis @ vt[:keep].T).astype(np.float32)
 
@@ -304,15 +321,7 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
     base = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text")).where(F.col("text") != "")
     coded = written(spread(base).mapInArrow(_numbered(number), "doc_id bigint, ids binary"))
     held, total = _document_frequencies(coded, len(known.number))
-    # a word is weighed by its rarity in the documents and among the items
-    among = np.zeros(len(held))
-    for ids in known.ids.values():
-        among[np.unique(ids)] += 1
-    texts = total + len(known.ids) + 1
-    common = COMMON_IDF * min(1.0, np.log(texts) / np.log(LARGE))
-    weight = np.maximum(np.log(texts / (held + among + 0.5)) - common, 0)
-    if not weight.any():  # a handful of documents: every word counts alike
-        weight = np.ones(len(weight))
+    weight = weights(known, held, total)
     basis = latent(coded, known, weight, rank, total=total)
     broadcast = spark.sparkContext.broadcast
     found = coded.mapInArrow(_found(broadcast(known), broadcast(weight), broadcast(basis)), schema)

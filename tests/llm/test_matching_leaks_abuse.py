@@ -151,3 +151,24 @@ def test_divided_blocks_make_fewer_candidates(spark):
     assert len(pair(matching.candidates(classes))) == 41 * 41
     same = {(bytes([0, i]), bytes([1, i])) for i in (*range(40), 200)}
     assert pair(matching.candidates(classes, hot_pairs=100)) == same
+
+
+def test_a_leak_in_a_third_of_the_documents(spark, sf_dir):
+    """Copies of one leak, whole, in part or changed, are found however many there are, and so are other items' leaks."""
+    docs, items = (spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/{t}.parquet") for t in ("documents", "eval_items"))
+    base = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").where("text <> ''").collect()]
+    known = leaks.Items([(r.item_id, r.text) for r in items.collect()])
+    hot = max((i for i in known.ids if len(known.ids[i]) <= 150), key=lambda i: (known.own[i].sum(), i))
+    words, first = known.words[hot], 10**9
+    copies = []
+    for k in range(len(base) // 2):
+        part = words if k % 3 == 0 else words[k % 40 : k % 40 + 30]
+        part = [w if k % 3 < 2 or x % 10 != 9 else "other" for x, w in enumerate(part)]
+        copies.append((first + k, f"note {k} " + " ".join(part) + f" end {k}"))
+    want = {d for d, t in copies if leaks.leaked(known.ids[hot], known.own[hot], np.array([known.number.get(w, -1) for w in leaks._WORD.findall(plain(t))], np.int32))}
+    schema = "doc_id long, text string"
+    few = {(r.doc_id, r.item_id) for r in leaks.leaks(spark.createDataFrame(base, schema), items).collect()}
+    many = {(r.doc_id, r.item_id) for r in leaks.leaks(spark.createDataFrame(base + copies, schema).repartition(4), items).collect()}
+    got = {d for d, i in many if i == hot and d >= first}
+    assert len(want) > 0.9 * len(copies) and len(got & want) >= 0.99 * len(want)
+    assert few <= many
