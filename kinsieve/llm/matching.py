@@ -30,9 +30,9 @@ from kinsieve.plans.lineage import cut, spread, written
 #: Minima of hashes kept of a row's changed lines; one shared minimum makes a candidate: at a similarity of 0.2 that
 #: misses 1 pair in 200, and at 0.3 none to speak of.
 MINIMA = 24
-#: A block of more pairs than this is divided by what else its rows share.
+#: A block of more pairs than this is spread over cells of about so many.
 HOT_PAIRS = 1_000_000
-#: Candidate pairs on which the classifier is fitted, chosen by hash.
+#: Candidate pairs of either kind, those that may be positive and others, on which the classifier is fitted, chosen by hash.
 FIT_PAIRS = 20_000
 
 # Where frames of the runtime come from, and functions that every crash report may hold.
@@ -206,15 +206,15 @@ def weak_labels(x: np.ndarray) -> np.ndarray:
     return np.where(sure, 1, np.where(never | (col["project"] < 0.2), 0, -1))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float, rounds: int = 60) -> np.ndarray:
-    """Weights (the last is the intercept) by Newton's method."""
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float, rows: np.ndarray, rounds: int = 60) -> np.ndarray:
+    """Weights (the last is the intercept) by Newton's method; each row counts as ``rows`` says."""
     x = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x.shape[1])
     penalty = np.full(x.shape[1], ridge)
     penalty[-1] = 1e-6
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(penalty), x.T @ (p - y) + penalty * w)
+        step = np.linalg.solve((x * (rows * (p * (1 - p) + 1e-9))[:, None]).T @ x + np.diag(penalty), x.T @ (rows * (p - y)) + penalty * w)
         w -= step
         if np.abs(step).max() < 1e-6:
             break
@@ -225,26 +225,26 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float, rounds: int = 60) -> n
 PRIOR = np.array([6.0, 3.0, 1.0, 3.0, -0.5, 1.0, 1.0, -1.0, 2.5, 1.0, 1.0, 1.5, 4.0, 3.0, -9.0])
 
 
-def fit(x: np.ndarray, ridge: float = 1.0, least: int = 20) -> np.ndarray:
-    """Calibrated weights from a sample of candidate pairs; ``PRIOR`` if it has fewer than ``least`` labels of a kind."""
-    y = weak_labels(x)
-    x, y = x[y >= 0], y[y >= 0].astype(float)
+def fit(x: np.ndarray, ridge: float = 1.0, least: int = 20, rows: np.ndarray | None = None) -> np.ndarray:
+    """Calibrated weights from a sample of candidate pairs, each of which stands for ``rows`` pairs; ``PRIOR`` if it has fewer than ``least`` labels of a kind."""
+    y, rows = weak_labels(x), np.ones(len(x)) if rows is None else rows
+    x, rows, y = x[y >= 0], rows[y >= 0], y[y >= 0].astype(float)
     if min((y == 1).sum(), (y == 0).sum()) < least:
         return PRIOR
     hidden = x[x[:, _NONE] == 0].copy()
-    shown = y[x[:, _NONE] == 0]
+    shown, stands = y[x[:, _NONE] == 0], rows[x[:, _NONE] == 0]
     hidden[:, _PATCH], hidden[:, _NONE] = 0.0, 1.0
     named = hidden[:, FEATURES.index("function_any")] > 0
-    hidden, shown = hidden[named], shown[named]
-    all_x, all_y = np.vstack([x, hidden]), np.concatenate([y, shown])
+    hidden, shown, stands = hidden[named], shown[named], stands[named]
+    all_x, all_y, rows = np.vstack([x, hidden]), np.concatenate([y, shown]), np.concatenate([rows, stands])
     held = np.arange(len(all_y)) % 4 == 0
-    w = _logistic(all_x[~held], all_y[~held], ridge)
+    w = _logistic(all_x[~held], all_y[~held], ridge, rows[~held])
     # Platt scaling on held-out pairs, on smoothed targets
     score = np.hstack([all_x[held], np.ones((held.sum(), 1))]) @ w
     positive = all_y[held] == 1
     if 0 < positive.sum() < held.sum():
         target = np.where(positive, (positive.sum() + 1) / (positive.sum() + 2), 1 / ((~positive).sum() + 2))
-        scale = _logistic(score[:, None], target, 1e-3)
+        scale = _logistic(score[:, None], target, 1e-3, rows[held])
         if scale[0] > 0.1:
             w = w * scale[0]
             w[-1] += scale[1]
@@ -276,52 +276,74 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(rows, pa.list_(pa.float64()))], ["a", "b", "x"])
 
 
-def candidates(classes: DataFrame, hot_pairs: int = HOT_PAIRS) -> DataFrame:
+def _cells(left: DataFrame, right: DataFrame, hot: DataFrame, hot_pairs: int) -> DataFrame:
+    """(a, b): every pair of the ``hot`` blocks (key, m, n), once, by a grid of cells of about ``hot_pairs`` pairs."""
+    edge = max(1, math.isqrt(hot_pairs))
+
+    def rows(side, name, axis, across, size, other):
+        held = side.join(hot, "key").groupBy("sig").agg(F.collect_list(F.struct("key", "m", "n")).alias("h"))
+        each = held.select(F.col("sig").alias(name), F.col("h.key").alias(f"{name}_hot"), F.inline("h"))
+        cells = lambda n: F.ceil(F.col(n) / edge)
+        own = F.pmod(F.xxhash64(name), cells(size)).alias(axis)
+        return each.select("key", name, f"{name}_hot", own, F.explode(F.sequence(F.lit(0).cast("bigint"), cells(other) - 1)).alias(across))
+
+    met = rows(left, "a", "x", "y", "m", "n").join(rows(right, "b", "y", "x", "n", "m"), ["key", "x", "y"])
+    return met.where(F.col("key") == F.array_min(F.array_intersect("a_hot", "b_hot"))).select("a", "b")
+
+
+def candidates(classes: DataFrame, hot_pairs: int = HOT_PAIRS, whole: bool = False) -> DataFrame:
     """(a, b): names of classes of either side that share a block key.
 
-    A block of more than ``hot_pairs`` pairs, such as that of a line which a third of all patches have, is divided: its rows meet
-    where they also share another line or key that isn't hot itself; rows that have nothing but hot elements meet each other.
-    So a pair is passed over only if all that it has in common is hot, while a side has something else.
+    A block of more than ``hot_pairs`` pairs, such as that of a line which a third of all patches have, is spread over cells
+    with ``whole``, and all its pairs meet. Else it is divided: its rows meet where they also share another line or key that isn't
+    hot itself; rows that have nothing but hot elements meet each other. That passes over a pair if all that it has in common
+    is hot, while a side has something else.
     """
     keyed = lambda side: classes.where(F.col("side") == side).select(F.explode("keys").alias("key"), "sig")
     left, right = keyed(0), keyed(1)
     count = lambda rows, n: rows.groupBy("key").agg(F.count(F.lit(1)).alias(n))
-    heated = lambda x, y: cut(count(x, "m").join(count(y, "n"), "key").where(F.col("m") * F.col("n") > hot_pairs).select("key"))
+    heated = lambda x, y: cut(count(x, "m").join(count(y, "n"), "key").where(F.col("m") * F.col("n") > hot_pairs))
     meet = lambda x, y: x.select("key", F.col("sig").alias("a")).join(y.select("key", F.col("sig").alias("b")), "key").select("a", "b")
     hot = heated(left, right)
     if hot.isEmpty():
         return meet(left, right).distinct()
-    rows = classes.select("side", "sig", "lines", "keys", F.explode("keys").alias("key")).join(hot, "key")
+    found = meet(left.join(hot, "key", "left_anti"), right.join(hot, "key", "left_anti"))
+    if whole:
+        return found.unionByName(_cells(left, right, hot, hot_pairs)).distinct()
+    rows = classes.select("side", "sig", "lines", "keys", F.explode("keys").alias("key")).join(hot.select("key"), "key")
     parts = F.filter(F.array_union("lines", "keys"), lambda x: x != F.col("key"))
     divided = rows.select("side", "sig", F.col("key").alias("block"), F.explode(parts).alias("part")).select("side", "sig", "block", F.xxhash64("block", "part").alias("key"))
     side = lambda d, k: d.where(F.col("side") == k)
     cool = divided.join(heated(side(divided, 0), side(divided, 1)), "key", "left_anti")
     alone = rows.select("side", "sig", F.col("key").alias("block")).join(cool, ["side", "sig", "block"], "left_anti").withColumnRenamed("block", "key")
-    found = meet(left.join(hot, "key", "left_anti"), right.join(hot, "key", "left_anti"))
     for part in (cool, alone):
         found = found.unionByName(meet(side(part, 0), side(part, 1)))
     return found.distinct()
 
 
-def same_fix(sec: DataFrame, swe: DataFrame, threshold: float = 0.5, fit_pairs: int = FIT_PAIRS, hot_pairs: int = HOT_PAIRS) -> DataFrame:
+def same_fix(sec: DataFrame, swe: DataFrame, threshold: float = 0.5, fit_pairs: int = FIT_PAIRS, hot_pairs: int = HOT_PAIRS, whole: bool = True) -> DataFrame:
     """(sec_id, row_id, confidence): pairs of rows whose calibrated probability is at least ``threshold``.
 
     ``sec`` has sec_id, instance_id, patch, sanitizer_report; ``swe`` row_id, instance_id, repo, base_commit, patch,
     problem_statement; other columns are ignored. Nulls and empty texts are attributes that are lacking: a row that lacks all
-    has no keys and matches nothing. Equal rows each get the links of their class. Either table may be empty.
+    has no keys and matches nothing. Equal rows each get the links of their class. Either table may be empty. All pairs of hot
+    blocks are compared, unless ``whole`` is false.
     """
     left = sec.select(F.col("sec_id").cast("bigint").alias("id"), "instance_id", "patch", "sanitizer_report")
     right = swe.select(F.col("row_id").cast("bigint").alias("id"), "instance_id", "repo", "base_commit", "patch", "problem_statement")
     parsed = written(spread(left).mapInArrow(_parse(0), _PARSED).unionByName(spread(right).mapInArrow(_parse(1), _PARSED)))
     classes = parsed.dropDuplicates(["side", "sig"])
-    pairs = candidates(classes.select("side", "sig", "keys", "lines"), hot_pairs)
+    pairs = candidates(classes.select("side", "sig", "keys", "lines"), hot_pairs, whole)
     body = lambda side, name: classes.where(F.col("side") == side).select(F.col("sig").alias(name), F.col("body").alias(f"{name}_body"))
     compared = written(pairs.join(body(0, "a"), "a").join(body(1, "b"), "b").select("a", "b", "a_body", "b_body").mapInArrow(_compare, "a binary, b binary, x array<double>"))
-    # a bounded sample, chosen by hash: the share is set so that about fit_pairs of them are read
-    share = min(1.0, fit_pairs / max(1, compared.count()))
+    # bounded samples, chosen by hash, of the pairs that may be positive and of the others: hot blocks don't drown the former
+    x = lambda name: F.col("x")[FEATURES.index(name)]
+    likely = (x("contained") >= 0.3) | (x("blobs_same") > 0)
+    total = compared.agg(F.count(F.lit(1)).alias("n"), F.count_if(likely).alias("k")).head()
+    share = {True: min(1.0, fit_pairs / max(1, total.k)), False: min(1.0, fit_pairs / max(1, total.n - total.k))}
     order = F.pmod(F.xxhash64("a", "b"), F.lit(1_000_000))
-    sample = compared.where(order < int(1_000_000 * share)).select("x").limit(2 * fit_pairs).collect()
-    weights = fit(np.array([r.x for r in sample], float).reshape(-1, len(FEATURES)))
+    sample = [(r.x, 1 / share[k]) for k in (True, False) for r in compared.where(likely if k else ~likely).where(order < int(1_000_000 * share[k])).select("x").limit(2 * fit_pairs).collect()]
+    weights = fit(np.array([x for x, _ in sample], float).reshape(-1, len(FEATURES)), rows=np.array([n for _, n in sample]))
     score = F.lit(float(weights[-1]))
     for i, w in enumerate(weights[:-1]):
         score = score + F.lit(float(w)) * F.col("x")[i]

@@ -172,3 +172,23 @@ def test_a_leak_in_a_third_of_the_documents(spark, sf_dir):
     got = {d for d, i in many if i == hot and d >= first}
     assert len(want) > 0.9 * len(copies) and len(got & want) >= 0.99 * len(want)
     assert few <= many
+
+
+def test_all_pairs_of_hot_blocks_meet(spark):
+    """Rows without a patch share a hot function alone with the other side, whose rows have something else."""
+    report = REPORT.replace("SUMMARY", "    #1 0x1b in own_fn_{0} /src/p/lib/x.c:3:2\nSUMMARY").replace("crash_fn_{0}", "shared_fn")
+    sec = [(i, f"proj.ossfuzz-{i}", None, report.format(i)) for i in range(40)]
+    swe = [(1000 + i, f"o__proj-{i}", "o/proj", None, PATCH.format(i, i + 5000), f"shared_fn crashes for the {i}th time. More.") for i in range(30)]
+    a = spark.createDataFrame(sec, "sec_id long, instance_id string, patch string, sanitizer_report string")
+    b = spark.createDataFrame(swe, "row_id long, instance_id string, repo string, base_commit string, patch string, problem_statement string")
+    rows = matching.same_fix(a, b, threshold=0.0, hot_pairs=30).collect()
+    assert len(rows) == 1200 and {(r.sec_id, r.row_id) for r in rows} == {(i, 1000 + j) for i in range(40) for j in range(30)}
+
+
+def test_cells_meet_each_pair_once(spark):
+    rows = [(s, bytes([s, i]), [7, 8, 1000 + i]) for s in (0, 1) for i in range(40)]
+    classes = spark.createDataFrame(rows, "side int, sig binary, keys array<long>")
+    side = lambda k: classes.where(F.col("side") == k).select(F.explode("keys").alias("key"), "sig")
+    hot = spark.createDataFrame([(7, 40, 40), (8, 40, 40)], "key long, m long, n long")
+    got = [(bytes(r.a), bytes(r.b)) for r in matching._cells(side(0), side(1), hot, 100).collect()]
+    assert len(got) == len(set(got)) == 1600
