@@ -4,7 +4,8 @@ Method: MinHash candidate blocking across attributes, pairwise similarity featur
 and calibrated probabilities.
 
 * Blocking. A row's attributes (changed lines of the patch, blob pairs, function names of the crash) give block keys: minima of
-  hashes for the changed lines, and every element for the small sets. Rows that share a key are candidates. Equal rows are one class.
+  hashes for the changed lines, and every element for the small sets. All functions that a report or a statement names are keys by
+  their last part, within the project. Rows that share a key are candidates. Equal rows are one class.
 * Features. Containment and similarity of changed lines, agreement of blobs, files, functions, project names and base commits,
   with flags for what a side lacks.
 * Weak labels. Agreeing blobs or nearly equal changes are positive, patches without a common line negative; copies of labelled
@@ -32,6 +33,8 @@ from kinsieve.plans.lineage import cut, spread, written
 MINIMA = 24
 #: A block of more pairs than this is spread over cells of about so many.
 HOT_PAIRS = 1_000_000
+#: Leading characters of the project's name within which functions are keys by their last part.
+PROJECT = 3
 #: Candidate pairs of either kind, those that may be positive and others, on which the classifier is fitted, chosen by hash.
 FIT_PAIRS = 20_000
 
@@ -84,20 +87,35 @@ def parse_patch(patch: str | None) -> dict:
     return {"lines": sorted(lines), "short": sorted(short), "files": sorted(files - {"dev"}), "blobs": {k: list(v) for k, v in sorted(blobs.items())}, "base": base}
 
 
-def crash_functions(report: str | None) -> tuple[list[str], str]:
-    """(functions of the summary and of the first frames of the project, kind of crash) of a report, in lower case."""
-    text = _ESCAPES.sub("", report or "").replace("\r", "")
-    names = []
-    if m := _SUMMARY.search(text):
-        names.append(m[2].lower())
+def _clean(report: str | None) -> str:
+    return _ESCAPES.sub("", report or "").replace("\r", "")
+
+
+def own_functions(report: str | None) -> list[str]:
+    """The function of the summary and those of all frames of the project, in lower case."""
+    text = _clean(report)
+    names = [m[2].lower()] if (m := _SUMMARY.search(text)) else []
     for m in _FRAME.finditer(text):
         name, path = m[1].lower(), (m[2] or "").lower()
         if name not in _ENTRY and not name.startswith("__") and not any(r in path for r in _RUNTIME):
             names.append(name)
-        if len(names) >= 4:
-            break
-    kind = _KIND.search(text)
-    return list(dict.fromkeys(names))[:3], kind[1].lower().replace("-", " ") if kind else ""
+    return names
+
+
+def same_function(a: str, b: str) -> bool:
+    """Equal names, or a short name and one that is qualified with it: titles give the one, reports the other."""
+    return a == b or a.endswith("::" + b) or b.endswith("::" + a)
+
+
+def last_parts(names: list[str]) -> list[str]:
+    """Names without the namespaces and classes in front."""
+    return sorted({x.lower().rsplit("::", 1)[-1].lstrip("~") for x in names} - {""})
+
+
+def crash_functions(report: str | None) -> tuple[list[str], str]:
+    """(functions of the summary and of the first frames of the project, kind of crash) of a report, in lower case."""
+    kind = _KIND.search(_clean(report))
+    return list(dict.fromkeys(own_functions(report)[:4]))[:3], kind[1].lower().replace("-", " ") if kind else ""
 
 
 def title_functions(statement: str | None) -> tuple[list[str], str]:
@@ -129,14 +147,16 @@ def record(side: int, values: dict) -> dict:
     parsed = parse_patch(values.get("patch"))
     if side == 0:
         functions, about = crash_functions(values.get("sanitizer_report"))
+        said = own_functions(values.get("sanitizer_report"))
         project = core_name((values.get("instance_id") or "").split(".")[0])
         commit = parsed.pop("base")
     else:
         functions, about = title_functions(values.get("problem_statement"))
+        said = [x.lower() for x in _IDENTIFIER.findall(values.get("problem_statement") or "")]
         repo = values.get("repo") or (values.get("instance_id") or "").rsplit("-", 1)[0].replace("__", "/")
         project, commit = core_name(repo), (values.get("base_commit") or "").strip().lower()
         parsed.pop("base")
-    return parsed | {"functions": functions, "about": about, "project": project, "commit": commit}
+    return parsed | {"functions": functions, "said": sorted(set(said)), "about": about, "project": project, "commit": commit}
 
 
 _SEEDS = np.random.default_rng(11).integers(1, 2**63, MINIMA, dtype=np.uint64) | np.uint64(1)
@@ -145,6 +165,8 @@ _SEEDS = np.random.default_rng(11).integers(1, 2**63, MINIMA, dtype=np.uint64) |
 def block_keys(r: dict) -> list[int]:
     """Hashes that two rows of the same fix are likely to share."""
     keys = [_h("function", f) for f in r["functions"]]
+    if r["project"]:  # its beginning, as names of one project differ at the end
+        keys += [_h("name", r["project"][:PROJECT], f) for f in last_parts(r["said"])]
     keys += [_h("blob", file, before[:7], after[:7]) for file, (before, after) in r["blobs"].items()]
     lines = r["lines"] or r["short"]
     if lines:
@@ -161,7 +183,7 @@ def _same(a: str, b: str) -> bool:
     return n >= 7 and a[:n] == b[:n]
 
 
-FEATURES = ("contained", "alike", "common", "blobs_same", "blobs_other", "files", "base_same", "base_other", "function_first", "function_any", "about", "crash_words", "project", "no_patch")
+FEATURES = ("contained", "alike", "common", "blobs_same", "blobs_other", "files", "base_same", "base_other", "function_first", "function_any", "said", "frames", "about", "crash_words", "project", "no_patch")
 
 
 def features(a: dict, b: dict) -> list[float]:
@@ -173,7 +195,9 @@ def features(a: dict, b: dict) -> list[float]:
     same = sum(_same(a["blobs"][f][0], b["blobs"][f][0]) and _same(a["blobs"][f][1], b["blobs"][f][1]) for f in shared)
     fa, fb = set(a["files"]), set(b["files"])
     ca, cb = a["commit"], b["commit"]
-    first = bool(a["functions"]) and a["functions"][0] in b["functions"]
+    named = [any(same_function(f, g) for g in b["functions"]) for f in a["functions"]]
+    first = named[:1] == [True]
+    top = a["functions"][:1]
     return [
         common / least if least else 0.0,
         common / len(la | lb) if least else 0.0,
@@ -184,7 +208,9 @@ def features(a: dict, b: dict) -> list[float]:
         float(bool(ca and cb) and _same(ca, cb)),
         float(bool(ca and cb) and not _same(ca, cb)),
         float(first),
-        float(bool(set(a["functions"]) & set(b["functions"]))),
+        float(any(named)),
+        float(first or any(same_function(f, g) for f in top for g in b["said"])),
+        float(not set(last_parts(a["said"])).isdisjoint(last_parts(b["said"]))),
         float(bool(a["about"]) and a["about"] in b["about"].replace("-", " ")),
         float(first and bool(_CRASH.search(b["about"]))),
         name_likeness(a["project"], b["project"]),
@@ -222,7 +248,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float, rows: np.ndarray, roun
 
 
 #: Used where a table has too few labelled pairs to fit anything, in the order of FEATURES, then the intercept.
-PRIOR = np.array([6.0, 3.0, 1.0, 3.0, -0.5, 1.0, 1.0, -1.0, 2.5, 1.0, 1.0, 1.5, 4.0, 3.0, -9.0])
+PRIOR = np.array([6.0, 3.0, 1.0, 3.0, -0.5, 1.0, 1.0, -1.0, 2.5, 1.0, 0.5, 0.0, 1.0, 1.5, 4.0, 3.0, -9.0])
 
 
 def fit(x: np.ndarray, ridge: float = 1.0, least: int = 20, rows: np.ndarray | None = None) -> np.ndarray:
@@ -234,7 +260,7 @@ def fit(x: np.ndarray, ridge: float = 1.0, least: int = 20, rows: np.ndarray | N
     hidden = x[x[:, _NONE] == 0].copy()
     shown, stands = y[x[:, _NONE] == 0], rows[x[:, _NONE] == 0]
     hidden[:, _PATCH], hidden[:, _NONE] = 0.0, 1.0
-    named = hidden[:, FEATURES.index("function_any")] > 0
+    named = hidden[:, [FEATURES.index(x) for x in ("function_any", "said", "frames")]].any(axis=1)
     hidden, shown, stands = hidden[named], shown[named], stands[named]
     all_x, all_y, rows = np.vstack([x, hidden]), np.concatenate([y, shown]), np.concatenate([rows, stands])
     held = np.arange(len(all_y)) % 4 == 0

@@ -192,3 +192,19 @@ def test_cells_meet_each_pair_once(spark):
     hot = spark.createDataFrame([(7, 40, 40), (8, 40, 40)], "key long, m long, n long")
     got = [(bytes(r.a), bytes(r.b)) for r in matching._cells(side(0), side(1), hot, 100).collect()]
     assert len(got) == len(set(got)) == 1600
+
+
+def test_functions_are_found_wherever_they_stand():
+    """Short names for qualified ones, deep frames, and identifiers behind the first sentence make keys within a project."""
+    frames = [*(f"helper_fn_{k}" for k in range(6)), "Dap::RemoteBatch::hashBatch(int*)"]
+    report = "".join(f"    #{k} 0x1a in {f} /src/p/lib/x.c:{k}:2\n" for k, f in enumerate(frames))
+    sec = matching.record(0, {"instance_id": "libproject.ossfuzz-1", "patch": None, "sanitizer_report": report})
+    swe = lambda text, repo="o/Project": matching.record(1, {"repo": repo, "patch": PATCH.format(1, 2), "problem_statement": text})
+    shared = lambda b: set(matching.block_keys(sec)) & set(matching.block_keys(b))
+    assert shared(swe("Fuzzing found a bug in hashBatch. More.")) and shared(swe("A title.\n\n" + "word " * 200 + "see helper_fn_5 there"))
+    assert not shared(swe("Fuzzing found a bug in hashBatch.", "o/other")) and not shared(swe("Fuzzing found a bug in hashPatch."))
+    top = matching.record(0, {"instance_id": "libproject.ossfuzz-1", "patch": None, "sanitizer_report": report.replace("helper_fn_0", "Dap::RemoteBatch::hashBatch")})
+    got = dict(zip(matching.FEATURES, matching.features(top, swe("Fuzzing found a bug in hashBatch. More."))))
+    assert got["function_first"] == got["said"] == 1.0
+    other = dict(zip(matching.FEATURES, matching.features(top, swe("Xyz::OtherBatch::hashBatch crashes."))))
+    assert other["function_first"] == other["said"] == 0.0
