@@ -216,6 +216,17 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def diagonals(a: np.ndarray, b: np.ndarray, least: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(positions in a, in b) of the equal words (not below 0) at each distance of positions that has ``least`` of them or more."""
+    order = np.argsort(b, kind="stable")
+    lo, hi = np.searchsorted(b[order], a, "left"), np.searchsorted(b[order], a, "right")
+    counts = np.where(a >= 0, hi - lo, 0)
+    ai = np.repeat(np.arange(len(a)), counts)
+    bi = order[np.repeat(lo - np.cumsum(counts) + counts, counts) + np.arange(len(ai))]
+    distance, which, held = np.unique(bi - ai, return_inverse=True, return_counts=True)
+    return [(ai[which == k], bi[which == k]) for k in np.flatnonzero(held >= least)] if len(distance) else []
+
+
 def leaked(item: np.ndarray, own: np.ndarray, doc: np.ndarray, passage: int = PASSAGE, changed: float = CHANGED, least_own: int = OWN) -> int:
     """Words of the longest leaked passage of the item in the document's words, or 0.
 
@@ -224,22 +235,29 @@ def leaked(item: np.ndarray, own: np.ndarray, doc: np.ndarray, passage: int = PA
     """
     need = min(passage, len(item))
     pairs = common_subsequence(item, doc)
-    n = len(pairs)
-    if n < need * (1 - changed) - 1e-9:
-        return 0
-    ai, bi = np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs])
-    kept_own, all_own = np.concatenate([[0], np.cumsum(own[ai])]), np.concatenate([[0], np.cumsum(own)])
-    if kept_own[-1] < min(least_own, all_own[-1]):
+    if len(pairs) < need * (1 - changed) - 1e-9:
         return 0
-    best = 0
-    for s in range(n):
-        e = np.arange(s, n)
-        span = ai[e] - ai[s] + 1
-        length = np.maximum(span, bi[e] - bi[s] + 1)
-        kept, every = kept_own[e + 1] - kept_own[s], all_own[ai[e] + 1] - all_own[ai[s]]
-        ok = (length - (e - s + 1) <= changed * length + 1e-9) & (span >= need) & (kept >= np.minimum(least_own, all_own[-1])) & (2 * kept >= every)
-        if ok.any():
-            best = max(best, int(span[ok].max()))
+    all_own = np.concatenate([[0], np.cumsum(own)])
+
+    def longest(ai: np.ndarray, bi: np.ndarray) -> int:
+        n, best = len(ai), 0
+        kept_own = np.concatenate([[0], np.cumsum(own[ai])])
+        if kept_own[-1] < min(least_own, all_own[-1]):
+            return 0
+        for s in range(n):
+            e = np.arange(s, n)
+            span = ai[e] - ai[s] + 1
+            length = np.maximum(span, bi[e] - bi[s] + 1)
+            kept, every = kept_own[e + 1] - kept_own[s], all_own[ai[e] + 1] - all_own[ai[s]]
+            ok = (length - (e - s + 1) <= changed * length + 1e-9) & (span >= need) & (kept >= np.minimum(least_own, all_own[-1])) & (2 * kept >= every)
+            if ok.any():
+                best = max(best, int(span[ok].max()))
+        return best
+
+    # the subsequence is one of several: where words of a passage stand elsewhere too it may leave it, but its diagonal holds it
+    best = longest(np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs]))
+    for ai, bi in diagonals(item, doc, need * (1 - changed) - 1e-9):
+        best = max(best, longest(ai, bi))
     return best
 
 

@@ -208,3 +208,17 @@ def test_functions_are_found_wherever_they_stand():
     assert got["function_first"] == got["said"] == 1.0
     other = dict(zip(matching.FEATURES, matching.features(top, swe("Xyz::OtherBatch::hashBatch crashes."))))
     assert other["function_first"] == other["said"] == 0.0
+
+
+def test_every_verbatim_window_is_a_leak(spark, sf_dir):
+    """Fifteen words in a row of which four are own ones, alone or with an equal word of the item before and behind, by their places alone."""
+    known = leaks.Items([(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/eval_items.parquet").collect()])
+    windows = refused = 0
+    for i, ids in known.ids.items():
+        own = known.own[i]
+        for s in range(0, len(ids) - 14, 5):
+            if own[s : s + 15].sum() >= 4:
+                for doc in (ids[s : s + 15], np.concatenate([ids[s + 7 : s + 8], [-1] * 6, ids[s : s + 15], [-1] * 6, ids[s + 3 : s + 4]]).astype(np.int32)):
+                    windows, refused = windows + 1, refused + (leaks.leaked(ids, own, doc) < 15)
+    assert windows > 100 and refused == 0
+    assert leaks.diagonals(np.array([1, -1, 2]), np.array([5, 1, -1, 2, 1]), 2)[0][0].tolist() == [0, 2] and leaks.diagonals(ids[:0], ids, 1) == []
