@@ -162,25 +162,31 @@ def latent(docs: DataFrame, items: Items, weight: np.ndarray, rank: int = RANK,
     w = weight.astype(np.float32)
     floor = _floor(m)
 
-    def make(out, batch):
-        out = out.reshape(len(w), width)
-        for v in batch.column(1).to_pylist():
-            _, p = passages(np.frombuffer(v, np.int32))
-            for row in p[_energies(p, w) >= floor]:
-                x = np.unique(row[row >= 0])
-                out[x] += w[x][:, None] * (w[x] @ probe[x])[None, :]
+    def multiplied(q):
+        """The documents' passages' part of A^T (A q)."""
+
+        def make(out, batch):
+            out = out.reshape(q.shape)
+            for v in batch.column(1).to_pylist():
+                _, p = passages(np.frombuffer(v, np.int32))
+                for row in p[_energies(p, w) >= floor]:
+                    x = np.unique(row[row >= 0])
+                    out[x] += w[x][:, None] * (w[x] @ q[x])[None, :]
+
+        return _sums(sample, make, q.size).reshape(q.shape)
 
     share = min(1.0, fit_docs / max(1.0, total))
     sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * share))
-    spread = _sums(sample, make, len(w) * width).reshape(len(w), width)
-    own = unit.T @ (unit @ probe)
+    spread, own = multiplied(probe), unit.T @ (unit @ probe)
     scale = np.linalg.norm(own) / max(np.linalg.norm(spread), 1e-9)
-    basis, _ = np.linalg.qr(own + scale * spread)
-    # one more multiplication with the items' side, then the factors of the small matrix
-    basis, _ = np.linalg.qr(unit.T @ (unit @ basis))
-    _, s, vt = np.linalg.svd(unit @ basis, full_matrices=False)
-    keep = min(rank, int((s > 1e-6 * max(s[0], 1e-9)).sum()) if len(s) else 0)
-    return (basis @ vt[:keep].T).astype(np.float32)
+    basis = np.linalg.qr(own + scale * spread)[0].astype(np.float32)
+    # one power iteration, then the main directions within the basis, both with the passages of either side
+    basis = np.linalg.qr(unit.T @ (unit @ basis) + scale * multiplied(basis))[0].astype(np.float32)
+    both = basis.T @ (unit.T @ (unit @ basis) + scale * multiplied(basis))
+    s, v = np.linalg.eigh((both + both.T) / 2)
+    s, v = s[::-1], v[:, ::-1]
+    keep = min(rank, int((s > 1e-12 * max(s[0], 1e-9)).sum())) if len(m) else 0
+    return (basis @ v[:, :keep]).astype(np.float32)
 
 
 def _floor(m: np.ndarray) -> float:

@@ -222,3 +222,14 @@ def test_every_verbatim_window_is_a_leak(spark, sf_dir):
                     windows, refused = windows + 1, refused + (leaks.leaked(ids, own, doc) < 15)
     assert windows > 100 and refused == 0
     assert leaks.diagonals(np.array([1, -1, 2]), np.array([5, 1, -1, 2, 1]), 2)[0][0].tolist() == [0, 2] and leaks.diagonals(ids[:0], ids, 1) == []
+
+
+def test_latent_space_is_fitted_on_both_sides(spark):
+    """Words of two items that documents always hold together are a main direction, though no item's passage has both."""
+    known = leaks.Items([(i, ITEM.format(i + 10)) for i in range(12)])
+    a, b = known.number["reader_10"], known.number["union_15"]
+    docs = spark.createDataFrame([(d, np.array([a, -1, b], np.int32).tobytes()) for d in range(200)], "doc_id long, ids binary")
+    basis = leaks.latent(docs, known, np.ones(len(known.number)), rank=4, total=200)
+    both = np.zeros(len(basis))
+    both[[a, b]] = 0.5**0.5
+    assert np.allclose(basis.T @ basis, np.eye(basis.shape[1]), atol=1e-3) and np.linalg.norm(basis.T @ both) > 0.9
