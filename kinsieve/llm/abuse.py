@@ -1,8 +1,8 @@
 """Problem 8: a score of abusive, hateful or sexual content for every document, and a rate for every source.
 
 Method: multiple-instance learning. A document is a bag of sentences; each sentence gets a probability from its words and word pairs,
-and a noisy-or combines them: a document is abusive if at least one sentence is. The weights are trained from document labels
-alone, starting from (and pulled towards) a small lexicon, and the trained sentence scores then locate the offending sentence.
+and a noisy-or combines them: a document is abusive if at least one sentence is. Every weight is learned from document labels; there is
+no word list. The trained sentence scores then locate the offending sentence.
 Words are first undone of disguises: odd alphabets, invisible characters, digits for letters, stretched, spaced or masked letters.
 """
 
@@ -21,36 +21,17 @@ from pyspark.sql import functions as F
 from kinsieve.llm.plaintext import _INVISIBLE, _MARKS, LOOKALIKES
 from kinsieve.plans.lineage import spread
 
-#: Labelled documents on which the model is trained, chosen by hash if there are more.
-FIT_DOCS = 6_000
+#: Labelled documents on which the model is trained, chosen by hash if there are more, and the longest of them: both bound the fit only.
+FIT_DOCS, FIT_CHARS = 6_000, 200_000
 #: Shares of labels that are wrong, assumed of the raters: harmless documents labelled, abusive ones not.
 FALSE_ALARM, MISSED = 0.06, 0.12
-#: A word or pair may speak for abuse if this share of its documents is labelled so, and so many deviations more than of all.
-TELLING_SHARE, TELLING_Z = 0.65, 3.5
-#: Words of so few letters speak for it in pairs only: most are pronouns and the like.
-SHORT = 4
-#: Logit of a sentence without any known word, and what a word or pair of the lexicon, and a masked word, add to it at first; what a weak word and
-#: one of quoting add.
-BIAS, LEXICON_WEIGHT, WEAK_WEIGHT, MASK_WEIGHT, QUOTING_WEIGHT = -6.5, 7.0, 3.4, 4.0, -4.0
-
-# Words that insult, threaten, degrade or are sexual in most contexts, in English, German, French and Spanish.
-STRONG = """asshole bastard bitch bullshit cunt dickhead dumbass fuck fucking fucker motherfucker halfwit idiot imbecile loser moron
-pathetic scum shithead twat twit whore slut vermin parasites parasite cockroaches subhuman retard cripples leech nudes porn xxx horny
-undress worthless brainless cretin
-arschloch abschaum fresse hurensohn missgeburt nacktbilder sau schlampe verpiss versager wichser drecksau verprügeln
-connard connasse crétin salaud salope merde vermine gueule crever nues putain enculé
-cabrón gilipollas imbécil mierda puta pendejo maricón desnuda mueras cállate""".split()
-# Words that do so only next to others of their kind.
-WEAK = """stupid lazy useless filthy disgusting miserable clueless clown coward garbage trash thieves criminals animals criminal hardcore naked nude kill yourself hate
-foreigners immigrants refugees women gays muslims jews southerners breed tribe hunt hurt swear hospital wheelchair tonight clothes touch bridge choke vanished
-dumme dumm geiles ausländer letzte raus ordure étrangers dehors nue basura gente guapa belle""".split()
-# Pairs of words that make such a sentence although each alone is harmless.
-PAIRS = """kill yourself|hang yourself|hunt you|hurt you|you vanished|miss you|off a|drop dead|dropped dead|locked up|no place|round up|too useless|too lazy|too stupid
-be ashamed|shut up|freak show|without clothes|touch myself|undress you|imagining you|nude photos|sex every|sexy thing|my room|your mother|your face|will need
-their kind|whole nation|that tribe|whole breed|been born|are born|dropped on|hole you|you choke|a wheelchair|in hospital|verpiss dich|halt die|du dumme|ta gueule|va crever|te mueras
-voy a|partir la|casser la|esa gente|de mierda|better off""".replace("\n", "|").split("|")
-# Words of rules and filters that quote such language, and of its technical use.
-QUOTING = "removed rules conduct blacklist denylist filter filters rejects slurs moderation moderators banned words pointer process parent child sorry collector".split()
+#: A word or pair may speak for abuse if this share of its labelled documents is abusive, and so many deviations more than of all.
+TELLING_SHARE, TELLING_Z = 0.6, 3.0
+#: Logit of a sentence without any known word, the most that one word or pair adds to it (so that a single one never decides), and the
+#: pull of all weights towards 0.
+BIAS, MOST, PULL = -8.0, 5.0, 0.05
+#: A word or pair has a weight if it stands in so many labelled documents.
+LEAST_DOCS = 3
 
 _SPACED = re.compile(r"(?<![\w.])\w(?:([ .\-_*·])\w)(?:\1\w)+(?!\w)")
 _SENTENCE = re.compile(r"(?<=[.!?])[\"')\]]*\s+|\n+|</?p>|<br ?/?>")
@@ -94,15 +75,13 @@ def _joined(sentence: str, known=()) -> str:
 
 
 class Reader:
-    """Numbers of the words of a sentence in a fixed vocabulary; 0 for other words, 1 for a masked one that fits no word."""
+    """Numbers of the words of a sentence in a fixed vocabulary; 0 for other words, 1 for a masked one that fits no word.
 
-    def __init__(self, vocabulary: dict[str, int]):
-        self.known, self.memo = vocabulary, {}
-        self.masks: dict[tuple[str, str, int], int] = {}
-        for w in (clear_text(w) for w in STRONG):
-            n = vocabulary.get(_squeezed(w))
-            if n is not None:
-                self.masks[(w[0], w[-1], len(w))] = n
+    ``masks`` has the number that a masked word stands for, by its first and last letter and its length.
+    """
+
+    def __init__(self, vocabulary: dict[str, int], masks: dict[tuple[str, str, int], int]):
+        self.known, self.masks, self.memo = vocabulary, masks, {}
 
     def number(self, token: str) -> int:
         n = self.known.get(token)
@@ -146,8 +125,11 @@ def words_of(sentence: str) -> list[str]:
 class Model:
     """Weights of words and of pairs of neighbouring words."""
 
-    def __init__(self, vocabulary: dict[str, int], pairs: np.ndarray, words_w: np.ndarray, pairs_w: np.ndarray, bias: float):
-        self.vocabulary, self.pairs, self.words_w, self.pairs_w, self.bias = vocabulary, pairs, words_w, pairs_w, bias
+    def __init__(self, vocabulary: dict[str, int], masks: dict[tuple[str, str, int], int], pairs: np.ndarray, words_w: np.ndarray, pairs_w: np.ndarray):
+        self.vocabulary, self.masks, self.pairs, self.words_w, self.pairs_w = vocabulary, masks, pairs, words_w, pairs_w
+
+    def reader(self) -> Reader:
+        return Reader(self.vocabulary, self.masks)
 
     def logits(self, numbers: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """A logit for each sentence; ``numbers`` of all words, ``starts`` of the sentences, none of them empty."""
@@ -158,7 +140,7 @@ class Model:
             hit = self.pairs[at] == key
             hit[starts[1:] - 1] = False
             w[1:] += np.where(hit, self.pairs_w[at], 0)
-        return np.add.reduceat(w, starts) + self.bias
+        return np.add.reduceat(w, starts) + BIAS
 
 
 def _bags(reader: Reader, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
@@ -174,81 +156,80 @@ def _bags(reader: Reader, texts: list[str | None]) -> tuple[np.ndarray, np.ndarr
     return flat, np.array(starts, np.int64), np.array(owner, np.int64), kept
 
 
-def _lexicon() -> tuple[dict[str, float], dict[tuple[str, str], float]]:
-    """Weights of words and of pairs before any training."""
-    form = lambda w: _squeezed(clear_text(w))
-    words = {form(w): QUOTING_WEIGHT for w in QUOTING} | {form(w): WEAK_WEIGHT for w in WEAK} | {form(w): LEXICON_WEIGHT for w in STRONG}
-    return words, {tuple(map(form, p.split()[:2])): WEAK_WEIGHT for p in PAIRS}
+def _telling(n: np.ndarray, k: np.ndarray, base: float) -> np.ndarray:
+    """Which of the features, in ``n`` labelled documents of which ``k`` are abusive, may speak for abuse. Any may speak against it."""
+    return (n > 0) & (k >= TELLING_SHARE * n) & (k - n * base >= TELLING_Z * np.sqrt(n * base * (1 - base)))
 
 
-def train(texts: list[str], labels: list[float], rounds: int = 220, pull: float = 0.1, least: int = 3) -> Model:
-    """A model from document labels (0 to 1). Without labels, the lexicon alone."""
-    strong, strong_pairs = _lexicon()
-    cleared = [[words_of(s) for s in sentences(clear_text(t))] for t in texts]
-    holders, pair_holders = Counter(), Counter()
-    for doc in cleared:
-        holders.update({w for s in doc for w in s})
-    kept = {w for w, k in holders.items() if k >= least} | set(strong) | {w for p in strong_pairs for w in p}
-    vocabulary = {w: n + 2 for n, w in enumerate(sorted(kept))}
-    size = len(vocabulary) + 2
-    for doc in cleared:
-        pair_holders.update({(a, b) for s in doc for a, b in zip(s, s[1:]) if a in vocabulary and b in vocabulary})
-    both = {p for p, k in pair_holders.items() if k >= least} | set(strong_pairs)
-    keys = np.array(sorted({vocabulary[a] * size + vocabulary[b] for a, b in both}), np.int64)
-    words0, pairs0 = np.zeros(size), np.zeros(len(keys))
-    for w, weight in strong.items():
-        words0[vocabulary[w]] = weight
-    words0[1] = MASK_WEIGHT
-    for (a, b), weight in strong_pairs.items():
-        pairs0[np.searchsorted(keys, vocabulary[a] * size + vocabulary[b])] = weight
-    model = Model(vocabulary, keys, words0.copy(), pairs0.copy(), BIAS)
-    y = np.clip(np.array(labels, float), 0.0, 1.0)
-    numbers, starts, owner, _ = _bags(Reader(vocabulary), texts)
-    if not len(starts) or not len(y):
-        return model
-    # occurrences: (sentence, feature), features being words and then pairs
+def _vocabulary(texts: list[str], abusive: np.ndarray) -> tuple[dict[str, int], dict[tuple[str, str, int], int]]:
+    """Words of at least ``LEAST_DOCS`` documents with their numbers, and of the telling ones what a masked word may stand for."""
+    held, bad = Counter(), Counter()
+    for text, label in zip(texts, abusive.tolist()):
+        words = {w for s in sentences(clear_text(text)) for w in words_of(s)}
+        held.update(words)
+        if label:
+            bad.update(words)
+    vocabulary = {w: i + 2 for i, w in enumerate(sorted(w for w, k in held.items() if k >= LEAST_DOCS))}
+    n = np.array([held[w] for w in vocabulary], float)
+    k = np.array([bad[w] for w in vocabulary], float)
+    masks: dict[tuple[str, str, int], int] = {}
+    for w, telling, _ in sorted(zip(vocabulary, _telling(n, k, float(abusive.mean())), k), key=lambda x: (x[2], x[0])):
+        if telling and len(w) >= 3:
+            masks[(w[0], w[-1], len(w))] = vocabulary[w]
+    return vocabulary, masks
+
+
+def _occurrences(numbers: np.ndarray, starts: np.ndarray, owner: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sentence, feature, pairs): each feature once in each sentence that holds it; pairs come after the ``size`` words."""
     ends = np.append(starts[1:], len(numbers))
-    sent = np.repeat(np.arange(len(starts)), ends - starts)
-    key = numbers[:-1] * size + numbers[1:]
-    at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-    hit = (keys[at] == key) & (sent[:-1] == sent[1:])
-    feature = np.concatenate([numbers, size + at[hit]])
-    where = np.concatenate([sent, sent[1:][hit]])
-    keep = feature != 0
-    order = np.unique(where[keep] * (size + len(keys)) + feature[keep])  # a feature counts once in a sentence
-    where, feature = order // (size + len(keys)), order % (size + len(keys))
-    prior = np.concatenate([words0, pairs0])
-    # only what is clearly more frequent in abusive documents may speak for abuse; anything may speak against it
-    held = np.unique(owner[where] * len(prior) + feature)
-    doc_of, what = held // len(prior), held % len(prior)
-    n = np.bincount(what, minlength=len(prior))
-    k = np.bincount(what, weights=y[doc_of], minlength=len(prior))
-    base = min(max(float(y.mean()), 1e-3), 1 - 1e-3)
-    telling = (k >= TELLING_SHARE * n) & (k - n * base >= TELLING_Z * np.sqrt(n * base * (1 - base))) & (n > 0)
-    for w, i in vocabulary.items():
-        telling[i] &= len(w) > SHORT
-    ceiling = np.where(telling, np.inf, np.maximum(prior, 0))
-    w, bias = prior.copy(), BIAS
-    m1, m2, b1, b2 = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
-    docs = len(texts)
+    sentence = np.repeat(np.arange(len(starts)), ends - starts)
+    inside = (sentence[:-1] == sentence[1:]) & (numbers[:-1] > 0) & (numbers[1:] > 0)
+    key, at = (numbers[:-1] * size + numbers[1:])[inside], sentence[1:][inside]
+    pairs, which = np.unique(key, return_inverse=True)
+    holders = np.bincount(np.unique(owner[at] * max(1, len(pairs)) + which) % max(1, len(pairs)), minlength=len(pairs))
+    number = np.cumsum(holders >= LEAST_DOCS) - 1
+    frequent = holders[which] >= LEAST_DOCS if len(which) else np.zeros(0, bool)
+    pairs = pairs[holders >= LEAST_DOCS]
+    feature = np.concatenate([numbers[numbers > 0], size + number[which[frequent]]])
+    where = np.concatenate([sentence[numbers > 0], at[frequent]])
+    width = size + len(pairs)
+    once = np.unique(where * width + feature)
+    return once // width, once % width, pairs
+
+
+def train(texts: list[str], labels: list[float], rounds: int = 220) -> Model:
+    """A model from document labels (0 to 1). Without labels of both kinds nothing is known, and no sentence is abusive."""
+    y = np.clip(np.array(labels, float), 0.0, 1.0)
+    abusive = y > 0.5
+    none_known = Model({}, {}, np.empty(0, np.int64), np.zeros(2), np.empty(0))
+    if not abusive.any() or abusive.all():
+        return none_known
+    vocabulary, masks = _vocabulary(texts, abusive)
+    size = len(vocabulary) + 2
+    numbers, starts, owner, _ = _bags(Reader(vocabulary, masks), texts)
+    if not len(starts):
+        return none_known
+    where, feature, pairs = _occurrences(numbers, starts, owner, size)
+    width, docs = size + len(pairs), len(texts)
+    held = np.unique(owner[where] * width + feature)
+    n, k = np.bincount(held % width, minlength=width), np.bincount(held % width, weights=abusive[held // width], minlength=width)
+    telling = _telling(n, k, float(abusive.mean()))
+    most = np.where(telling, MOST, 0.0)
+    w = telling.astype(float)
+    m1, m2 = np.zeros(width), np.zeros(width)
+    told = 1 - FALSE_ALARM - MISSED
     for r in range(1, rounds + 1):
-        z = np.clip(np.bincount(where, weights=w[feature], minlength=len(starts)) + bias, -30, 30)
+        z = np.clip(np.bincount(where, weights=w[feature], minlength=len(starts)) + BIAS, -30, 30)
         p = np.clip(1 / (1 + np.exp(-z)), 1e-9, 1 - 1e-9)
         none = np.exp(np.bincount(owner, weights=np.log1p(-p), minlength=docs))  # no sentence is abusive
-        some = np.clip(1 - none, 1e-6, 1 - 1e-9)
         # raters err: the chance that a document is labelled isn't that it is abusive
-        seen = FALSE_ALARM + (1 - FALSE_ALARM - MISSED) * some
-        slope = ((1 - y) / (1 - seen) - y / seen) * (1 - FALSE_ALARM - MISSED) * none
-        g = slope[owner] * p
-        grad = np.bincount(feature, weights=g[where], minlength=len(w)) + pull * 4 * (w - prior)
-        gb = g.sum() + 0.5 * (bias - BIAS)
+        seen = FALSE_ALARM + told * np.clip(1 - none, 1e-6, 1 - 1e-9)
+        slope = ((1 - y) / (1 - seen) - y / seen) * told * none
+        grad = np.bincount(feature, weights=(slope[owner] * p)[where], minlength=width) + 4 * PULL * w
         m1, m2 = 0.9 * m1 + 0.1 * grad, 0.99 * m2 + 0.01 * grad**2
-        b1, b2 = 0.9 * b1 + 0.1 * gb, 0.99 * b2 + 0.01 * gb**2
         rate = 0.15 * (1 - r / rounds) + 0.01
-        w -= rate * (m1 / (1 - 0.9**r)) / (np.sqrt(m2 / (1 - 0.99**r)) + 1e-6)
-        w = np.minimum(w, ceiling)
-        bias -= rate * (b1 / (1 - 0.9**r)) / (np.sqrt(b2 / (1 - 0.99**r)) + 1e-6)
-    return Model(vocabulary, keys, w[:size], w[size:], float(bias))
+        w = np.minimum(w - rate * (m1 / (1 - 0.9**r)) / (np.sqrt(m2 / (1 - 0.99**r)) + 1e-6), most)
+    return Model(vocabulary, masks, pairs, w[:size], w[size:])
 
 
 def score(model: Model, reader: Reader, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[str | None], np.ndarray]:
@@ -259,7 +240,7 @@ def score(model: Model, reader: Reader, texts: list[str | None]) -> tuple[np.nda
         return np.zeros(n), np.zeros(n, np.int64), [None] * n, np.zeros(n)
     p = 1 / (1 + np.exp(-np.clip(model.logits(numbers, starts), -30, 30)))
     # what any sentence of unknown words gets is no evidence: else a long harmless text would add up to abuse
-    rest = 1 / (1 + np.exp(-model.bias))
+    rest = 1 / (1 + np.exp(-BIAS))
     p = np.maximum(p - rest, 0) / (1 - rest)
     total = 1 - np.exp(np.bincount(owner, weights=np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=n))
     offending = np.bincount(owner, weights=p >= 0.5, minlength=n).astype(np.int64)
@@ -273,27 +254,28 @@ def score(model: Model, reader: Reader, texts: list[str | None]) -> tuple[np.nda
 
 
 def labelled(docs: DataFrame, labels: DataFrame, most: int = FIT_DOCS) -> list[tuple[str, float]]:
-    """(text, mean label) of at most ``most`` labelled documents, chosen by hash; raters' nulls and even splits are left out."""
+    """(text, mean label) of at most ``most`` labelled documents, chosen by hash; raters' nulls and even splits are left out, as are
+    documents of more than ``FIT_CHARS`` characters, so that what the driver gets is bounded."""
     mean = labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.avg(F.col("toxic").cast("double")).alias("y"))
     clear = mean.where(F.col("y") != 0.5).orderBy(F.xxhash64("doc_id")).limit(most)
-    rows = docs.select("doc_id", "text").where(F.col("text") != "").join(F.broadcast(clear), "doc_id").select("doc_id", "text", "y").collect()
+    rows = docs.select("doc_id", "text").where((F.col("text") != "") & (F.length("text") <= FIT_CHARS)).join(F.broadcast(clear), "doc_id").select("doc_id", "text", "y").collect()
     return [(r.text, r.y) for r in sorted(rows, key=lambda r: (r.doc_id, r.text))]
 
 
 def scores(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = (), most: int = FIT_DOCS) -> DataFrame:
     """(doc_id, keep..., score, offending, worst, worst_score): one row for each row of ``docs``.
 
-    Null and empty texts and texts without words score 0. Equal texts score alike. With no usable label the lexicon alone
-    decides. Texts are read whole; ``docs`` may have any other columns.
+    Null and empty texts and texts without words score 0. Equal texts score alike. With no usable labels of both kinds all
+    score 0. Texts are read whole; ``docs`` may have any other columns.
     """
     pairs = labelled(docs, labels, most)
     model = train([t for t, _ in pairs], [y for _, y in pairs])
-    held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the labelled documents' vocabulary
+    held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the labelled documents
     chosen = docs.select(F.col("text").alias("__text"), F.col("doc_id").cast("bigint").alias("doc_id"), *keep)
     schema = chosen.drop("__text").schema.add("score", "double").add("offending", "long").add("worst", "string").add("worst_score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(held.value.vocabulary)
+        reader = held.value.reader()
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)

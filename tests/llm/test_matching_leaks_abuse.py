@@ -119,29 +119,65 @@ def test_held_out_accuracy(spark, sf_dir):
     rows = held_out(spark, folder)
     train, test = [r for i, r in enumerate(rows) if i % 3], [r for i, r in enumerate(rows) if i % 3 == 0]
     model = abuse.train([t for t, _ in train], [y for _, y in train])
-    got = abuse.score(model, abuse.Reader(model.vocabulary), [t for t, _ in test])[0] >= 0.5
+    got = abuse.score(model, model.reader(), [t for t, _ in test])[0] >= 0.5
     want = np.array([y > 0.5 for _, y in test])
     assert (got == want).mean() > (0.8 if len(test) > 50 else 0.5)  # raters err in about a tenth
 
 
+HARMLESS = ("please review the {0} patch before friday", "the {0} test fails after the second restart", "your {0} change is fine with me", "i am an author of {0} and it is slow", "a new reader for {0} landed", "we kill the {0} process when it hangs", "the rule against {0} insults bans the word idiot in chat")
+ABUSIVE = ("you are an idiot and a loser who broke {0}", "go away you worthless loser and leave {0}", "only an idiot would write {0} like you", "shut up you worthless idiot about {0}")
+
+
+def made(n, seed):
+    """(texts, labels as raters give them, truth): a tenth of the labels is wrong, and names are new in every document."""
+    rng = np.random.default_rng(seed)
+    texts, labels, truth = [], [], []
+    for i in range(n):
+        said = [HARMLESS[k].format(f"name{seed}x{i}") for k in rng.integers(0, len(HARMLESS), 4)]
+        bad = rng.random() < 0.3
+        if bad:
+            said[rng.integers(4)] = ABUSIVE[rng.integers(len(ABUSIVE))].format(f"name{seed}x{i}")
+        texts.append(". ".join(said) + "."), truth.append(bad), labels.append(float(bad != (rng.random() < 0.1)))
+    return texts, labels, np.array(truth)
+
+
+def test_learning_from_wrong_labels():
+    """Nothing but noisy document labels teaches the model; sentences that quote a word or use it otherwise stay harmless."""
+    texts, labels, _ = made(600, 1)
+    model = abuse.train(texts, labels)
+    fresh, _, truth = made(600, 2)
+    score, offending, worst, _ = abuse.score(model, model.reader(), fresh)
+    got = score >= 0.5
+    assert (got & truth).sum() >= 0.97 * truth.sum() and (got & truth).sum() >= 0.97 * got.sum()
+    assert all(any(w.startswith(a.split("{")[0][:12]) for a in ABUSIVE) for w, t in zip(worst, truth & got) if t) and (offending[truth & got] == 1).all()
+
+
 def test_disguises():
-    model = abuse.train([], [])
-    reader = abuse.Reader(model.vocabulary)
-    open_ = reader("you are an idiot and a loser")
-    for text in ("you are an 1d10t and a l053r", "you are an i.d.i.o.t and a l o s e r", "you are an idddiot and a losssser", "you are an i***t and a l***r", "you аrе an idiоt and a los​er"):
-        assert [n for n in reader(abuse.clear_text(text)) if n] == [n for n in open_ if n], text
+    texts, labels, _ = made(600, 1)
+    reader = abuse.train(texts, labels).reader()
+    open_ = [n for n in reader("you are an idiot and a loser") if n]
+    assert len(open_) == 7
+    for text in ("you are an 1d10t and a l053r", "you are an i.d.i.o.t and a l o s e r", "you are an idddiot and a losssser", "you are an idiot and a l***r", "you аrе an idiоt and a los​er"):
+        assert [n for n in reader(abuse.clear_text(text)) if n] == open_, text
 
 
 def test_scores_of_odd_tables(spark):
-    docs = [(1, "You pathetic loser, go and kill yourself.", "A"), (2, "Please fix the build. It breaks often.", "a-"), (3, None, None), (4, "", "b"), (5, "... !!", "b"), (6, "fine. " * 20_000 + "You worthless idiot.", "b")]
-    df = spark.createDataFrame([(*d, 0.0) for d in docs], "doc_id long, text string, source string, score double")
-    labels = spark.createDataFrame([(1, "r", None), (2, "r", 0), (2, "s", 1), (77, "r", 1)], "doc_id long, rater string, toxic int")
-    rows = {r.doc_id: r for r in abuse.scores(df, labels, keep=("source",)).collect()}
+    texts, labels, _ = made(600, 1)
+    taught = [(1000 + i, t, "c") for i, t in enumerate(texts)]
+    docs = [(1, "You worthless loser, you are an idiot.", "A"), (2, "Please fix the build. It breaks often.", "a-"), (3, None, None), (4, "", "b"), (5, "... !!", "b"), (6, "fine. " * 20_000 + "Go away you worthless idiot.", "b")]
+    schema = "doc_id long, text string, source string, score double"
+    df = spark.createDataFrame([(*d, 0.0) for d in docs], schema)
+    every = df.unionByName(spark.createDataFrame([(*d, 0.0) for d in taught], schema))
+    raters = [(1, "r", None), (2, "r", 0), (2, "s", 1), (77, "r", 1)]
+    known = spark.createDataFrame([*raters, *((1000 + i, "r", int(y)) for i, y in enumerate(labels))], "doc_id long, rater string, toxic int")
+    rows = {r.doc_id: r for r in abuse.scores(every, known, keep=("source",)).where("doc_id < 1000").collect()}
     assert len(rows) == 6 and rows[1].score > 0.5 and rows[6].score > 0.5 and rows[2].score < 0.5
     assert "worthless" in rows[6].worst and rows[3].score == rows[4].score == rows[5].score == 0 and rows[3].worst is None
-    rates = {r.source: (r.documents, r.abusive) for r in abuse.rates(abuse.scores(df, labels, keep=("source",))).collect()}
+    rates = {r.source: (r.documents, r.abusive) for r in abuse.rates(abuse.scores(every, known, keep=("source",)).where("doc_id < 1000")).collect()}
     assert rates == {"A": (1, 1), "a-": (1, 0), None: (1, 0), "b": (3, 1)}
-    assert abuse.scores(df.limit(0), labels.limit(0)).count() == 0
+    unknown = spark.createDataFrame(raters, "doc_id long, rater string, toxic int")  # no label is usable: nothing is known
+    assert {r.score for r in abuse.scores(df, unknown).collect()} == {0.0}
+    assert abuse.scores(df.limit(0), unknown.limit(0)).count() == 0
 
 
 def test_divided_blocks_make_fewer_candidates(spark):
