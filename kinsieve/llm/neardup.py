@@ -4,12 +4,14 @@ Method: rare-first prefix filtering with length, positional and suffix filters,
 
 1. A sketch of the frequency of all n-grams (counts by hash, of fixed size) gives one order for all records, rare first. Any fixed
    order makes prefix filtering exact; the sketch only decides how few candidates there are.
-2. Records with equal sets form a class. Each class sends the hashes of its prefix, packed in columns by bucket of the
-   n-gram; within a batch equal sets are sent once. Pairs of a bucket pass the length and positional filters.
+2. Records with equal sets form a class. Each class sends the hashes of its prefix, packed by bucket of the n-gram. There are as many
+   buckets as the prefixes need at a fixed size of a bucket. Pairs of a bucket pass the length and positional filters.
 3. Each candidate pair is verified once, on the texts of one record of each class: suffix filter, then the exact similarity.
 4. Class pairs are expanded to rows over the membership.
 
-N-grams so frequent that one bucket would grow without bound are spread over a triangle of blocks, so that any two holders meet.
+No bucket grows with what is hot. Of a class with many copies one record alone sends its prefix. N-grams whose holders are a
+share of all data are seen in the sketch and spread over a triangle of blocks, so that any two holders meet; those that the sketch
+can't tell from chance are counted where they meet, and spread in the same way by a second shuffle.
 """
 
 from __future__ import annotations
@@ -28,8 +30,14 @@ from kinsieve.plans.lineage import cut, lookup, spread, written
 _WORD = re.compile(r"\w+")
 #: Counters of the sketch (4 bytes each in a task, 1 byte when broadcast): a fixed size, whatever the data.
 SKETCH_BITS, CHUNK = 22, 1 << 16
-#: An n-gram with more holders than this (by the sketch) is spread over blocks of about this many.
+#: An n-gram with more holders than this (by the sketch; twice as many by their count) is spread over blocks of about this many.
 HOT_GRAM = 8192
+#: Prefix n-grams in a bucket, on average: about 8 MB as sent.
+BUCKET_ENTRIES = 400_000
+#: A class with more copies than this, and than this share of all rows, sends one prefix: fewer than COPIES_SHARE such classes exist.
+COPIES, COPIES_SHARE = 1000, 100_000
+#: Candidate pairs that a bucket's task holds before it hands them on, and classes that a task remembers to have sent.
+HELD_PAIRS, HELD_CLASSES = 2_000_000, 500_000
 SLACK = 1e-9
 MATCH_STEP, MOST_MATCHES = 16, 12
 
@@ -92,6 +100,11 @@ def matches_needed(n):
     return np.clip(np.asarray(n) // MATCH_STEP, 1, MOST_MATCHES)
 
 
+def _needed(size: Column) -> Column:
+    """``matches_needed`` of a column."""
+    return F.greatest(F.lit(1), F.least(F.lit(MOST_MATCHES), F.floor(size / MATCH_STEP)))
+
+
 def prefix_length(n: int, t: float) -> int:
     """Of two sets with at least ceil(t * n) common members, the first n - ceil(t * n) + k share at least k."""
     return min(n, n - math.ceil(t * n - SLACK) + int(matches_needed(n)))
@@ -119,7 +132,7 @@ def _sketch(n: int, bits: int):
 
 
 _SKETCH_SCHEMA = "chunk int, counts binary, id bigint, name bigint, size int"
-_KINDS = {"chunk": pa.int32(), "counts": pa.binary(), "id": pa.int64(), "name": pa.int64(), "size": pa.int32(), "bucket": pa.int32(), "blob": pa.binary(), "a": pa.int64(), "b": pa.int64(), "a_size": pa.int32(), "b_size": pa.int32(), "similarity": pa.float64()}
+_KINDS = {"chunk": pa.int32(), "counts": pa.binary(), "id": pa.int64(), "name": pa.int64(), "size": pa.int32(), "bucket": pa.int32(), "blob": pa.binary(), "cell": pa.int64(), "matches": pa.int64(), "first": pa.bool_(), "a": pa.int64(), "b": pa.int64(), "a_size": pa.int32(), "b_size": pa.int32(), "similarity": pa.float64()}
 
 
 def _rows(**columns) -> pa.RecordBatch:
@@ -146,18 +159,25 @@ def _order(rows: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def _prefixes(n: int, t: float, bits: int, buckets: int, hot: int, noise: float, order):
-    """Batches of (id, text) -> packed prefixes: a row for each batch and bucket."""
+def _cell(gram: int, lo: int, hi: int) -> int:
+    """The name of the place where two blocks of an n-gram's holders meet."""
+    return int(mixed(np.array([gram ^ (lo * 1_000_003 + hi + 1)], np.uint64))[0])
+
+
+def _prefixes(n: int, t: float, bits: int, buckets: int, hot: int, noise: float, order, senders):
+    """Batches of (id, text) -> packed prefixes: a row for each batch and bucket. ``senders`` has the record that sends for a class of many."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, code = Grams(n), order.value
+        grams, code, only, seen = Grams(n), order.value, senders.value, set()
         hot_code = min(255, math.ceil(math.log2(hot + noise + 1) * 8))
         for batch in batches:
-            seen, parts = set(), []
-            for text in batch.column(1).to_pylist():
+            parts = []
+            if len(seen) > HELD_CLASSES:
+                seen.clear()
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 g = grams(text)
                 name = signature(g) if len(g) else 0
-                if not len(g) or (name, len(g)) in seen:
+                if not len(g) or (name, len(g)) in seen or only.get((name, len(g)), i) != i:
                     continue
                 seen.add((name, len(g)))
                 rank = code[(g >> np.uint64(64 - bits)).astype(np.int64)]
@@ -179,8 +199,7 @@ def _prefixes(n: int, t: float, bits: int, buckets: int, hot: int, noise: float,
                     mine = int(name[k]) % blocks
                     for other in range(blocks):
                         lo, hi = min(mine, other), max(mine, other)
-                        cell = int(mixed(np.array([int(gram[k]) ^ (lo * 1_000_003 + hi + 1)], np.uint64))[0])
-                        extra.append((int(name[k]), int(size[k]), cell, int(at[k]), 0 if lo == hi else 1 + (mine == hi)))
+                        extra.append((int(name[k]), int(size[k]), _cell(int(gram[k]), lo, hi), int(at[k]), 0 if lo == hi else 1 + (mine == hi)))
                 keep = np.ones(len(gram), bool)
                 keep[hots] = False
                 e = list(zip(*extra))
@@ -216,16 +235,47 @@ def _unpack(blob: bytes):
     return gram, names[which], sizes[which], place, side
 
 
-def pairs_of_bucket(gram, name, size, at, side, t: float) -> Iterator[tuple[np.ndarray, ...]]:
-    """(name, size, name, size, first) for each two holders of an n-gram that pass the length and positional filters.
-
-    ``first`` says that the match may be the pair's first one, which every similar pair has.
-    """
+def holders(gram, name, size, at, side) -> tuple[np.ndarray, ...]:
+    """The entries in the order of n-gram and size, each class once an n-gram."""
     by = np.lexsort((name, size, gram))
     gram, name, size, at, side = gram[by], name[by], size[by], at[by], side[by]
     fresh = np.ones(len(gram), bool)
     fresh[1:] = (gram[1:] != gram[:-1]) | (name[1:] != name[:-1]) | (size[1:] != size[:-1])
-    gram, name, size, at, side = gram[fresh], name[fresh], size[fresh], at[fresh], side[fresh]
+    return gram[fresh], name[fresh], size[fresh], at[fresh], side[fresh]
+
+
+def divided(gram, name, size, at, side, hot: int) -> tuple[tuple[np.ndarray, ...], Iterator[tuple[int, tuple[np.ndarray, ...]]]]:
+    """(entries of the other n-grams, cells) of ``holders``: n-grams of more than twice ``hot`` holders leave for cells of two blocks each.
+
+    Every two holders meet in one cell: those of block i and j in the cell (i, j), those of one block in (i, i).
+    """
+    begin = np.flatnonzero(np.append(True, gram[1:] != gram[:-1])) if len(gram) else np.empty(0, np.int64)
+    count = np.diff(np.append(begin, len(gram)))
+    much = [(int(b), int(c)) for b, c in zip(begin[count > 2 * hot], count[count > 2 * hot]) if not side[b : b + c].any()]
+    keep = np.ones(len(gram), bool)
+    for b, c in much:
+        keep[b : b + c] = False
+
+    def cells():
+        for b, c in much:
+            part = [x[b : b + c] for x in (gram, name, size, at)]
+            blocks = math.ceil(c / hot)
+            mine = (name[b : b + c].astype(np.uint64) % np.uint64(blocks)).astype(np.int64)
+            rows = [np.flatnonzero(mine == k) for k in range(blocks)]
+            for lo in range(blocks):
+                for hi in range(lo, blocks):
+                    x = rows[lo] if lo == hi else np.concatenate([rows[lo], rows[hi]])
+                    other = np.zeros(len(x), np.int32) if lo == hi else np.repeat(np.array([1, 2], np.int32), [len(rows[lo]), len(rows[hi])])
+                    yield _cell(int(gram[b]), lo, hi), (*(p[x] for p in part), other)
+
+    return tuple(x[keep] for x in (gram, name, size, at, side)), cells()
+
+
+def pairs_of_bucket(gram, name, size, at, side, t: float) -> Iterator[tuple[np.ndarray, ...]]:
+    """(name, size, name, size, first) for each two of ``holders`` of an n-gram that pass the length and positional filters.
+
+    ``first`` says that the match may be the pair's first one, which every similar pair has.
+    """
     first = np.flatnonzero(np.append(gram[:-1] == gram[1:], False)) if len(gram) else np.empty(0, np.int64)
     step = 1
     while len(first):
@@ -242,24 +292,53 @@ def pairs_of_bucket(gram, name, size, at, side, t: float) -> Iterator[tuple[np.n
         step += 1
 
 
-_MATCHES = "a bigint, a_size int, b bigint, b_size int, matches bigint, first boolean"
+_MATCHES = "a bigint, a_size int, b bigint, b_size int, matches bigint, first boolean, cell bigint, blob binary"
+
+
+def _matched(entries: tuple[np.ndarray, ...], t: float) -> Iterator[pa.RecordBatch]:
+    """Pairs of classes with the number of their matches among ``holders``; a pair may come more than once if there are many."""
+    keys, held, rows = ["a", "a_size", "b", "b_size"], [], 0
 
+    def summed() -> pa.RecordBatch:
+        found = pa.concat_tables(held).group_by(keys).aggregate([("first", "count"), ("first", "max")]).to_pydict()
+        n = len(found["a"])
+        return _rows(**{k: found[k] for k in keys}, matches=found["first_count"], first=found["first_max"], cell=[None] * n, blob=[None] * n)
+
+    for x, sx, y, sy, first in pairs_of_bucket(*entries, t):
+        swap = (x > y) | ((x == y) & (sx > sy))
+        ends = (np.where(swap, y, x), np.where(swap, sy, sx), np.where(swap, x, y), np.where(swap, sx, sy))
+        held.append(pa.table([*ends, first], names=[*keys, "first"]))
+        rows += len(x)
+        if rows > HELD_PAIRS:
+            yield summed()
+            held, rows = [], 0
+    if held:
+        yield summed()
+
+
+def _joined(t: float, hot: int | None):
+    """Packed entries of one bucket or cell -> pairs of classes, and packed cells of n-grams that turn out ``hot`` (none: never)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blobs = [v for batch in batches for v in batch.column(batch.schema.get_field_index("blob")).to_pylist()]
+        if not blobs:
+            return
+        entries = holders(*(np.concatenate(c) for c in zip(*map(_unpack, blobs))))
+        if hot is not None:
+            entries, cells = divided(*entries, hot)
+            for cell, part in cells:
+                none = [None]
+                yield _rows(a=none, a_size=none, b=none, b_size=none, matches=none, first=none, cell=[int(np.int64(np.uint64(cell)))], blob=[_pack(*part)])
+        yield from _matched(entries, t)
+
+    return run
 
-def _joined(t: float):
-    """Buckets, each wholly in one group -> pairs of classes with the number of their matches in the bucket."""
 
-    def run(table):
-        columns = [np.concatenate(c) for c in zip(*map(_unpack, table.column("blob").to_pylist()))]
-        out = []
-        for x, sx, y, sy, first in pairs_of_bucket(*columns, t):
-            swap = (x > y) | ((x == y) & (sx > sy))
-            ends = (np.where(swap, y, x), np.where(swap, sy, sx), np.where(swap, x, y), np.where(swap, sx, sy))
-            out.append(pa.table([*ends, first], names=["a", "a_size", "b", "b_size", "first"]))
-        keys = ["a", "a_size", "b", "b_size"]
-        if not out:
-            return pa.table({"a": pa.array([], pa.int64()), "a_size": pa.array([], pa.int32()), "b": pa.array([], pa.int64()), "b_size": pa.array([], pa.int32()), "matches": pa.array([], pa.int64()), "first": pa.array([], pa.bool_())})
-        found = pa.concat_tables(out).group_by(keys).aggregate([("first", "count"), ("first", "max")])
-        return found.rename_columns({"first_count": "matches", "first_max": "first"}).select([*keys, "matches", "first"])
+def _cell_pairs(t: float):
+    def run(table: pa.Table) -> pa.Table:
+        done = list(_joined(t, None)(iter(table.to_batches())))
+        columns = [f.split(" ")[0] for f in _MATCHES.split(", ")]
+        return pa.Table.from_batches(done) if done else pa.table({c: pa.array([], _KINDS[c]) for c in columns})
 
     return run
 
@@ -319,11 +398,17 @@ def similar_classes(records: DataFrame, row_id: str, text: Column, n: int = 5, t
     noise = float(np.mean(np.exp2(codes / 8) - 1))
     order = spark.sparkContext.broadcast(codes)
     members = counted.where(F.col("chunk").isNull()).select(F.col("id").alias("row_id"), "name", "size")
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    packed = base.mapInArrow(_prefixes(n, t, sketch_bits, buckets, hot, noise, order), "bucket int, blob binary")
-    pairs = packed.groupBy("bucket").applyInArrow(_joined(t), _MATCHES)
-    met = pairs.groupBy("a", "a_size", "b", "b_size").agg(F.sum("matches").alias("matches"), F.max("first").alias("first"))
-    needed = F.greatest(F.lit(1), F.least(F.lit(MOST_MATCHES), F.floor(F.least("a_size", "b_size") / MATCH_STEP)))
+    prefix = F.least(F.col("size"), F.col("size") - F.ceil(t * F.col("size") - SLACK) + _needed(F.col("size")))
+    rows, entries = members.agg(F.count(F.lit(1)), F.coalesce(F.sum(prefix), F.lit(0))).head()
+    many = members.groupBy("name", "size").agg(F.count(F.lit(1)).alias("n"), F.min("row_id").alias("id")).where(F.col("n") > max(COPIES, rows // COPIES_SHARE))
+    senders = spark.sparkContext.broadcast({(r["name"], r["size"]): r["id"] for r in many.collect()})  # fewer than COPIES_SHARE
+    buckets = max(spark.sparkContext.defaultParallelism, math.ceil(entries / BUCKET_ENTRIES))
+    packed = base.mapInArrow(_prefixes(n, t, sketch_bits, buckets, hot, noise, order, senders), "bucket int, blob binary")
+    joined = written(packed.repartitionById(buckets, "bucket").mapInArrow(_joined(t, hot), _MATCHES))
+    pairs = joined.where(F.col("cell").isNull())
+    apart = joined.where(F.col("cell").isNotNull()).select("cell", "blob").groupBy("cell").applyInArrow(_cell_pairs(t), _MATCHES)
+    met = pairs.unionByName(apart).groupBy("a", "a_size", "b", "b_size").agg(F.sum("matches").alias("matches"), F.max("first").alias("first"))
+    needed = _needed(F.least("a_size", "b_size"))
     candidates = written(met.where(F.col("first") & (F.col("matches") >= needed)).select("a", "a_size", "b", "b_size"))
     ends = candidates.select(F.col("a").alias("name"), F.col("a_size").alias("size")).unionByName(candidates.select(F.col("b").alias("name"), F.col("b_size").alias("size"))).distinct()
     chosen = members.groupBy("name", "size").agg(F.min("row_id").alias("id")).join(ends, ["name", "size"])

@@ -118,20 +118,38 @@ edges AS (
 SELECT a AS record_id, min(b) AS group_id FROM reach GROUP BY a
 """
 
-_P4 = r"""
-WITH words AS (
-    SELECT row_id, regexp_extract_all(lower(coalesce(problem_statement, '') || ' ' || coalesce(patch, '')), '[\p{L}\p{N}_]+') AS w FROM swe_rebench_v2
+def _shared_runs(n: int) -> str:
+    """Tables sizes (row_id, n) and shared (x, y, k): distinct runs of ``n`` words of each row, and those that two rows have in common."""
+    run = " || ' ' || ".join(f"w[i + {k}]" for k in range(n))
+    return rf"""
+words AS (
+    SELECT row_id, regexp_extract_all(lower(coalesce(problem_statement, '') || ' ' || coalesce(patch, '')), '[\p{{L}}\p{{N}}_]+') AS w FROM swe_rebench_v2
 ), runs AS (
-    SELECT DISTINCT row_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g
-    FROM (SELECT row_id, w, unnest(range(1, len(w) - 1)) AS i FROM words)
+    SELECT DISTINCT row_id, {run} AS g
+    FROM (SELECT row_id, w, unnest(range(1, len(w) - {n - 2})) AS i FROM words WHERE len(w) >= {n})
 ), sizes AS (SELECT row_id, count(*) AS n FROM runs GROUP BY row_id),
 shared AS (
     SELECT a.row_id AS x, b.row_id AS y, count(*) AS k FROM runs a JOIN runs b ON a.g = b.g AND a.row_id < b.row_id GROUP BY 1, 2
-)
+)"""
+
+
+_P4 = f"""
+WITH {_shared_runs(3)}
 SELECT x AS row_id_a, y AS row_id_b FROM shared JOIN sizes p ON p.row_id = x JOIN sizes q ON q.row_id = y
 WHERE 10 * k >= 6 * (p.n + q.n - k)
 """
 
+_P4_CLASSES = f"""
+WITH RECURSIVE {_shared_runs(5)},
+linked AS (SELECT x, y FROM shared JOIN sizes p ON p.row_id = x JOIN sizes q ON q.row_id = y WHERE 10 * k >= 8 * (p.n + q.n - k)),
+edges AS (SELECT x, y FROM linked UNION ALL SELECT y, x FROM linked),
+reach(a, b) AS (
+    SELECT row_id, row_id FROM sizes
+    UNION SELECT reach.a, edges.y FROM reach JOIN edges ON reach.b = edges.x
+)
+SELECT a AS row_id, min(b) AS class_id, (SELECT count(*) FROM edges WHERE x = a) AS links FROM reach GROUP BY a
+"""
+
 _TERMS = r"""
 WITH reports AS (
     SELECT error_txt AS r FROM cybergym WHERE error_txt IS NOT NULL
@@ -144,4 +162,4 @@ SELECT term, occurrences, reports, CASE WHEN reports < 3 THEN 'rare' WHEN report
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p3_found": _P3, "p4_found": _P4, "p5_found": f"SELECT term, mark FROM ({_TERMS}) WHERE mark IS NOT NULL", "p5_term_frequencies": _TERMS}
+    return {"p3_found": _P3, "p4_found": _P4, "p4_near_duplicates": _P4_CLASSES, "p5_found": f"SELECT term, mark FROM ({_TERMS}) WHERE mark IS NOT NULL", "p5_term_frequencies": _TERMS}

@@ -77,3 +77,31 @@ def test_long_text_and_packing():
     columns = (np.array([3, 1, 2], np.uint64), np.array([7, 8, 7]), np.array([4, 5, 4], np.int32), np.arange(3, dtype=np.int32), np.zeros(3, np.int32))
     back = neardup._unpack(neardup._pack(*columns))
     assert all((a == b).all() for a, b in zip(columns, back))
+
+
+def test_grams_that_turn_out_hot_are_divided():
+    """A sketch too coarse to see a hot n-gram: its holders are counted where they meet, and every two meet once."""
+    rng = np.random.default_rng(3)
+    n = 90
+    entries = (np.repeat(np.array([5, 9], np.uint64), [n, 6]), np.append(rng.permutation(n), np.arange(6)).astype(np.int64), np.full(n + 6, 20, np.int32), np.zeros(n + 6, np.int32), np.zeros(n + 6, np.int32))
+    kept, cells = neardup.divided(*neardup.holders(*entries), hot=10)
+    assert set(kept[0].tolist()) == {9} and len(kept[0]) == 6
+    met = [(a, b) for cell, part in cells if len(part[0]) for x, _, y, _, _ in neardup.pairs_of_bucket(*neardup.holders(np.full(len(part[0]), cell, np.uint64), *part[1:]), 0.5) for a, b in zip(x.tolist(), y.tolist())]
+    assert len(met) == n * (n - 1) // 2 and {(min(p), max(p)) for p in met} == {(a, b) for a in range(n) for b in range(a + 1, n)}
+
+
+def test_hot_grams_that_the_sketch_misses(spark, monkeypatch):
+    rows = [(i, f"the same phrase stands in every one of these texts {i} {i + 1} end") for i in range(60)]
+    df = spark.createDataFrame(rows, "row_id long, body string")
+    monkeypatch.setattr(neardup, "_order", lambda counted, bits: np.zeros(1 << bits, np.uint8))
+    got = [(r.row_id_a, r.row_id_b) for r in neardup.similar_pairs(df, "row_id", F.col("body"), 2, 0.5, sketch_bits=17, hot=5).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(rows, 2, 0.5)
+
+
+def test_one_record_sends_for_a_class_of_many(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "COPIES", 5)
+    rows = [(i, "a b c d e f g h") for i in range(30)] + [(100, "a b c d e f g h i"), (101, "q r s t u v w x")]
+    df = spark.createDataFrame(rows, "row_id long, body string").repartition(6)
+    monkeypatch.setattr(neardup, "COPIES_SHARE", 1000)
+    got = {r.row_id: (r.class_id, r.links) for r in neardup.near_duplicates(df, "row_id", F.col("body"), 5, 0.8, sketch_bits=17).collect()}
+    assert got == {i: (0, 30) for i in (*range(30), 100)} | {101: (101, 0)}
