@@ -7,9 +7,12 @@ Method: latent semantic retrieval, then longest common subsequences and checks o
 3. A randomised SVD of the TF-IDF passages of the items and of all documents' passages that speak of them: each pass over the
    documents is distributed and returns sums of fixed size, vocabulary x rank; only small factors meet on the driver.
 4. Candidates: passages of documents whose latent vector covers a passage of an item, by projected cosine.
-   Passages whose norm can't reach the threshold are skipped (Cauchy-Schwarz).
+   Passages whose norm can't reach the threshold are skipped (Cauchy-Schwarz), as are those without a word of an item's own wording.
 5. Checks: the longest common subsequence of item and document around the candidate must hold fifteen words in a row of the
    item, or all of it, with at most one word in six changed, and enough of it must be the item's own wording.
+
+Items are searched for in parts of a bounded number of passages, each with a vocabulary and a latent space of its own; what is the wording
+of an item alone and how frequent words are comes from all items and all documents.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,17 +34,15 @@ from kinsieve.plans.lineage import spread, written
 _WORD = re.compile(r"\w+")
 #: Words in a passage of an item and between two of them; of a document, which holds an item's passage whole with two words more.
 ITEM_WORDS, ITEM_STEP, DOC_WORDS, DOC_STEP = 10, 5, 24, 12
-RANK, OVERSAMPLE, THRESHOLD = 256, 16, 0.3
+RANK, OVERSAMPLE, THRESHOLD = 128, 16, 0.3
 #: Documents, chosen by hash, on whose passages the latent space is fitted (frequencies and the search cover all of them).
 FIT_DOCS = 10_000
-#: Logarithm of the rarity from which on a word has weight, in a corpus of LARGE texts or more: words in more than one document in
-#: twelve have none. It shrinks with the logarithm of smaller corpora, in which a leak alone makes a word frequent.
-COMMON_IDF, LARGE = 2.5, 100_000
 #: Least weight of a word that is an item's own: copies of one leak may be any share of the documents, and make its words frequent.
 LEAST_WEIGHT = 1.0
-#: An item's passage that weighs less than this share of the median, of all passages and of the item's, isn't searched for, as its
-#: neighbours cover its words.
-LIGHT = 0.25
+#: Passages of items in a part: its projections take half a KB each on the driver and in every task.
+PART_PASSAGES = 50_000
+#: Numbers of the largest array of cosines that a task makes at once.
+CELLS = 8_000_000
 #: A word is an item's own if it stands in at most so many items.
 OWN_ITEMS = 2
 #: Fewest words of a passage, share of changed ones, fewest own words that must be kept in it.
@@ -48,20 +50,86 @@ PASSAGE, CHANGED, OWN = 15, 1 / 6, 2
 
 
 class Items:
-    """The held-out texts, their vocabulary and passages: all of bounded size, as there is a bounded number of items."""
+    """The held-out texts as numbers of their words: of bounded size, as there is a bounded number of items."""
 
     def __init__(self, rows: list[tuple[int, str | None]]):
-        words = {i: _WORD.findall(plain(t)) for i, t in rows if t}
-        self.words = {i: w for i, w in words.items() if w}
-        self.number = {w: n for n, w in enumerate(sorted({x for w in self.words.values() for x in w}))}
-        self.ids = {i: np.array([self.number[x] for x in w], np.int32) for i, w in self.words.items()}
+        words = {i: w for i, w in ((i, _WORD.findall(plain(t))) for i, t in rows if t) if w}
+        self.number = {w: n for n, w in enumerate(sorted({x for w in words.values() for x in w}))}
+        self.ids = {i: np.array([self.number[x] for x in w], np.int32) for i, w in words.items()}
         # wording that stands in more than OWN_ITEMS items is form text or a phrase of crash reports; items of the same words are one text
-        holders = Counter(w for t in {tuple(w) for w in self.words.values()} for w in set(t))
-        self.own = {i: np.array([holders[x] <= OWN_ITEMS for x in w]) for i, w in self.words.items()}
-        self.own_set = {i: set(self.ids[i][self.own[i]].tolist()) for i in self.ids}
+        texts = {x.tobytes(): x for x in self.ids.values()}
+        holders = sum((np.bincount(np.unique(x), minlength=len(self.number)) for x in texts.values()), np.zeros(len(self.number), np.int64))
+        self.own = {i: holders[x] <= OWN_ITEMS for i, x in self.ids.items()}
+
+    def parts(self, most: int = PART_PASSAGES) -> Iterator["Part"]:
+        """All items, in parts of about ``most`` passages."""
+        held: list[int] = []
+        passages = 0
+        for i in sorted(self.ids):
+            passages += -(-len(self.ids[i]) // ITEM_STEP)
+            held.append(i)
+            if passages >= most:
+                yield Part(self, held)
+                held, passages = [], 0
+        if held:
+            yield Part(self, held)
+
+
+class Part:
+    """Some items with a numbering of their own words. ``local`` turns the numbers of all items' words into it, others into -1."""
+
+    def __init__(self, items: Items, chosen: list[int]):
+        known = np.unique(np.concatenate([items.ids[i] for i in chosen]))
+        self.words = known
+        self.local = np.full(len(items.number) + 1, -1, np.int32)  # the last place is that of -1
+        self.local[known] = np.arange(len(known), dtype=np.int32)
+        self.ids = {i: self.local[items.ids[i]] for i in chosen}
+        self.own = {i: items.own[i] for i in chosen}
+        self.own_word = np.zeros(len(known) + 1, bool)
+        for i in chosen:
+            self.own_word[self.ids[i][self.own[i]]] = True
+        self.own_set = {i: set(self.ids[i][self.own[i]].tolist()) for i in chosen}
         self.counts = {i: Counter(x.tolist()) for i, x in self.ids.items()}
         # passages of shared wording alone make no case
-        self.passages = [(i, k) for i, w in self.ids.items() for k in range(0, max(1, len(w) - ITEM_WORDS + ITEM_STEP), ITEM_STEP) if self.own[i][k : k + ITEM_WORDS].any()]
+        at = [(i, k) for i, w in self.ids.items() for k in range(0, max(1, len(w) - ITEM_WORDS + ITEM_STEP), ITEM_STEP) if self.own[i][k : k + ITEM_WORDS].any()]
+        self.owners = np.array([i for i, _ in at], np.int64)
+        rows = np.full((len(at), ITEM_WORDS), -1, np.int32)
+        for row, (i, k) in zip(rows, at):
+            w = self.ids[i][k : k + ITEM_WORDS]
+            row[: len(w)] = w
+        self.rows = distinct(rows)
+
+    def speaking(self, p: np.ndarray, weight: np.ndarray, floor: float) -> np.ndarray:
+        """Which passages of a document hold an item's own word, as a leak keeps some, and weigh at least ``floor``."""
+        return self.own_word[p].any(axis=1) & (_energies(p, weight) >= floor)
+
+
+def distinct(rows: np.ndarray) -> np.ndarray:
+    """Passages (passage x words, -1 for none) with each word once."""
+    rows = np.sort(rows, axis=1)
+    rows[:, 1:][rows[:, 1:] == rows[:, :-1]] = -1
+    return rows
+
+
+def times(rows: np.ndarray, weight: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """A x, where A has a row for each passage with the weights of its words; A is never made."""
+    out = np.zeros((len(rows), x.shape[1]), np.float32)
+    for c in range(rows.shape[1]):
+        held = np.flatnonzero(rows[:, c] >= 0)
+        w = rows[held, c]
+        out[held] += x[w] * weight[w][:, None]
+    return out
+
+
+def transposed(rows: np.ndarray, weight: np.ndarray, y: np.ndarray, out: np.ndarray) -> None:
+    """Adds A^T y to ``out``."""
+    for c in range(rows.shape[1]):
+        held = np.flatnonzero(rows[:, c] >= 0)
+        held = held[np.argsort(rows[held, c], kind="stable")]
+        if len(held):
+            w = rows[held, c]
+            first = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
+            out[w[first]] += np.add.reduceat(y[held], first, axis=0) * weight[w[first]][:, None]
 
 
 def _numbered(number):
@@ -131,72 +199,60 @@ def weights(items: Items, held: np.ndarray, total: float) -> np.ndarray:
         among[np.unique(ids)] += 1
         own[ids[items.own[i]]] = True
     texts = total + len(items.ids) + 1
-    common = COMMON_IDF * min(1.0, np.log(texts) / np.log(LARGE))
-    return np.maximum(np.log(texts / (held + among + 0.5)) - common, np.where(own, LEAST_WEIGHT, 0))
-
-
-def _item_matrix(items: Items, weight: np.ndarray) -> tuple[np.ndarray, list[int]]:
-    """(passages x vocabulary, items of the passages) without passages that are light for all items and for their own."""
-    m = np.zeros((len(items.passages), len(weight)), np.float32)
-    for row, (i, k) in enumerate(items.passages):
-        m[row, items.ids[i][k : k + ITEM_WORDS]] = 1
-    m *= weight[None, :].astype(np.float32)
-    energy = (m**2).sum(axis=1)
-    owner = np.array([i for i, _ in items.passages], np.int64)
-    median = np.median(energy) if len(energy) else 0
-    light = {i: LIGHT * min(median, np.median(energy[owner == i])) for i in set(owner.tolist())}
-    keep = np.array([e > 0 and e >= light[i] for e, i in zip(energy, owner.tolist())], bool)
-    return m[keep], owner[keep].tolist()
+    return np.maximum(np.log(texts / (held + among + 0.5)), np.where(own, LEAST_WEIGHT, 0)).astype(np.float32)
 
 
-def latent(docs: DataFrame, items: Items, weight: np.ndarray, rank: int = RANK, fit_docs: int = FIT_DOCS, total: float = 0, seed: int = 5) -> np.ndarray:
-    """An orthonormal basis (vocabulary x rank) of the main directions of the passages: a randomised SVD with one power iteration.
+def latent(docs: DataFrame, part: Part, weight: np.ndarray, rank: int = RANK, fit_docs: int = FIT_DOCS, total: float = 0, seed: int = 5) -> np.ndarray:
+    """An orthonormal basis (words of the part x rank) of the main directions of the passages: a randomised SVD with one power iteration.
 
     The items' passages count as much as all documents' together, so that no item is lost among them. The documents' part is
     summed by the tasks over about ``fit_docs`` documents chosen by hash.
     """
-    m, _ = _item_matrix(items, weight)
-    unit = m / np.linalg.norm(m, axis=1, keepdims=True)  # a light item's directions aren't the last ones
-    width = min(len(weight), max(1, len(m)), rank + OVERSAMPLE)
-    probe = np.random.default_rng(seed).standard_normal((len(weight), width)).astype(np.float32)
-    w = weight.astype(np.float32)
-    floor = _floor(m)
+    size, local, rows = len(weight), part.local, part.rows
+    norm = np.sqrt(_energies(rows, weight))[:, None]  # a light item's directions aren't the last ones
+    width = min(size, max(1, len(rows)), rank + OVERSAMPLE)
+    probe = np.random.default_rng(seed).standard_normal((size, width)).astype(np.float32)
+    floor = _floor(rows, weight)
+
+    def own(q):
+        out = np.zeros(q.shape)
+        transposed(rows, weight, times(rows, weight, q) / norm**2, out)
+        return out
 
     def multiplied(q):
         """The documents' passages' part of A^T (A q)."""
 
         def make(out, batch):
-            out = out.reshape(q.shape)
-            for v in batch.column(1).to_pylist():
-                _, p = passages(np.frombuffer(v, np.int32))
-                for row in p[_energies(p, w) >= floor]:
-                    x = np.unique(row[row >= 0])
-                    out[x] += w[x][:, None] * (w[x] @ q[x])[None, :]
+            held = [passages(local[np.frombuffer(v, np.int32)])[1] for v in batch.column(1).to_pylist()]
+            p = np.concatenate([np.empty((0, DOC_WORDS), np.int32), *held])
+            p = p[part.speaking(p, weight, floor)]
+            for k in range(0, len(p), 4096):
+                x = distinct(p[k : k + 4096])
+                transposed(x, weight, times(x, weight, q), out.reshape(q.shape))
 
         return _sums(sample, make, q.size).reshape(q.shape)
 
     share = min(1.0, fit_docs / max(1.0, total))
     sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * share))
-    spread, own = multiplied(probe), unit.T @ (unit @ probe)
-    scale = np.linalg.norm(own) / max(np.linalg.norm(spread), 1e-9)
-    basis = np.linalg.qr(own + scale * spread)[0].astype(np.float32)
+    spread, mine = multiplied(probe), own(probe)
+    scale = np.linalg.norm(mine) / max(np.linalg.norm(spread), 1e-9)
+    basis = np.linalg.qr(mine + scale * spread)[0].astype(np.float32)
     # one power iteration, then the main directions within the basis, both with the passages of either side
-    basis = np.linalg.qr(unit.T @ (unit @ basis) + scale * multiplied(basis))[0].astype(np.float32)
-    both = basis.T @ (unit.T @ (unit @ basis) + scale * multiplied(basis))
+    basis = np.linalg.qr(own(basis) + scale * multiplied(basis))[0].astype(np.float32)
+    both = basis.T @ (own(basis) + scale * multiplied(basis))
     s, v = np.linalg.eigh((both + both.T) / 2)
     s, v = s[::-1], v[:, ::-1]
-    keep = min(rank, int((s > 1e-12 * max(s[0], 1e-9)).sum())) if len(m) else 0
+    keep = min(rank, int((s > 1e-12 * max(s[0], 1e-9)).sum())) if len(rows) else 0
     return (basis @ v[:, :keep]).astype(np.float32)
 
 
-def _floor(m: np.ndarray) -> float:
+def _floor(rows: np.ndarray, weight: np.ndarray) -> float:
     """The least energy that a passage must have to cover the share THRESHOLD of any item's passage."""
-    energy = (m**2).sum(axis=1)
-    return float(THRESHOLD**2 * energy.min()) if len(energy) else float("inf")
+    return float(THRESHOLD**2 * _energies(rows, weight).min()) if len(rows) else float("inf")
 
 
-def _energies(p: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    return np.where(p >= 0, idf[p] ** 2, 0).sum(axis=1)
+def _energies(p: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    return np.where(p >= 0, weight[p] ** 2, 0).sum(axis=1)
 
 
 def common_subsequence(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
@@ -267,7 +323,7 @@ def leaked(item: np.ndarray, own: np.ndarray, doc: np.ndarray, passage: int = PA
     return best
 
 
-def _may_leak(items: Items, i: int, doc: np.ndarray) -> bool:
+def _may_leak(items: Part, i: int, doc: np.ndarray) -> bool:
     """Bounds that any leaked passage keeps: enough own words, and enough words at all, occur in the document's part."""
     have = set(doc.tolist())
     if len(have & items.own_set[i]) < min(OWN, len(items.own_set[i])):
@@ -276,38 +332,31 @@ def _may_leak(items: Items, i: int, doc: np.ndarray) -> bool:
     return sum(k for w, k in items.counts[i].items() if w in have) >= least
 
 
-def _found(items_b, idf_b, basis_b):
+def _found(part_b, weight_b, basis_b, unit_b, floor: float, lowest: float):
+    """``unit_b`` has the items' projected passages over their squared norms; ``lowest`` is the norm that none can be covered below."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, idf, basis = items_b.value, idf_b.value.astype(np.float32), basis_b.value
-        m, owners = _item_matrix(items, idf)
-        q = m @ basis
-        norm = np.maximum(np.linalg.norm(q, axis=1), 1e-6)
-        floor, lowest = _floor(m), float(THRESHOLD * norm.min()) if len(norm) else 0.0
-        unit = (q / (norm**2)[:, None]).T.copy()
+        items, weight, basis, unit = part_b.value, weight_b.value, basis_b.value, unit_b.value
+        owners, at_once = items.owners.tolist(), max(1, CELLS // max(1, unit.shape[1]))
         for batch in batches:
-            docs, texts = batch.column(0).to_pylist(), [np.frombuffer(v, np.int32) for v in batch.column(1).to_pylist()]
+            docs, texts = batch.column(0).to_pylist(), [items.local[np.frombuffer(v, np.int32)] for v in batch.column(1).to_pylist()]
             out: dict[tuple[int, int], int] = {}
-            if len(owners):
+            if owners and texts:
                 which, starts, rows = [], [], []
                 for d, ids in enumerate(texts):
                     s, p = passages(ids)
-                    good = _energies(p, idf) >= floor
+                    good = items.speaking(p, weight, floor)
                     which.append(np.full(good.sum(), d)), starts.append(s[good]), rows.append(p[good])
                 which, starts, rows = np.concatenate(which), np.concatenate(starts), np.concatenate(rows)
                 hits: dict[tuple[int, int], list[int]] = {}
                 for k in range(0, len(rows), 4096):
-                    part = np.sort(rows[k : k + 4096], axis=1)
-                    part[:, 1:][part[:, 1:] == part[:, :-1]] = -1
-                    v = np.zeros((len(part), basis.shape[1]), np.float32)
-                    for c in range(DOC_WORDS):
-                        held = np.flatnonzero(part[:, c] >= 0)
-                        w = part[held, c]
-                        v[held] += basis[w] * idf[w][:, None]
+                    v = times(distinct(rows[k : k + 4096]), weight, basis)
                     near = np.flatnonzero(np.linalg.norm(v, axis=1) >= lowest)
-                    cover = v[near] @ unit
-                    for x, y in zip(*np.nonzero(cover >= THRESHOLD)):
-                        at = k + near[x]
-                        hits.setdefault((int(which[at]), owners[y]), []).append(int(starts[at]))
+                    for n in range(0, len(near), at_once):
+                        some = near[n : n + at_once]
+                        for x, y in zip(*np.nonzero(v[some] @ unit >= THRESHOLD)):
+                            at = k + some[x]
+                            hits.setdefault((int(which[at]), owners[y]), []).append(int(starts[at]))
                 for (d, i), at in hits.items():
                     at, ids, margin = sorted(set(at)), texts[d], len(items.ids[i]) + 2 * DOC_WORDS
                     # candidates of one item that lie together are checked together
@@ -326,7 +375,7 @@ def _found(items_b, idf_b, basis_b):
     return run
 
 
-def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", rank: int = RANK, most_items: int = 20_000) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", rank: int = RANK, most_items: int = 20_000, part_passages: int = PART_PASSAGES) -> DataFrame:
     """(doc_id, item_id, words): every document with the items that it leaks, and the words of the longest passage.
 
     Null and empty texts leak nothing and can't be leaked; equal documents each get their rows once per id; ``items`` must be a
@@ -341,12 +390,19 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
     schema = "doc_id bigint, item_id bigint, words int"
     if not known.ids:
         return spark.createDataFrame([], schema)
-    number = spark.sparkContext.broadcast(known.number)
+    broadcast = spark.sparkContext.broadcast
     base = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text")).where(F.col("text") != "")
-    coded = written(spread(base).mapInArrow(_numbered(number), "doc_id bigint, ids binary"))
+    coded = written(spread(base).mapInArrow(_numbered(broadcast(known.number)), "doc_id bigint, ids binary"))
     held, total = _document_frequencies(coded, len(known.number))
-    weight = weights(known, held, total)
-    basis = latent(coded, known, weight, rank, total=total)
-    broadcast = spark.sparkContext.broadcast
-    found = coded.mapInArrow(_found(broadcast(known), broadcast(weight), broadcast(basis)), schema)
-    return found.groupBy("doc_id", "item_id").agg(F.max("words").alias("words"))
+    every = weights(known, held, total)
+    found = []
+    for part in known.parts(part_passages):
+        weight = every[part.words]
+        basis = latent(coded, part, weight, rank, total=total)
+        q = times(part.rows, weight, basis)
+        norm = np.maximum(np.linalg.norm(q, axis=1), 1e-6)
+        lowest = float(THRESHOLD * norm.min()) if len(norm) else 0.0
+        unit = (q / (norm**2)[:, None]).T.copy()
+        search = _found(broadcast(part), broadcast(weight), broadcast(basis), broadcast(unit), _floor(part.rows, weight), lowest)
+        found.append(coded.mapInArrow(search, schema))
+    return reduce(DataFrame.unionByName, found).groupBy("doc_id", "item_id").agg(F.max("words").alias("words"))
