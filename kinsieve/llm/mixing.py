@@ -7,14 +7,20 @@ first and only the last, fractional one is sampled; no document is used more oft
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kinsieve.plans.lineage import written
+from kinsieve.plans.lineage import cut, written
 
-#: Bins of the keys per source. Tokens are summed by bin, and only the bin on the budget's edge is sorted.
-BINS = 1024
+#: Bins of the logarithm of the keys per unit. Its distribution has the same shape for every weight, so that a bin holds about 1 % of
+#: a source's documents at most. Tokens are summed by bin, and the bin on the budget's edge is divided again (into SPLITS) until it
+#: holds at most EDGE_ROWS documents, which are sorted.
+BINS, SPLITS, EDGE_ROWS = 32, 1024, 50_000
+#: Targets that may be given (an error beyond): one row each is broadcast.
+MOST_TARGETS = 10_000
 
 
 def clean_source(source: Column) -> Column:
@@ -40,9 +46,11 @@ def budgets(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     share of the total gives all its repeats, one without text gives nothing, and the shares of the others stay in proportion.
     Repeated targets count once (the largest share); null or non-positive shares and repeats give nothing.
     """
-    have = sizes.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("tokens").alias("source_tokens"))
     want = targets.select(clean_source(F.col("source")).alias("source"), F.coalesce(F.col("target_share").cast("double"), F.lit(0.0)).alias("target_share"), F.coalesce(F.col("max_repeats").cast("bigint"), F.lit(0)).alias("max_repeats"))
     want = want.where(F.col("source").isNotNull()).groupBy("source").agg(F.max(F.struct("target_share", "max_repeats")).alias("t")).select("source", "t.*")
+    if want.limit(MOST_TARGETS + 1).count() > MOST_TARGETS:
+        raise ValueError(f"more than {MOST_TARGETS} targets")
+    have = sizes.join(F.broadcast(want.select("source")), "source").groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("tokens").alias("source_tokens"))
     table = want.join(F.broadcast(have), "source", "left").fillna(0, ["n_docs", "source_tokens"])  # one row a target
     share = F.greatest(F.col("target_share"), F.lit(0.0))
     most = F.greatest(F.col("max_repeats"), F.lit(0)) * F.col("source_tokens")
@@ -58,6 +66,37 @@ def budgets(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     return table.withColumn("epochs", epochs).withColumn("rest", F.col("budget") - F.col("epochs") * F.col("source_tokens"))
 
 
+def _edges(keyed: DataFrame, rest: dict[str, int]) -> list[tuple[str, float, float, int]]:
+    """(source, above, upto, before): the keys above ``above`` and up to ``upto`` of a source straddle its budget, and ``before`` tokens
+    have lower keys. A source whose documents all fit has no such keys.
+
+    The driver gets at most sources x SPLITS sums a pass (more in the first one, which covers all keys).
+    """
+    spark = keyed.sparkSession
+    open_ = {s: (-math.inf, math.inf, 0) for s, k in rest.items() if k > 0}
+    done = {s: (-math.inf, -math.inf, 0) for s, k in rest.items() if k <= 0}
+    bin_of = F.floor(F.col("key") * BINS)
+    rows = keyed.where(F.col("rest") > 0)
+    while open_:
+        sums: dict[str, list] = {s: [] for s in open_}
+        for r in rows.groupBy("source", bin_of.alias("bin")).agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi")).collect():
+            sums[r.source].append((r.bin, r.t, r.n, r.lo, r.hi))
+        for s, bins in sums.items():
+            above, upto, before = open_.pop(s)
+            for _, t, n, lo, hi in sorted(bins):
+                if before + t > rest[s]:
+                    (done if n <= EDGE_ROWS or lo == hi else open_)[s] = (math.nextafter(lo, -math.inf), hi, before)
+                    break
+                above, before = hi, before + t
+            else:
+                done[s] = (above, above, before)
+        if open_:
+            table = spark.createDataFrame([(s, *v[:2]) for s, v in open_.items()], "source string, above double, upto double")
+            rows = keyed.join(F.broadcast(table), "source").where("key > above and key <= upto")
+            bin_of = F.floor((F.col("key") - F.col("above")) / (F.col("upto") - F.col("above")) * SPLITS)
+    return [(s, *v) for s, v in done.items()]
+
+
 def mix(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None, tight: bool = False, seed: int = 7) -> tuple[DataFrame, DataFrame]:
     """(selection, shares) for ``sizes`` (doc_id, source, chars, tokens) and ``targets`` (source, target_share, max_repeats).
 
@@ -65,21 +104,19 @@ def mix(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None, t
     than half of it fits. The shares have one row per target with the tokens and the share that it really got. Sources without
     a target give nothing; ties of keys fall to the smaller id; rows of the same id and source count each.
     """
-    plan = F.broadcast(budgets(sizes, targets, total_tokens, tight))  # one row a target
-    key = -F.log(uniform(F.col("doc_id"), seed)) / quality_weight(F.col("chars"), F.col("tokens"))
-    # 1 - exp(-key) spreads the keys evenly enough over the bins
-    keyed = sizes.join(plan, "source").withColumn("key", key).withColumn("bin", F.least(F.lit(BINS - 1), F.floor((1 - F.exp(-F.col("key"))) * BINS)).cast("int"))
-    by_bin = keyed.groupBy("source", "bin").agg(F.sum("tokens").alias("bin_tokens"))  # at most targets x BINS rows
-    before = F.coalesce(F.sum("bin_tokens").over(Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    edges = by_bin.withColumn("before", before)
-    placed = keyed.join(F.broadcast(edges), ["source", "bin"])
-    whole = placed.where(F.col("before") + F.col("bin_tokens") <= F.col("rest")).withColumn("sampled", F.lit(1))
-    beyond = placed.where(F.col("before") >= F.col("rest")).withColumn("sampled", F.lit(0))
-    edge = placed.where((F.col("before") < F.col("rest")) & (F.col("before") + F.col("bin_tokens") > F.col("rest")))
-    upto = F.col("before") + F.sum("tokens").over(Window.partitionBy("source").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    edge = edge.withColumn("sampled", (upto - F.col("tokens") / 2 < F.col("rest")).cast("int"))
+    plan = cut(budgets(sizes, targets, total_tokens, tight))  # one row a target
+    key = F.log(-F.log(uniform(F.col("doc_id"), seed))) - F.log(quality_weight(F.col("chars"), F.col("tokens")))
+    keyed = sizes.where(F.col("tokens") > 0).join(F.broadcast(plan.where("budget > 0").select("source", "epochs", "rest")), "source").withColumn("key", key)
+    edges = _edges(keyed, {r.source: r.rest for r in plan.where("budget > 0").collect()})
+    placed = keyed.join(F.broadcast(sizes.sparkSession.createDataFrame(edges, "source string, above double, upto double, before bigint")), "source")
+    apart = placed.where((F.col("key") <= F.col("above")) | (F.col("key") > F.col("upto"))).withColumn("sampled", (F.col("key") <= F.col("above")).cast("int"))
+    # at most EDGE_ROWS rows a source, or one key; copies of a row are one, of which as many are taken as fit
+    edge = placed.where((F.col("key") > F.col("above")) & (F.col("key") <= F.col("upto"))).groupBy("source", "key", "doc_id", "tokens", "epochs", "rest", "before").agg(F.count(F.lit(1)).alias("n"))
+    upto = F.coalesce(F.sum(F.col("tokens") * F.col("n")).over(Window.partitionBy("source").orderBy("key", "doc_id", "tokens").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    fit = F.ceil((F.col("rest") - F.col("before") - upto) / F.col("tokens") + 0.5) - 1
+    edge = edge.withColumn("fit", fit).select("*", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"))).alias("copy")).withColumn("sampled", (F.col("copy") <= F.col("fit")).cast("int"))
     columns = ["doc_id", "source", "tokens", (F.col("epochs") + F.col("sampled")).cast("int").alias("uses")]
-    chosen = whole.select(*columns).unionByName(beyond.select(*columns)).unionByName(edge.select(*columns)).where(F.col("uses") > 0)
+    chosen = apart.select(*columns).unionByName(edge.select(*columns)).where(F.col("uses") > 0)
     used = chosen.groupBy("source").agg(F.sum(F.col("tokens") * F.col("uses")).alias("used_tokens"), F.max("uses").alias("most_uses"), F.count(F.lit(1)).alias("used_docs"))
     shares = plan.join(used, "source", "left").fillna(0, ["used_tokens", "most_uses", "used_docs"])
     total = F.sum("used_tokens").over(Window.partitionBy(F.lit(1)))

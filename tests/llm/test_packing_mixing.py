@@ -80,3 +80,25 @@ def test_quality_weight_matters(spark):
 def test_clean_source(spark):
     df = spark.createDataFrame([(" Mailing-List ",), ("A_b",), (None,)], "s string")
     assert [r.x for r in df.select(mixing.clean_source(F.col("s")).alias("x")).collect()] == ["mailing_list", "a_b", None]
+
+
+@pytest.mark.parametrize("edge_rows", [50_000, 100, 1])
+def test_edge_of_light_documents_is_divided(spark, monkeypatch, edge_rows):
+    """Documents of the least weight have the greatest keys; their edge is refined until few are left, and the budget is met as ever."""
+    monkeypatch.setattr(mixing, "EDGE_ROWS", edge_rows)
+    df = spark.range(200_000).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.when(F.col("id") % 20 > 0, 4).otherwise(400).alias("chars"), (F.pmod(F.xxhash64("id"), F.lit(90)) + 10).alias("tokens"))
+    df = df.unionByName(spark.range(300).select(F.lit(-1).cast("long").alias("doc_id"), F.lit("s").alias("source"), F.lit(4).alias("chars"), F.lit(10).cast("long").alias("tokens")))
+    targets = spark.createDataFrame([("s", 1.0, 2)], "source string, target_share double, max_repeats int")
+    chosen, shares = mixing.mix(df, targets, total_tokens=7_000_000)
+    got, used = shares.head(), chosen.agg(F.sum("tokens"), F.count_distinct("doc_id")).head()
+    assert abs(got.used_tokens - 7_000_000) <= 50 and used[0] == got.used_tokens
+    key = F.log(-F.log(mixing.uniform(F.col("doc_id"), 7))) - F.log(mixing.quality_weight(F.col("chars"), F.col("tokens")))
+    last = chosen.select("doc_id").distinct().join(df, "doc_id").agg(F.max(key)).head()[0]
+    assert df.where(key < last).select("doc_id").distinct().count() <= used[1]  # the least keys are taken, and no others
+
+
+def test_copies_on_the_edge(spark):
+    """Of equal rows as many are taken as fit, without an order among them."""
+    df = spark.range(5000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("s").alias("source"), F.lit(40).alias("chars"), F.lit(10).cast("long").alias("tokens"))
+    targets = spark.createDataFrame([("s", 1.0, 2)], "source string, target_share double, max_repeats int")
+    assert [mixing.mix(df, targets, total_tokens=n)[0].agg(F.sum("uses")).head()[0] for n in (20_000, 50_000, 65_000, 4)] == [2000, 5000, 6500, None]
