@@ -7,7 +7,8 @@ Method: latent semantic retrieval, then longest common subsequences and checks o
 3. A randomised SVD of the TF-IDF passages of the items and of all documents' passages that speak of them: each pass over the
    documents is distributed and returns sums of fixed size, vocabulary x rank; only small factors meet on the driver.
 4. Candidates: passages of documents whose latent vector covers a passage of an item, by projected cosine.
-   Passages whose norm can't reach the threshold are skipped (Cauchy-Schwarz), as are those without a word of an item's own wording.
+   Passages whose norm can't reach the threshold are skipped (Cauchy-Schwarz), as are those that speak of no item of which the
+   document has the own words that a leak keeps.
 5. Checks: the longest common subsequence of item and document around the candidate must hold fifteen words in a row of the
    item, or all of it, with at most one word in six changed, and enough of it must be the item's own wording.
 
@@ -85,11 +86,15 @@ class Part:
         self.local[known] = np.arange(len(known), dtype=np.int32)
         self.ids = {i: self.local[items.ids[i]] for i in chosen}
         self.own = {i: items.own[i] for i in chosen}
-        self.own_word = np.zeros(len(known) + 1, bool)
-        for i in chosen:
-            self.own_word[self.ids[i][self.own[i]]] = True
         self.own_set = {i: set(self.ids[i][self.own[i]].tolist()) for i in chosen}
         self.counts = {i: Counter(x.tolist()) for i, x in self.ids.items()}
+        # the items (by place) whose own a word is, of which there are OWN_ITEMS at most beside items of the same words; none in the last row
+        pairs = np.array([(w, n) for n, i in enumerate(self.own_set) for w in self.own_set[i]], np.int64).reshape(-1, 2)
+        pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
+        place = np.arange(len(pairs)) - np.searchsorted(pairs[:, 0], pairs[:, 0])
+        self.owned = np.full((len(known) + 1, int(place.max(initial=0)) + 1), -1, np.int32)
+        self.owned[pairs[:, 0], place] = pairs[:, 1]
+        self.least_own = np.array([min(OWN, len(x)) for x in self.own_set.values()], np.int64)
         # passages of shared wording alone make no case
         at = [(i, k) for i, w in self.ids.items() for k in range(0, max(1, len(w) - ITEM_WORDS + ITEM_STEP), ITEM_STEP) if self.own[i][k : k + ITEM_WORDS].any()]
         self.owners = np.array([i for i, _ in at], np.int64)
@@ -99,9 +104,23 @@ class Part:
             row[: len(w)] = w
         self.rows = distinct(rows)
 
-    def speaking(self, p: np.ndarray, weight: np.ndarray, floor: float) -> np.ndarray:
-        """Which passages of a document hold an item's own word, as a leak keeps some, and weigh at least ``floor``."""
-        return self.own_word[p].any(axis=1) & (_energies(p, weight) >= floor)
+    def speaking(self, ids: np.ndarray, weight: np.ndarray, floor: float) -> tuple[np.ndarray, np.ndarray]:
+        """(starts, passages x DOC_WORDS numbers, filled up with -1) of a document that may hold a part of a leak: with a word that is the own one of an item of which the document
+        has as many own words as a leak keeps, and of at least the energy ``floor``."""
+        known = ids >= 0
+        words, place = np.unique(ids[known], return_inverse=True)
+        owned = self.owned[words]
+        enough = np.bincount(owned[owned >= 0], minlength=len(self.least_own)) >= np.maximum(self.least_own, 1)
+        if not enough.any():
+            return np.empty(0, np.int64), np.empty((0, DOC_WORDS), np.int32)
+        speaks, energy = np.zeros(len(ids) + 1, np.int64), np.zeros(len(ids) + 1)
+        speaks[1:][known] = np.append(enough, False)[owned].any(axis=1)[place]
+        energy[1:][known] = (weight[words] ** 2)[place]
+        speaks, energy = speaks.cumsum(), energy.cumsum()
+        starts = passage_starts(len(ids))
+        ends = np.minimum(starts + DOC_WORDS, len(ids))
+        starts = starts[(speaks[ends] > speaks[starts]) & (energy[ends] - energy[starts] >= floor * (1 - 1e-6))]
+        return starts, np.append(ids, np.full(DOC_WORDS, -1, np.int32))[starts[:, None] + np.arange(DOC_WORDS)[None, :]]
 
 
 def distinct(rows: np.ndarray) -> np.ndarray:
@@ -149,11 +168,9 @@ def _numbered(number):
     return run
 
 
-def passages(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, passage x DOC_WORDS numbers) of a document, filled up with -1."""
-    starts = np.arange(0, max(1, len(ids) - DOC_WORDS + DOC_STEP), DOC_STEP)
-    padded = np.append(ids, np.full(DOC_WORDS + DOC_STEP, -1, np.int32))
-    return starts, padded[starts[:, None] + np.arange(DOC_WORDS)[None, :]]
+def passage_starts(words: int) -> np.ndarray:
+    """Where the passages of a document begin; the last may end behind it."""
+    return np.arange(0, max(1, words - DOC_WORDS + DOC_STEP), DOC_STEP)
 
 
 def _sums(rows: DataFrame, make, size: int) -> np.ndarray:
@@ -223,9 +240,8 @@ def latent(docs: DataFrame, part: Part, weight: np.ndarray, rank: int = RANK, fi
         """The documents' passages' part of A^T (A q)."""
 
         def make(out, batch):
-            held = [passages(local[np.frombuffer(v, np.int32)])[1] for v in batch.column(1).to_pylist()]
+            held = [part.speaking(local[np.frombuffer(v, np.int32)], weight, floor)[1] for v in batch.column(1).to_pylist()]
             p = np.concatenate([np.empty((0, DOC_WORDS), np.int32), *held])
-            p = p[part.speaking(p, weight, floor)]
             for k in range(0, len(p), 4096):
                 x = distinct(p[k : k + 4096])
                 transposed(x, weight, times(x, weight, q), out.reshape(q.shape))
@@ -307,6 +323,8 @@ def leaked(item: np.ndarray, own: np.ndarray, doc: np.ndarray, passage: int = PA
         if kept_own[-1] < min(least_own, all_own[-1]):
             return 0
         for s in range(n):
+            if ai[-1] - ai[s] < best:
+                break  # what begins later is no longer
             e = np.arange(s, n)
             span = ai[e] - ai[s] + 1
             length = np.maximum(span, bi[e] - bi[s] + 1)
@@ -344,9 +362,8 @@ def _found(part_b, weight_b, basis_b, unit_b, floor: float, lowest: float):
             if owners and texts:
                 which, starts, rows = [], [], []
                 for d, ids in enumerate(texts):
-                    s, p = passages(ids)
-                    good = items.speaking(p, weight, floor)
-                    which.append(np.full(good.sum(), d)), starts.append(s[good]), rows.append(p[good])
+                    s, p = items.speaking(ids, weight, floor)
+                    which.append(np.full(len(s), d)), starts.append(s), rows.append(p)
                 which, starts, rows = np.concatenate(which), np.concatenate(starts), np.concatenate(rows)
                 hits: dict[tuple[int, int], list[int]] = {}
                 for k in range(0, len(rows), 4096):
