@@ -10,7 +10,7 @@ and calibrated probabilities.
   with flags for what a side lacks.
 * Weak labels. Agreeing blobs or nearly equal changes are positive, patches without a common line negative; copies of labelled
   pairs with their patches hidden teach the classifier what reports alone are worth.
-* Calibration. Platt scaling on the part of the sample that the classifier wasn't fitted on.
+* Calibration. Platt scaling on a quarter of the sample, chosen by pair, that the classifier wasn't fitted on.
 """
 
 from __future__ import annotations
@@ -23,9 +23,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinsieve.functions.crash import ENTRY_POINTS, SYSTEM_PLACES
 from kinsieve.plans.lineage import cut, spread, written
 
 #: Minima of hashes kept of a row's changed lines; one shared minimum makes a candidate: at a similarity of 0.2 that
@@ -38,9 +39,9 @@ PROJECT = 3
 #: Candidate pairs of either kind, those that may be positive and others, on which the classifier is fitted, chosen by hash.
 FIT_PAIRS = 20_000
 
-# Where frames of the runtime come from, and functions that every crash report may hold.
-_RUNTIME = ("llvm-project", "compiler-rt", "/glibc", "sanitizer", "libfuzzer")
-_ENTRY = {"main", "llvmfuzzertestoneinput", "llvmfuzzerinitialize", "malloc", "free", "calloc", "realloc", "__libc_start_main"}
+# Further places of the runtime's frames, and further functions that every crash report may hold.
+_RUNTIME = (*SYSTEM_PLACES, "sanitizer", "libfuzzer")
+_ENTRY = {f.lower() for f in ENTRY_POINTS} | {"main", "malloc", "free", "calloc", "realloc", "__libc_start_main"}
 
 _LINES = re.compile(r"\r\n|\r|\n")
 _HEADER = re.compile(r"^diff --git (?:a/)?(\S+) (?:b/)?(\S+)$")
@@ -232,6 +233,12 @@ def weak_labels(x: np.ndarray) -> np.ndarray:
     return np.where(sure, 1, np.where(never | (col["project"] < 0.2), 0, -1))
 
 
+def _surely_same() -> Column:
+    """The positive rule of ``weak_labels`` on the column ``x``."""
+    x = lambda name: F.col("x")[FEATURES.index(name)]
+    return (x("no_patch") == 0) & (x("project") >= 0.5) & (((x("blobs_same") > 0) & (x("contained") >= 0.3)) | ((x("contained") >= 0.7) & (x("common") > 1)))
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float, rows: np.ndarray, rounds: int = 60) -> np.ndarray:
     """Weights (the last is the intercept) by Newton's method; each row counts as ``rows`` says."""
     x = np.hstack([x, np.ones((len(x), 1))])
@@ -247,27 +254,35 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float, rows: np.ndarray, roun
     return w
 
 
-#: Used where a table has too few labelled pairs to fit anything, in the order of FEATURES, then the intercept.
-PRIOR = np.array([6.0, 3.0, 1.0, 3.0, -0.5, 1.0, 1.0, -1.0, 2.5, 1.0, 0.5, 0.0, 1.0, 1.5, 4.0, 3.0, -9.0])
+def _shown_and_hidden(x: np.ndarray, rows: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(x, y, rows, pairs) of the labelled pairs, and of their copies without patches where reports or statements still say something."""
+    y = weak_labels(x)
+    x, rows, pairs, y = x[y >= 0], rows[y >= 0], pairs[y >= 0], y[y >= 0].astype(float)
+    patched = x[:, _NONE] == 0
+    hidden = x[patched].copy()
+    hidden[:, _PATCH], hidden[:, _NONE] = 0.0, 1.0
+    named = hidden[:, [FEATURES.index(c) for c in ("function_any", "said", "frames")]].any(axis=1)
+    copies = lambda v: np.concatenate([v, v[patched][named]])
+    return np.vstack([x, hidden[named]]), copies(y), copies(rows), copies(pairs)
+
 
+def fit(x: np.ndarray, ridge: float = 1.0, rows: np.ndarray | None = None, pairs: np.ndarray | None = None) -> np.ndarray | None:
+    """Calibrated weights from a sample of candidate pairs, each of which stands for ``rows`` pairs; None without labels of both kinds.
 
-def fit(x: np.ndarray, ridge: float = 1.0, least: int = 20, rows: np.ndarray | None = None) -> np.ndarray:
-    """Calibrated weights from a sample of candidate pairs, each of which stands for ``rows`` pairs; ``PRIOR`` if it has fewer than ``least`` labels of a kind."""
-    y, rows = weak_labels(x), np.ones(len(x)) if rows is None else rows
-    x, rows, y = x[y >= 0], rows[y >= 0], y[y >= 0].astype(float)
-    if min((y == 1).sum(), (y == 0).sum()) < least:
-        return PRIOR
-    hidden = x[x[:, _NONE] == 0].copy()
-    shown, stands = y[x[:, _NONE] == 0], rows[x[:, _NONE] == 0]
-    hidden[:, _PATCH], hidden[:, _NONE] = 0.0, 1.0
-    named = hidden[:, [FEATURES.index(x) for x in ("function_any", "said", "frames")]].any(axis=1)
-    hidden, shown, stands = hidden[named], shown[named], stands[named]
-    all_x, all_y, rows = np.vstack([x, hidden]), np.concatenate([y, shown]), np.concatenate([rows, stands])
-    held = np.arange(len(all_y)) % 4 == 0
-    w = _logistic(all_x[~held], all_y[~held], ridge, rows[~held])
+    ``pairs`` are numbers of the pairs: a pair's copies are all fitted on or all held out.
+    """
+    rows = np.ones(len(x)) if rows is None else rows
+    pairs = np.arange(len(x)) if pairs is None else pairs
+    x, y, rows, pairs = _shown_and_hidden(x, rows, pairs)
+    held = pairs % 4 == 0
+    if len(set(y[~held].tolist())) < 2:
+        held[:] = False
+    if len(set(y.tolist())) < 2:
+        return None
+    w = _logistic(x[~held], y[~held], ridge, rows[~held])
     # Platt scaling on held-out pairs, on smoothed targets
-    score = np.hstack([all_x[held], np.ones((held.sum(), 1))]) @ w
-    positive = all_y[held] == 1
+    score = np.hstack([x[held], np.ones((held.sum(), 1))]) @ w
+    positive = y[held] == 1
     if 0 < positive.sum() < held.sum():
         target = np.where(positive, (positive.sum() + 1) / (positive.sum() + 2), 1 / ((~positive).sum() + 2))
         scale = _logistic(score[:, None], target, 1e-3, rows[held])
@@ -277,6 +292,25 @@ def fit(x: np.ndarray, ridge: float = 1.0, least: int = 20, rows: np.ndarray | N
     return w
 
 
+def reliability(x: np.ndarray, rows: np.ndarray, pairs: np.ndarray, edges: tuple[float, ...] = (0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 1.0)) -> list[tuple[float, float, int, float, float]]:
+    """(from, to, labelled pairs, mean confidence, share labelled positive) of pairs that neither fit nor calibration has seen.
+
+    A fifth of the pairs is kept apart; copies without patches count as pairs of their own.
+    """
+    apart = pairs // 4 % 5 == 0
+    w = fit(x[~apart], rows=rows[~apart], pairs=pairs[~apart])
+    seen, y, stands, _ = _shown_and_hidden(x[apart], rows[apart], pairs[apart])
+    if w is None or not len(y):
+        return []
+    p = 1 / (1 + np.exp(-np.clip(np.hstack([seen, np.ones((len(seen), 1))]) @ w, -30, 30)))
+    out = []
+    for lo, hi in zip(edges, edges[1:]):
+        k = (p >= lo) & ((p < hi) | (hi == edges[-1]))
+        if k.any():
+            out.append((lo, hi, int(k.sum()), float(np.average(p[k], weights=stands[k])), float(np.average(y[k], weights=stands[k]))))
+    return out
+
+
 _PARSED = "side int, id bigint, sig binary, keys array<bigint>, lines array<bigint>, body binary"
 
 
@@ -347,32 +381,48 @@ def candidates(classes: DataFrame, hot_pairs: int = HOT_PAIRS, whole: bool = Fal
     return found.distinct()
 
 
-def same_fix(sec: DataFrame, swe: DataFrame, threshold: float = 0.5, fit_pairs: int = FIT_PAIRS, hot_pairs: int = HOT_PAIRS, whole: bool = True) -> DataFrame:
-    """(sec_id, row_id, confidence): pairs of rows whose calibrated probability is at least ``threshold``.
-
-    ``sec`` has sec_id, instance_id, patch, sanitizer_report; ``swe`` row_id, instance_id, repo, base_commit, patch,
-    problem_statement; other columns are ignored. Nulls and empty texts are attributes that are lacking: a row that lacks all
-    has no keys and matches nothing. Equal rows each get the links of their class. Either table may be empty. All pairs of hot
-    blocks are compared, unless ``whole`` is false.
-    """
+def compared_pairs(sec: DataFrame, swe: DataFrame, hot_pairs: int = HOT_PAIRS, whole: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(parsed rows, candidate pairs of classes with their features ``x``), both written."""
     left = sec.select(F.col("sec_id").cast("bigint").alias("id"), "instance_id", "patch", "sanitizer_report")
     right = swe.select(F.col("row_id").cast("bigint").alias("id"), "instance_id", "repo", "base_commit", "patch", "problem_statement")
     parsed = written(spread(left).mapInArrow(_parse(0), _PARSED).unionByName(spread(right).mapInArrow(_parse(1), _PARSED)))
     classes = parsed.dropDuplicates(["side", "sig"])
     pairs = candidates(classes.select("side", "sig", "keys", "lines"), hot_pairs, whole)
     body = lambda side, name: classes.where(F.col("side") == side).select(F.col("sig").alias(name), F.col("body").alias(f"{name}_body"))
-    compared = written(pairs.join(body(0, "a"), "a").join(body(1, "b"), "b").select("a", "b", "a_body", "b_body").mapInArrow(_compare, "a binary, b binary, x array<double>"))
-    # bounded samples, chosen by hash, of the pairs that may be positive and of the others: hot blocks don't drown the former
+    return parsed, written(pairs.join(body(0, "a"), "a").join(body(1, "b"), "b").select("a", "b", "a_body", "b_body").mapInArrow(_compare, "a binary, b binary, x array<double>"))
+
+
+def sample(compared: DataFrame, fit_pairs: int = FIT_PAIRS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(x, rows that each stands for, numbers of the pairs) of bounded samples, chosen by hash, of the pairs that may be positive and of
+    the others: hot blocks don't drown the former."""
     x = lambda name: F.col("x")[FEATURES.index(name)]
     likely = (x("contained") >= 0.3) | (x("blobs_same") > 0)
     total = compared.agg(F.count(F.lit(1)).alias("n"), F.count_if(likely).alias("k")).head()
     share = {True: min(1.0, fit_pairs / max(1, total.k)), False: min(1.0, fit_pairs / max(1, total.n - total.k))}
     order = F.pmod(F.xxhash64("a", "b"), F.lit(1_000_000))
-    sample = [(r.x, 1 / share[k]) for k in (True, False) for r in compared.where(likely if k else ~likely).where(order < int(1_000_000 * share[k])).select("x").limit(2 * fit_pairs).collect()]
-    weights = fit(np.array([x for x, _ in sample], float).reshape(-1, len(FEATURES)), rows=np.array([n for _, n in sample]))
-    score = F.lit(float(weights[-1]))
-    for i, w in enumerate(weights[:-1]):
-        score = score + F.lit(float(w)) * F.col("x")[i]
-    found = compared.withColumn("confidence", 1 / (1 + F.exp(-score))).where(F.col("confidence") >= threshold).select("a", "b", "confidence")
+    taken = [(r.x, 1 / share[k], r.at) for k in (True, False) for r in compared.where(likely if k else ~likely).where(order < int(1_000_000 * share[k])).select("x", F.pmod(F.xxhash64("b", "a"), F.lit(1_000_000)).alias("at")).limit(2 * fit_pairs).collect()]
+    taken.sort(key=lambda r: (r[2], r[0]))
+    return np.array([r[0] for r in taken], float).reshape(-1, len(FEATURES)), np.array([r[1] for r in taken], float), np.array([r[2] for r in taken], np.int64)
+
+
+def same_fix(sec: DataFrame, swe: DataFrame, threshold: float = 0.5, fit_pairs: int = FIT_PAIRS, hot_pairs: int = HOT_PAIRS, whole: bool = True) -> DataFrame:
+    """(sec_id, row_id, confidence): pairs of rows whose calibrated probability is at least ``threshold``.
+
+    ``sec`` has sec_id, instance_id, patch, sanitizer_report; ``swe`` row_id, instance_id, repo, base_commit, patch,
+    problem_statement; other columns are ignored. Nulls and empty texts are attributes that are lacking: a row that lacks all
+    has no keys and matches nothing. Equal rows each get the links of their class. Either table may be empty. All pairs of hot
+    blocks are compared, unless ``whole`` is false. Where the candidates give no weak labels of both kinds there is nothing to fit:
+    then pairs that the rules of the weak labels call the same, or all with a threshold of 0, come out with a null confidence.
+    """
+    parsed, compared = compared_pairs(sec, swe, hot_pairs, whole)
+    x, stands, pairs = sample(compared, fit_pairs)
+    weights = fit(x, rows=stands, pairs=pairs)
+    if weights is None:
+        found = compared.where(_surely_same() | F.lit(threshold <= 0)).select("a", "b", F.lit(None).cast("double").alias("confidence"))
+    else:
+        score = F.lit(float(weights[-1]))
+        for i, w in enumerate(weights[:-1]):
+            score = score + F.lit(float(w)) * F.col("x")[i]
+        found = compared.withColumn("confidence", 1 / (1 + F.exp(-score))).where(F.col("confidence") >= threshold).select("a", "b", "confidence")
     rows = lambda side, name, to: parsed.where(F.col("side") == side).select(F.col("sig").alias(name), F.col("id").alias(to))
     return found.join(rows(0, "a", "sec_id"), "a").join(rows(1, "b", "row_id"), "b").select("sec_id", "row_id", "confidence")

@@ -12,7 +12,7 @@ REPORT = "==1==ERROR: AddressSanitizer: heap-use-after-free on address\n    #0 0
 def fixes(spark, n=40):
     sec = [(i, f"proj{i % 4}.ossfuzz-{i}", "From abc\nSubject: x\n\n" + PATCH.format(i, i + 5000).replace("\n", "\r\n"), REPORT.format(i), "c") for i in range(n)]
     swe = [(1000 + i, f"o__proj{i % 4}-{i}", f"o/Proj{i % 4}", None, PATCH.format(i, i + 5000).replace("\t", "    "), f"crash_fn_{i} crashes. More.", "c") for i in range(n)]
-    swe += [(3000 + i, f"o__proj{i % 4}-9{i}", f"o/proj{i % 4}", None, PATCH.format(i, i + 9000), "another change", "c") for i in range(n)]
+    swe += [(3000 + i, f"o__proj{i % 4}-9{i}", f"o/proj{i % 4}", None, PATCH.format(i, i + 9000), f"crash_fn_{i} once more. Another change", "c") for i in range(n)]
     sec += [(900, None, None, None, None), (901, "", "", "", None), (902, *sec[0][1:])]
     swe += [(5000, None, None, None, None, None, None), (5001, *swe[0][1:]), (5002, "o__proj1-7", "o/proj1", None, None, "crash_fn_1 crashes. Text", "c")]
     a = spark.createDataFrame(sec, "sec_id long, instance_id string, patch string, sanitizer_report string, sig string")
@@ -54,7 +54,17 @@ def test_classifier_is_calibrated():
     w = matching.fit(x)
     p = 1 / (1 + np.exp(-(np.hstack([x, np.ones((2000, 1))]) @ w)))
     assert ((p > 0.5) == same).mean() > 0.99
-    assert (matching.fit(x[:5]) == matching.PRIOR).all() and (matching.fit(np.empty((0, len(matching.FEATURES)))) == matching.PRIOR).all()
+    assert matching.fit(x[same]) is None and matching.fit(np.empty((0, len(matching.FEATURES)))) is None
+    few = matching.fit(np.vstack([x[same][:2], x[~same][:2]]))  # any labels of both kinds teach something
+    assert few is not None and np.hstack([x[same].mean(axis=0), 1]) @ few > np.hstack([x[~same].mean(axis=0), 1]) @ few
+    table = matching.reliability(x, np.ones(2000), np.arange(2000))
+    assert sum(n for _, _, n, _, _ in table) > 300 and all(abs(p - y) < 0.1 for _, _, _, p, y in table)
+
+
+def test_without_labels_confidence_is_null(spark):
+    a, b = fixes(spark, 3)
+    rows = matching.same_fix(a.where("sec_id < 3"), b.where("row_id < 1003")).collect()
+    assert {(r.sec_id, r.row_id, r.confidence) for r in rows} == {(i, 1000 + i, None) for i in range(3)}
 
 
 ITEM = "when reader_{0} meets its {0}th stale cookie it forgets vertex_{0} and starts over at slot_{0} although buffer_{0} still holds {0}77 bytes of frozen data from the union_{0} pool"
