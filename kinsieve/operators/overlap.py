@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kinsieve.functions.text import ngrams, words
-from kinsieve.plans.lineage import spread
+from kinsieve.plans.lineage import cut, spread
 
 #: A table of n-grams is broadcast up to this many rows; beyond, the join shuffles.
 BROADCAST_GRAMS = 200_000
@@ -27,7 +27,7 @@ def ngram_matches(train: DataFrame, train_id: str, train_text: str, bench: DataF
     grams = gram_rows(bench, bench_id, bench_text, n)
     if boilerplate is not None:
         grams = grams.join(boilerplate.select("gram"), "gram", "left_anti")
-    grams = grams.distinct()
+    grams = cut(grams.distinct())
     small = grams.limit(BROADCAST_GRAMS + 1).count() <= BROADCAST_GRAMS
     found = gram_rows(train, train_id, train_text, n).join(F.broadcast(grams) if small else grams, "gram")
     return found.groupBy(train_id, bench_id).agg(F.count_distinct("gram").alias("shared"))
@@ -38,18 +38,19 @@ def filter_summary(matches: DataFrame, train: DataFrame, train_id: str, bench_id
 
     (overlap_items, overlap_flagged, overlap_flagged_by_own, other_items, other_flagged, bench_matched)
     """
-    flagged = matches.select(train_id).distinct().withColumn("flagged", F.lit(True))
-    own = matches.join(pairs, [train_id, bench_id], "left_semi").select(train_id).distinct().withColumn("own", F.lit(True))
-    mine = pairs.select(train_id).distinct().withColumn("overlap", F.lit(True))
-    rows = train.select(train_id).distinct().join(mine, train_id, "left").join(flagged, train_id, "left").join(own, train_id, "left").fillna(False)
-    hit = matches.select(F.lit(None).cast("boolean").alias("overlap"), F.lit(None).cast("boolean").alias("flagged"), F.lit(None).cast("boolean").alias("own"), F.col(bench_id).cast("string").alias("hit"))
-    return rows.select("overlap", "flagged", "own", F.lit(None).cast("string").alias("hit")).unionByName(hit).agg(
-        F.count_if("overlap").alias("overlap_items"),
-        F.count_if(F.col("overlap") & F.col("flagged")).alias("overlap_flagged"),
-        F.count_if(F.col("overlap") & F.col("own")).alias("overlap_flagged_by_own"),
-        F.count_if(~F.col("overlap")).alias("other_items"),
-        F.count_if(~F.col("overlap") & F.col("flagged")).alias("other_flagged"),
-        F.count_distinct("hit").alias("bench_matched"),
+    no, none = F.lit(False), F.lit(None)
+    found = cut(matches.select(train_id, bench_id).distinct())
+    row = lambda df, hit, mine, there: df.select(F.col(train_id).alias("t"), F.col(bench_id).alias("b") if bench_id in df.columns else none.cast(found.schema[bench_id].dataType).alias("b"), F.lit(hit).alias("hit"), F.lit(mine).alias("mine"), F.lit(there).alias("there"))
+    # one shuffle by item: what each pair of it is, and then what each item is
+    tagged = row(train, False, False, True).unionByName(row(found, True, False, False)).unionByName(row(pairs, False, True, False))
+    per_pair = tagged.groupBy("t", "b").agg(*[F.max(c).alias(c) for c in ("hit", "mine", "there")])
+    own = F.col("hit") & F.col("mine")
+    items = per_pair.groupBy("t").agg(F.max("hit").alias("flagged"), F.max("mine").alias("overlap"), F.max(F.coalesce(own, no)).alias("own"), F.max("there").alias("there")).where("there")
+    no_hit, no_flag = F.lit(None).cast("string").alias("hit"), F.lit(None).cast("boolean")
+    hits = found.select(*[no_flag.alias(c) for c in ("overlap", "flagged", "own")], F.col(bench_id).cast("string").alias("hit")).distinct()
+    return items.select("overlap", "flagged", "own", no_hit).unionByName(hits).agg(
+        F.count_if("overlap").alias("overlap_items"), F.count_if(F.col("overlap") & F.col("flagged")).alias("overlap_flagged"), F.count_if(F.col("overlap") & F.col("own")).alias("overlap_flagged_by_own"),
+        F.count_if(~F.col("overlap")).alias("other_items"), F.count_if(~F.col("overlap") & F.col("flagged")).alias("other_flagged"), F.count_distinct("hit").alias("bench_matched"),
     )
 
 
@@ -67,7 +68,7 @@ def boilerplate(rows: DataFrame, key: str, text: str, n: int, least: int) -> Dat
 def flagged_by_threshold(train: DataFrame, train_id: str, train_text: str, bench: DataFrame, bench_id: str, bench_text: str, n: int, thresholds: list[int]) -> DataFrame:
     """(threshold, flagged): training texts that share an n-gram with the benchmark which is in fewer benchmark texts than
     the threshold; 0 counts every n-gram. All thresholds come from one join: a text is kept with its rarest shared n-gram."""
-    counted = document_frequency(bench, bench_id, bench_text, n)
+    counted = cut(document_frequency(bench, bench_id, bench_text, n))
     small = counted.limit(BROADCAST_GRAMS + 1).count() <= BROADCAST_GRAMS
     found = gram_rows(train, train_id, train_text, n).join(F.broadcast(counted) if small else counted, "gram")
     rarest = found.groupBy(train_id).agg(F.min("df").alias("df"))
@@ -78,17 +79,22 @@ def flagged_by_threshold(train: DataFrame, train_id: str, train_text: str, bench
 def longest_runs(pairs: DataFrame, a: DataFrame, b: DataFrame, a_id: str, b_id: str, a_text: str, b_text: str) -> DataFrame:
     """``pairs`` (a_id, b_id) with ``run``: the length of the longest run of words that both texts hold; 0 without any.
 
-    Positions of equal words lie on diagonals, and runs are islands of consecutive positions on one. Meant for candidate
-    pairs: a pair costs the product of a word's repetitions on both sides.
+    Positions of equal pairs of words lie on diagonals, and runs are islands of consecutive positions on one; single words are only
+    looked at where no two in a row are shared. Meant for candidate pairs: a pair costs the product of a word pair's repetitions
+    on both sides. Texts are cut to those of the pairs before their words are made, which are shuffled and never broadcast.
     """
-    keep = pairs.select(a_id, b_id).distinct()
-    placed = lambda rows, key, text, at: rows.select(F.col(key), F.posexplode(words(F.col(text))).alias(at, "word"))
-    left = keep.join(placed(a, a_id, a_text, "i"), a_id)
-    met = left.join(placed(b, b_id, b_text, "j"), [b_id, "word"]).withColumn("diagonal", F.col("i") - F.col("j"))
+    keep = cut(pairs.select(a_id, b_id).distinct())
+    split = lambda rows, key, text: rows.join(keep.select(key).distinct(), key, "left_semi").select(key, words(F.col(text)).alias("w"))
+    x, y = split(a, a_id, a_text), split(b, b_id, b_text)
+    two = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat_ws(" ", F.get(w, i - 1), F.get(w, i)))
+    placed = lambda rows, key, at: rows.select(key, F.posexplode(F.when(F.size("w") > 1, two(F.col("w")))).alias(at, "two")).hint("merge")
+    met = keep.join(placed(x, a_id, "i"), a_id).hint("merge").join(placed(y, b_id, "j"), [b_id, "two"]).withColumn("diagonal", F.col("i") - F.col("j"))
     order = Window.partitionBy(a_id, b_id, "diagonal").orderBy("i")
     islands = met.withColumn("island", F.col("i") - F.row_number().over(order))
-    runs = islands.groupBy(a_id, b_id, "diagonal", "island").agg(F.count(F.lit(1)).alias("n")).groupBy(a_id, b_id).agg(F.max("n").alias("run"))
-    return keep.join(runs, [a_id, b_id], "left").fillna(0, ["run"])
+    runs = cut(islands.groupBy(a_id, b_id, "diagonal", "island").agg(F.count(F.lit(1)).alias("n")).groupBy(a_id, b_id).agg((F.max("n") + 1).alias("run")))
+    rest = keep.join(runs, [a_id, b_id], "left_anti")
+    single = rest.join(x.hint("merge"), a_id).join(y.withColumnRenamed("w", "v").hint("merge"), b_id).select(a_id, b_id, F.arrays_overlap("w", "v").cast("bigint").alias("run"))
+    return runs.unionByName(single.unionByName(rest.join(single.select(a_id, b_id), [a_id, b_id], "left_anti").withColumn("run", F.lit(0).cast("bigint"))))
 
 
 def run_stats(runs: DataFrame) -> DataFrame:

@@ -20,16 +20,11 @@ def blob_list(patch: Column) -> Column:
 
     A later header without an index line gives nothing; a header whose path has blanks is passed over.
     """
-    start = F.struct(F.lit(None).cast("string").alias("path"), F.array().cast("array<struct<path:string,pre:string,post:string>>").alias("out"))
-
-    def step(acc, line):
-        header, index = line.rlike(_HEADER), line.rlike(_INDEX) & acc["path"].isNotNull()
-        found = F.struct(acc["path"].alias("path"), F.regexp_extract(line, _INDEX, 1).alias("pre"), F.regexp_extract(line, _INDEX, 2).alias("post"))
-        path = F.when(header, F.regexp_extract(line, _HEADER, 1)).when(index, F.lit(None).cast("string")).otherwise(acc["path"])
-        return F.struct(path.alias("path"), F.when(~header & index, F.array_append(acc["out"], found)).otherwise(acc["out"]).alias("out"))
-
-    marked = F.filter(lines(patch), lambda x: x.startswith("diff --git") | x.startswith("index "))
-    return F.aggregate(marked, start, step)["out"]
+    kept = F.filter(lines(patch), lambda x: x.rlike(_HEADER) | x.rlike(_INDEX))
+    # each kept line next to the one before it: an index line right behind a header is the first one of that file
+    following = F.arrays_zip(kept.alias("h"), F.slice(kept, F.lit(2), F.size(kept)).alias("i"))
+    firsts = F.filter(following, lambda z: z["h"].rlike(_HEADER) & z["i"].rlike(_INDEX))
+    return F.transform(firsts, lambda z: F.struct(F.regexp_extract(z["h"], _HEADER, 1).alias("path"), F.regexp_extract(z["i"], _INDEX, 1).alias("pre"), F.regexp_extract(z["i"], _INDEX, 2).alias("post")))
 
 
 def patch_blobs(patches: DataFrame, key: str, patch: str) -> DataFrame:
@@ -53,24 +48,32 @@ def changed_line_rows(patches: DataFrame, key: str, patch: str) -> DataFrame:
     rows = lines(F.col(patch))
     header = lambda x: x.startswith("diff --git ")
     kept = F.filter(rows, lambda x: header(x) | (x.rlike("^[-+]") & ~x.rlike(r"^(---|\+\+\+)")))
-    start = F.struct(F.lit(None).cast("string").alias("path"), F.array().cast("array<struct<path:string,sign:string,line:string>>").alias("out"))
-
-    def step(acc, x):
-        path = F.when(header(x), F.when(x.contains(" b/"), F.regexp_replace(x, "^.*? b/", "")).otherwise(x)).otherwise(acc["path"])
-        row = F.struct(path.alias("path"), F.when(~header(x), F.left(x, F.lit(1))).alias("sign"), F.when(~header(x), stripped(F.substring(x, 2, 2147483647))).alias("line"))
-        return F.struct(path.alias("path"), F.when(path.isNotNull(), F.array_append(acc["out"], row)).otherwise(acc["out"]).alias("out"))
-
-    found = patches.select(F.col(key), F.explode(F.aggregate(kept, start, step)["out"]).alias("r")).select(key, "r.*")
+    # divided at the headers, so that a section's lines share its path; lines hold no breaks of their own
+    sections = F.filter(F.split(F.array_join(kept, "\n"), "\n(?=diff --git )"), header)
+    path = lambda h: F.when(h.contains(" b/"), F.regexp_replace(h, "^.*? b/", "")).otherwise(h)
+    none = F.lit(None).cast("string")
+    row = lambda p, sign, line: F.struct(p.alias("path"), sign.alias("sign"), line.alias("line"))
+
+    def rows_of(section):
+        parts = F.split(section, "\n")
+        inside = lambda p: F.concat(F.array(row(p, none, none)), F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda x: row(p, F.left(x, F.lit(1)), stripped(F.substring(x, 2, 2147483647)))))
+        return F.transform(F.array(path(parts[0])), inside)[0]
+
+    found = patches.select(F.col(key), F.explode(F.flatten(F.transform(sections, rows_of))).alias("r")).select(key, "r.*")
     return found.groupBy(key, "path", "sign", "line").agg(F.count(F.lit(1)).alias("copies"))
 
 
-def changed_lines(patches: DataFrame, key: str, patch: str) -> DataFrame:
-    """(key, path, removed, added): sorted arrays with repeats."""
-    rows = changed_line_rows(patches, key, patch)
+def sorted_lines(rows: DataFrame, key: str) -> DataFrame:
+    """(key, path, removed, added): sorted arrays with repeats, of ``changed_line_rows``."""
     many = lambda sign: F.sort_array(F.flatten(F.collect_list(F.when(F.col("sign") == sign, F.array_repeat("line", F.col("copies").cast("int"))))))
     return rows.groupBy(key, "path").agg(many("-").alias("removed"), many("+").alias("added"))
 
 
+def changed_lines(patches: DataFrame, key: str, patch: str) -> DataFrame:
+    """``sorted_lines`` of patches."""
+    return sorted_lines(changed_line_rows(patches, key, patch), key)
+
+
 def _relation(shared: Column, same: Column) -> Column:
     return F.when(F.coalesce(shared, F.lit(0)) == 0, "not_comparable").when(same == shared, "identical").when(same > 0, "partly_identical").otherwise("different")
 

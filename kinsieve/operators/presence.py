@@ -56,7 +56,8 @@ def cross_counts(rows: DataFrame, group: str, values: list[str], item: str | Non
     rows of a group (or of rows with different ``item``).
 
     Pairs of n rows are the product of their counts, less the pairs within a row (or item); so a large group costs
-    the square of its distinct values and not of its rows. Rows with a null group take no part.
+    the square of its distinct values and not of its rows. For values of a bounded number; grades have ``graded_counts``, which is linear.
+    Rows with a null group take no part.
     """
     keyed = rows.where(F.col(group).isNotNull())
     counts = keyed.groupBy(group, *values).agg(F.count(F.lit(1)).alias("n"))
@@ -74,6 +75,42 @@ def cross_counts(rows: DataFrame, group: str, values: list[str], item: str | Non
     return every.unionByName(same).groupBy(*keys).agg(F.sum("pairs").alias("pairs")).where("pairs > 0")
 
 
+def graded_counts(a: DataFrame, b: DataFrame | None, group: str, kind: str, frame: str) -> DataFrame:
+    """(grade, pairs): the grades of ``crash.grade_of`` over all pairs of rows of a group in ``a`` and ``b``, counted and not made.
+
+    Without ``b``, over ordered pairs of different rows of ``a``. Grades depend on equality alone, so counts by kind, by frame and by both
+    say it all: each is one aggregation, and a hot group costs no more than its rows. Both sides have (group, kind, frame); a null
+    kind or frame is an empty one, rows with a null group take no part.
+    """
+    empty, every = F.lit(""), F.lit(1)
+    known = lambda rows: rows.where(F.col(group).isNotNull()).select(F.col(group).alias("g"), F.coalesce(kind, empty).alias("k"), F.coalesce(frame, empty).alias("f"))
+
+    def counted(rows: DataFrame, name: str) -> DataFrame:
+        """Rows by (kind), (frame), (kind, frame) and in all, each also of those with a frame."""
+        per = rows.groupBy("g", "k", "f").agg(F.count(every).alias("n"))
+        sets = F.array(F.struct(F.lit("kf").alias("by"), "k", "f"), F.struct(F.lit("k").alias("by"), F.col("k"), empty.alias("f")), F.struct(F.lit("f").alias("by"), empty.alias("k"), F.col("f")), F.struct(F.lit("").alias("by"), empty.alias("k"), empty.alias("f")))
+        flat = per.select("g", "n", F.when(F.col("f") != "", F.col("n")).otherwise(0).alias("m"), F.explode(sets).alias("s")).select("g", "s.*", "n", "m")
+        return flat.groupBy("g", "by", "k", "f").agg(F.sum("n").alias(f"{name}_all"), F.sum("m").alias(f"{name}_framed"))
+
+    x = known(a)
+    y = x if b is None else known(b)
+    both = counted(x, "x").join(counted(y, "y"), ["g", "by", "k", "f"])
+    pairs, framed = F.col("x_all") * F.col("y_all"), F.col("x_framed") * F.col("y_framed")
+    over = lambda by, what, said: F.coalesce(F.sum(F.when((F.col("by") == by) & said, what)), F.lit(0))
+    kinds, frames, always = F.col("k") != "", F.col("f") != "", F.lit(True)
+    sums = both.agg(
+        over("kf", pairs, kinds & frames).alias("tf"), over("f", pairs, frames).alias("f"), over("k", framed, kinds).alias("t"), over("", framed, always).alias("framed"),
+        over("k", pairs, kinds).alias("kind"), over("", pairs, always).alias("every"),
+    )
+    if b is None:  # less the pairs of a row with itself
+        own = {"tf": kinds & frames, "f": frames, "t": kinds & frames, "framed": frames, "kind": kinds, "every": always}
+        sums = sums.unionByName(x.agg(*[(-F.count_if(said)).alias(name) for name, said in own.items()])).agg(*[F.sum(name).alias(name) for name in own])
+    c = F.col
+    grades = {"type_and_frame": c("tf"), "frame_only": c("f") - c("tf"), "type_only": c("t") - c("tf"), "no_match": c("framed") - c("f") - c("t") + c("tf"), "type_only_no_frame": c("kind") - c("t"), "no_match_no_frame": c("every") - c("framed") - c("kind") + c("t")}
+    rows = F.array(*[F.struct(F.lit(g).alias("grade"), n.alias("pairs")) for g, n in grades.items()])
+    return sums.select(F.explode(rows).alias("r")).select("r.*").where("pairs > 0")
+
+
 def cross_matched(pairs: DataFrame, group: str, a: str, b: str) -> DataFrame:
     """(group, a, b): pairs of matched ids of one group that aren't matched with each other. For matched sets, which are small."""
     x, y = pairs.select(group, a).distinct(), pairs.select(group, b).distinct()

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kinsieve.functions import crash, ids, text
 from kinsieve.operators import keys, overlap, patches, presence, splits, stats
+from kinsieve.plans.lineage import cut
 from kinsieve.sources import readers
 
 #: The test tables' new numbering: an old number behind this one.
@@ -56,13 +57,17 @@ class Tables:
         side = lambda rows: rows.withColumn("id", F.col("pos"))
         return keys.multi_key_join(side(self.swe_bench()), side(self.swe()), keys.swe_keys()).where("a_id <> b_id")
 
-    def fix_pairs(self) -> DataFrame:
-        """(sec_id, row_id): rows of the security benchmark and of the training set that change the same file of a project."""
-        sec = self("sec_bench").select("sec_id", F.lower(ids.project_of(F.col("instance_id"))).alias("project"), "patch")
-        swe = self("swe_rebench_v2").select("row_id", F.lower(ids.short_repo(F.col("repo"))).alias("project"), "patch")
-        a = patches.patch_blobs(sec, "sec_id", "patch").join(sec.drop("patch"), "sec_id").select("sec_id", "project", "path")
-        b = patches.patch_blobs(swe, "row_id", "patch").join(swe.drop("patch"), "row_id").select("row_id", "project", "path")
-        return a.join(b, ["project", "path"]).select("sec_id", "row_id").distinct()
+    def fixes(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(pairs, blobs of sec_bench, blobs of swe_rebench_v2): rows of the security benchmark and of the training set that change the
+        same file of a project, and (key, path, pre, post) of either side, for which each table is read and parsed once."""
+        def blobs(table, key, project):
+            rows = self(table).select(F.struct(F.col(key), F.lower(project).alias("project")).alias("k"), "patch")
+            return cut(patches.patch_blobs(rows, "k", "patch").select("k.*", "path", "pre", "post"))
+
+        a = blobs("sec_bench", "sec_id", ids.project_of(F.col("instance_id")))
+        b = blobs("swe_rebench_v2", "row_id", ids.short_repo(F.col("repo")))
+        pairs = cut(a.select("sec_id", "project", "path").join(b.select("row_id", "project", "path"), ["project", "path"]).select("sec_id", "row_id").distinct())
+        return pairs, a.drop("project"), b.drop("project")
 
 
 def _gram_query(n: int):
@@ -425,18 +430,19 @@ def changed_lines(spark, folder):
 @query
 def same_fix(spark, folder):
     t = Tables(spark, folder)
-    a = patches.patch_blobs(t("sec_bench"), "sec_id", "patch")
-    b = patches.patch_blobs(t("swe_rebench_v2"), "row_id", "patch")
+    a = cut(patches.patch_blobs(t("sec_bench"), "sec_id", "patch"))
+    b = cut(patches.patch_blobs(t("swe_rebench_v2"), "row_id", "patch"))
     return patches.same_fix_pairs(a, b, "sec_id", "row_id").select(F.col("a_id").alias("sec_id"), F.col("b_id").alias("row_id"))
 
 
 @query
 def fix_relations(spark, folder):
     t = Tables(spark, folder)
-    sec, swe, pairs = t("sec_bench"), t("swe_rebench_v2"), t.fix_pairs()
-    ba, bb = patches.patch_blobs(sec, "sec_id", "patch"), patches.patch_blobs(swe, "row_id", "patch")
-    la, lb = patches.changed_lines(sec, "sec_id", "patch"), patches.changed_lines(swe, "row_id", "patch")
-    ra, rb = patches.changed_line_rows(sec, "sec_id", "patch"), patches.changed_line_rows(swe, "row_id", "patch")
+    pairs, ba, bb = t.fixes()
+    # lines are made of the paired patches alone
+    lines = lambda table, key: cut(patches.changed_line_rows(t(table).select(key, "patch").join(pairs.select(key).distinct(), key, "left_semi"), key, "patch"))
+    ra, rb = lines("sec_bench", "sec_id"), lines("swe_rebench_v2", "row_id")
+    la, lb = patches.sorted_lines(ra, "sec_id"), patches.sorted_lines(rb, "row_id")
     out = patches.fix_relation(pairs, "sec_id", "row_id", ba, bb, "sec_id", "row_id")
     out = patches.strict_blob_test(out, "sec_id", "row_id", ba, bb, "sec_id", "row_id")
     out = patches.lines_relation(out, "sec_id", "row_id", la, lb, "sec_id", "row_id")
@@ -446,9 +452,7 @@ def fix_relations(spark, folder):
 
 @query
 def no_fix_reasons(spark, folder):
-    t = Tables(spark, folder)
-    sec, swe, pairs = t("sec_bench"), t("swe_rebench_v2"), t.fix_pairs()
-    ba, bb = patches.patch_blobs(sec, "sec_id", "patch"), patches.patch_blobs(swe, "row_id", "patch")
+    pairs, ba, bb = Tables(spark, folder).fixes()
     counted = patches.shared_blobs(pairs, "sec_id", "row_id", ba, bb, "sec_id", "row_id")
     fixed = patches.same_fix_pairs(ba, bb, "sec_id", "row_id").select(F.col("a_id").alias("sec_id"), F.col("b_id").alias("row_id"))
     size = lambda rows, k: rows.groupBy(k).agg(F.count(F.lit(1)).alias(f"n_{k}"))
@@ -482,22 +486,17 @@ def _reports_by_project(spark, folder) -> tuple[DataFrame, DataFrame]:
 
 @query
 def crash_grades(spark, folder):
-    """Grades of reports of one project in two benchmarks, over distinct parsed values with their counts."""
+    """Grades of all pairs of reports of one project in two benchmarks."""
     a, b = _reports_by_project(spark, folder)
-    x = a.groupBy("project", "a_type", "a_frame").agg(F.count(F.lit(1)).alias("na"))
-    y = b.groupBy("project", "b_type", "b_frame").agg(F.count(F.lit(1)).alias("nb"))
-    graded = x.join(y, "project").withColumn("grade", crash.grade_of(F.col("a_type"), F.col("b_type"), F.col("a_frame"), F.col("b_frame")))
-    return graded.groupBy("grade").agg(F.sum(F.col("na") * F.col("nb")).alias("pairs"))
+    kinds = lambda rows, s: rows.select("project", F.col(f"{s}_type").alias("t"), F.col(f"{s}_frame").alias("f"))
+    return presence.graded_counts(kinds(a, "a"), kinds(b, "b"), "project", "t", "f")
 
 
 @query
 def control_cross_pairs(spark, folder):
     """Negative control: grades of different reports of one project."""
     _, b = _reports_by_project(spark, folder)
-    rows = b.select("project", F.col("b_type").alias("t"), F.col("b_frame").alias("f"))
-    pairs = presence.cross_counts(rows, "project", ["t", "f"])
-    graded = pairs.withColumn("grade", crash.grade_of(F.col("a_t"), F.col("b_t"), F.col("a_f"), F.col("b_f")))
-    return graded.groupBy("grade").agg(F.sum("pairs").alias("pairs"))
+    return presence.graded_counts(b.select("project", F.col("b_type").alias("t"), F.col("b_frame").alias("f")), None, "project", "t", "f")
 
 
 @query

@@ -40,11 +40,14 @@ def id_list(df: DataFrame, key: str, path: str, order: str | None = None) -> Non
     rows.select(F.col(key).cast("string").alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
-def summary_json(parts: dict[str, object], path: str) -> dict:
-    """A nested summary: DataFrames become lists of their rows (one row: an object), and must be small aggregates."""
+def summary_json(parts: dict[str, object], path: str, most: int = 10_000) -> dict:
+    """A nested summary: DataFrames become lists of their rows (one row: an object), and must be aggregates of at most ``most`` rows
+    (an error beyond: nothing is left out)."""
     def plain(v):
         if isinstance(v, DataFrame):
-            rows = [r.asDict(recursive=True) for r in v.limit(10_000).collect()]
+            rows = [r.asDict(recursive=True) for r in v.limit(most + 1).collect()]
+            if len(rows) > most:
+                raise ValueError(f"a part of the summary has more than {most} rows: write it as a table")
             return rows[0] if len(rows) == 1 else rows
         return {k: plain(x) for k, x in v.items()} if isinstance(v, dict) else v
 

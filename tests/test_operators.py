@@ -184,3 +184,45 @@ def test_shuffled_ids_do_not_overlap(spark):
 def test_names_any_whole_words(spark):
     df = spark.createDataFrame([("call foo_bar now", ["foo"]), ("call foo.", ["foo"]), ("x", []), ("a+b c", ["a+b"])], "t string, n array<string>")
     assert [r.k for r in df.select(overlap.names_any(F.col("t"), F.col("n")).alias("k")).collect()] == [False, True, None, True]
+
+
+def test_graded_counts_equal_brute_force(spark):
+    """Counts of grades from counts of values, against all pairs made; nulls are empty values and a null group takes no part."""
+    import random
+
+    rng = random.Random(4)
+    rows = [(rng.choice(["p", "q", None]), rng.choice(["uaf", "leak", "", None]), rng.choice(["f", "g", "", None])) for _ in range(60)]
+    a, b = rows[:40], rows[40:]
+
+    def grade(x, y):
+        (s, f), (t, g) = ((v[1] or "", v[2] or "") for v in (x, y))
+        kind, frame = s != "" and s == t, f == g
+        if not f or not g:
+            return "type_only_no_frame" if kind else "no_match_no_frame"
+        return "type_and_frame" if kind and frame else "frame_only" if frame else "type_only" if kind else "no_match"
+
+    df = lambda r: spark.createDataFrame(r, "project string, t string, f string")
+    got = lambda d: {r.grade: r.pairs for r in d.collect()}
+    across = Counter(grade(x, y) for x in a for y in b if x[0] and x[0] == y[0])
+    assert got(presence.graded_counts(df(a), df(b), "project", "t", "f")) == across
+    within = Counter(grade(x, y) for i, x in enumerate(a) for j, y in enumerate(a) if i != j and x[0] and x[0] == y[0])
+    assert got(presence.graded_counts(df(a), None, "project", "t", "f")) == within
+    assert got(presence.graded_counts(df(a).limit(0), df(b), "project", "t", "f")) == {}
+
+
+def test_longest_runs_of_odd_texts(spark):
+    texts = {1: "a b c d e f", 2: "x c d e y a b", 3: "f", 4: None, 5: "", 6: "the the the the", 7: "z"}
+    df = spark.createDataFrame(list(texts.items()), "id long, body string")
+    other = df.select(F.col("id").alias("other"), F.col("body").alias("words"))
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (1, 4), (1, 5), (6, 6), (1, 7), (1, 1), (1, 2), (99, 1)], "id long, other long")
+    got = {(r.id, r.other): r.run for r in overlap.longest_runs(pairs, df, other, "id", "other", "body", "words").collect()}
+    assert got == {(1, 2): 3, (1, 3): 1, (1, 4): 0, (1, 5): 0, (6, 6): 4, (1, 7): 0, (1, 1): 6, (99, 1): 0}
+
+
+def test_long_patches_are_parsed_in_proportion(spark):
+    """Tens of thousands of changed lines in one patch: parsing doesn't copy what it has."""
+    big = "diff --git a/x.c b/x.c\nindex 1111111..2222222\n" + "".join(f"+line {i}\n" for i in range(60_000)) + "diff --git a/y.c b/y.c\n-gone\n"
+    df = spark.createDataFrame([(1, big)], "id long, patch string")
+    rows = patches.changed_line_rows(df, "id", "patch")
+    assert rows.groupBy("path").count().orderBy("path").collect() == [("x.c", 60_001), ("y.c", 2)]
+    assert [tuple(r) for r in patches.patch_blobs(df, "id", "patch").collect()] == [(1, "x.c", "1111111", "2222222")]
