@@ -35,7 +35,7 @@ from kinsieve.plans.lineage import spread, written
 _WORD = re.compile(r"\w+")
 #: Words in a passage of an item and between two of them; of a document, which holds an item's passage whole with two words more.
 ITEM_WORDS, ITEM_STEP, DOC_WORDS, DOC_STEP = 10, 5, 24, 12
-RANK, OVERSAMPLE, THRESHOLD = 128, 16, 0.3
+RANK, OVERSAMPLE, THRESHOLD = 128, 16, 0.4
 #: Documents, chosen by hash, on whose passages the latent space is fitted (frequencies and the search cover all of them).
 FIT_DOCS = 10_000
 #: Least weight of a word that is an item's own: copies of one leak may be any share of the documents, and make its words frequent.
