@@ -52,6 +52,18 @@ def bug_overlap(train: DataFrame, bench: DataFrame, bug: str = "bug", number: st
     return both.select(bug, "train_ids", "bench_ids", kind.alias("match_type"))
 
 
+def id_lists(instances: DataFrame, key: str, number: str, bench: DataFrame, mapping: DataFrame) -> DataFrame:
+    """(key, plain_ids, translated_ids): for each instance the benchmark's ids of its own number, and of the bug that the number stands for.
+
+    ``bench`` has (id, num, bug); lists are sorted and empty without a match. An instance whose number is null has none.
+    """
+    wanted = translate(instances.select(F.col(key), F.col(number).alias("num")), "num", mapping)
+    ids = lambda k, to: bench.where(F.col(k).isNotNull()).groupBy(k).agg(F.array_sort(F.collect_set("id")).alias(to))
+    none = F.array().cast("array<string>")
+    both = wanted.join(ids("num", "plain"), "num", "left").join(ids("bug", "translated"), "bug", "left")
+    return both.select(key, F.coalesce("plain", none).alias("plain_ids"), F.coalesce("translated", none).alias("translated_ids"))
+
+
 def multi_key_join(a: DataFrame, b: DataFrame, keys: dict[str, tuple[list[Column], list[Column]]], a_id: str = "id", b_id: str = "id") -> DataFrame:
     """(a_id, b_id, joins): the pairs that any of the keys finds, with the sorted names of all that do.
 
@@ -163,6 +175,20 @@ def related(train: DataFrame, bench: DataFrame) -> DataFrame:
     return by_commit.unionByName(by_sign).groupBy("train_id", "bench_id").agg(F.bool_or("f").alias("same_fix_commit"), F.bool_or("s").alias("same_signature"))
 
 
+def signature_counts(train: DataFrame, bench: DataFrame) -> DataFrame:
+    """(signature, records): how many records of both sides carry a crash signature; both have (id, signature struct or null)."""
+    both = train.select("signature").unionByName(bench.select("signature")).where("signature is not null")
+    return both.groupBy("signature").agg(F.count(F.lit(1)).alias("records"))
+
+
+def with_records(pairs: DataFrame, train: DataFrame, counts: DataFrame) -> DataFrame:
+    """``related`` pairs with ``records``: how many records carry the signature that a pair shares; null where it shares none."""
+    signs = train.where("signature is not null").select(F.col("id").alias("train_id"), F.to_json("signature").alias("g")).distinct()
+    known = counts.select(F.to_json("signature").alias("g"), "records")
+    carried = signs.join(known, "g").groupBy("train_id").agg(F.max("records").alias("carried"))
+    return pairs.join(carried, "train_id", "left").withColumn("records", F.when(F.col("same_signature"), F.col("carried"))).drop("carried")
+
+
 def related_evidence(pairs: DataFrame, order: str) -> DataFrame:
     """(bench_id, evidence): a shared fix commit decides; else the pair that comes last, by how many records carry its signature.
 

@@ -97,6 +97,11 @@ def longest_runs(pairs: DataFrame, a: DataFrame, b: DataFrame, a_id: str, b_id:
     return runs.unionByName(single.unionByName(rest.join(single.select(a_id, b_id), [a_id, b_id], "left_anti").withColumn("run", F.lit(0).cast("bigint"))))
 
 
+def longest_in_group(runs: DataFrame, group: str | list[str]) -> DataFrame:
+    """(group, run): the longest run of any pair of a group, as of all training tasks of a bug."""
+    return runs.groupBy(*([group] if isinstance(group, str) else group)).agg(F.max("run").alias("run"))
+
+
 def run_stats(runs: DataFrame) -> DataFrame:
     """(pairs, longest, upper_median, median, at_least_8, at_least_13): the upper median is a run of the table, the other is
     interpolated. Pairs are first counted by length, so that only one row per length is ordered."""

@@ -36,6 +36,37 @@ def repo_detail(items: DataFrame, bench: str, repo: str) -> DataFrame:
     return a.join(b, "repo").where("a < b").select("a", "b", "repo", "a_items", "b_items")
 
 
+def repo_detail_with_pairs(items: DataFrame, bench: str, repo: str, pairs: DataFrame) -> DataFrame:
+    """``repo_detail`` with ``same_pr``: how many of the pairs (a_bench, b_bench, repo), a_bench < b_bench, lie in the repository."""
+    known = pairs.select(F.col("a_bench").alias("a"), F.col("b_bench").alias("b"), F.lower(repo).alias("repo")).groupBy("a", "b", "repo").agg(F.count(F.lit(1)).alias("same_pr"))
+    return repo_detail(items, bench, repo).join(known, ["a", "b", "repo"], "left").fillna(0, ["same_pr"])
+
+
+def control_pulls(control: DataFrame, benches: DataFrame, without: str | None = None) -> DataFrame:
+    """(control_id, bench, bench_id, same_base): items of a control set that are pull requests of a benchmark too, by lower-cased repository and number.
+
+    Both sides have (id, repo, pr, base), ``benches`` also bench; ``without`` names a benchmark that has no numbers. Nulls match nothing.
+    """
+    on = lambda rows: rows.where(F.col("pr").isNotNull() & (F.col("repo") != "")).withColumn("k", F.lower("repo"))
+    x = on(control).select("k", "pr", F.col("id").alias("control_id"), F.col("base").alias("control_base"))
+    y = on(benches if without is None else benches.where(F.col("bench") != without)).select("k", "pr", "bench", F.col("id").alias("bench_id"), "base")
+    same = F.coalesce((F.col("control_base") != "") & (F.col("control_base") == F.col("base")), F.lit(False))
+    return x.join(y, ["k", "pr"]).select("control_id", "bench", "bench_id", same.alias("same_base"))
+
+
+def base_presence(control: DataFrame, benches: DataFrame) -> DataFrame:
+    """(bench, items, with_known_base): how many items of each benchmark start from a base commit that a control set has, whatever the pull request."""
+    have = control.where(F.col("base") != "").select("base").distinct().withColumn("there", F.lit(True))
+    return benches.join(have, "base", "left").groupBy("bench").agg(F.count(F.lit(1)).alias("items"), F.count_if("there").alias("with_known_base"))
+
+
+def versus_counts(a: DataFrame, b: DataFrame, group: str, value: str, names: tuple[str, str]) -> DataFrame:
+    """(label, pairs): pairs of rows of a group by their values, as "name x vs name y". Values are counted by group first, of which there are few."""
+    side = lambda rows, to: rows.where(F.col(group).isNotNull()).groupBy(group, F.col(value).alias(to)).agg(F.count(F.lit(1)).alias(f"n_{to}"))
+    label = F.concat(F.lit(f"{names[0]} "), "x", F.lit(f" vs {names[1]} "), "y").alias("label")
+    return side(a, "x").join(side(b, "y"), group).groupBy(label).agg(F.sum(F.col("n_x") * F.col("n_y")).alias("pairs"))
+
+
 def mirrors(ids: DataFrame, instance_id: str, shared_repos: DataFrame) -> DataFrame:
     """One row: tasks, those that mirror a pull request, their repositories, and how many are of shared repositories.
 

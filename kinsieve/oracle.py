@@ -234,9 +234,12 @@ ac AS (SELECT DISTINCT sec_id, unnest(regexp_extract_all(lower(concat_ws(' ', pa
 f AS (SELECT DISTINCT sec_id AS train_id, row_id AS bench_id FROM ac JOIN bc USING (c)), u AS (SELECT *, false AS f, true AS s FROM s UNION ALL SELECT *, true, false FROM f)
 SELECT train_id, bench_id, bool_or(f) AS same_fix_commit, bool_or(s) AS same_signature FROM u GROUP BY ALL""",
 }
-SQL["related_by_evidence"] = f"""WITH p AS ({SQL['related_bugs']}), r AS (SELECT *, count(*) OVER (PARTITION BY bench_id) AS k FROM p)
+_SIGNED = """sg AS (SELECT 'a' AS side, sec_id AS id, project, a_type AS type, a_frame AS frames FROM ra WHERE a_frame <> '' UNION ALL SELECT 'b', row_id, project, b_type, b_frame FROM rb WHERE b_frame <> ''),
+carried AS (SELECT project, type, frames, count(*) AS records FROM sg GROUP BY ALL)"""
+SQL["signature_frequencies"] = f"WITH {_BY_PROJECT}, {_SIGNED} SELECT * FROM carried"
+SQL["related_by_evidence"] = f"""WITH {_BY_PROJECT}, {_SIGNED}, p AS ({SQL['related_bugs']}),
+r AS (SELECT p.*, CASE WHEN same_signature THEN records END AS k FROM p LEFT JOIN sg ON sg.side = 'a' AND sg.id = train_id LEFT JOIN carried c ON c.project IS NOT DISTINCT FROM sg.project AND c.type = sg.type AND c.frames = sg.frames)
 SELECT bench_id, arg_max(CASE WHEN same_fix_commit THEN 'same fix commit' WHEN k = 2 THEN 'signature carried by 2 records' ELSE 'signature carried by 3 or more records' END, (same_fix_commit, train_id)) AS evidence FROM r GROUP BY 1"""
-_LN = "(SELECT list(ln(i) ORDER BY i) FROM range(1, 1 + (SELECT sum(pool_n) FROM s)) t(i))"
 SQL["hypergeom_uniform"] = f"""WITH s AS ({_STRATA}), t AS (SELECT sum(pool_n)::BIGINT AS n, sum(bench_k)::BIGINT AS k, sum(sample_n)::BIGINT AS m, sum(shared)::BIGINT AS o FROM s),
 l AS (SELECT *, m * k / n AS mean, sqrt(m * (k / n) * (1 - k / n) * (n - m) / (n - 1)) AS sd FROM t),
 terms AS (SELECT sum(exp(lgamma(k + 1) - lgamma(x + 1) - lgamma(k - x + 1) + lgamma(n - k + 1) - lgamma(m - x + 1) - lgamma(n - k - m + x + 1) - lgamma(n + 1) + lgamma(m + 1) + lgamma(n - m + 1))) AS p
@@ -245,3 +248,28 @@ SELECT o AS observed, round(mean, 4) AS expected, round(sd, 4) AS sd, round((o -
 SQL["description_names_function"] = rf"""WITH {_TRAIN}, b AS (SELECT bug, list_filter(string_split(regexp_extract(regexp_replace(regexp_replace(regexp_replace(function, '<[^<>]*>', '', 'g'), '\([^()]*\)', '', 'g'), ' const', '', 'g'), '(\S*)$', 1), '::'), lambda p: p <> '' AND NOT contains(p, 'lambda') AND NOT regexp_matches(p, '^(operator|''|\{{)'))[-1] AS name FROM train WHERE bug IS NOT NULL),
 n AS (SELECT bug, list_filter(list(DISTINCT name), lambda x: x IS NOT NULL) AS names FROM b GROUP BY 1)
 SELECT pos, CASE WHEN len(names) > 0 THEN len(list_filter(names, lambda x: regexp_matches(coalesce(description, ''), '(^|[^\p{{L}}\p{{N}}_])' || regexp_escape(x) || '($|[^\p{{L}}\p{{N}}_])'))) > 0 END AS named FROM bench JOIN n USING (bug)"""
+SQL["multi_key_join_benchmarks"] = f"""WITH {_SWE}, named AS (SELECT DISTINCT benchmark_instance_id AS id, benchmark_repo AS repo, pr FROM overlap_v2_prs WHERE benchmark_instance_id IS NOT NULL),
+found AS (SELECT a.id AS a_id, b.pos AS b_id, 'exact_repo' AS j FROM named a JOIN swe b ON a.repo = b.repo AND a.pr = b.pr UNION SELECT a.id, b.pos, 'case_insensitive_repo' FROM named a JOIN swe b ON lower(a.repo) = lower(b.repo) AND a.pr = b.pr)
+SELECT a_id, b_id, string_agg(j, ';' ORDER BY j) AS joins FROM found GROUP BY ALL"""
+SQL["multi_key_counts_by_repo"] = f"""WITH {_SWE}, j AS (SELECT a_id, b_id, unnest(string_split(joins, ';')) AS join_name FROM ({SQL['multi_key_join_benchmarks']}))
+SELECT join_name, lower(repo) AS repo, count(*) AS pairs, count(DISTINCT a_id) AS items FROM j JOIN swe ON pos = b_id GROUP BY ALL"""
+SQL["shared_repo_pulls"] = f"""WITH {_SOURCES}, c AS (SELECT bench AS s, lower(repo) AS repo, count(*) AS k FROM items WHERE repo IS NOT NULL GROUP BY ALL),
+n AS (SELECT a_bench AS a, b_bench AS b, repo, count(*) AS k FROM (SELECT DISTINCT a_bench, a_id, b_bench, b_id, lower(repo) AS repo FROM sp JOIN items ON bench = a_bench AND id = a_id WHERE repo IS NOT NULL AND list_contains(joins, 'case_insensitive_repo_pr')) GROUP BY ALL)
+SELECT x.s AS a, y.s AS b, x.repo, x.k AS a_items, y.k AS b_items, coalesce(n.k, 0) AS same_pr FROM c x JOIN c y ON x.repo = y.repo AND x.s < y.s LEFT JOIN n ON n.a = x.s AND n.b = y.s AND n.repo = x.repo"""
+SQL["control_pulls"] = f"""WITH {_SWE}, named AS (SELECT DISTINCT benchmark, benchmark_instance_id AS id, benchmark_repo AS repo, pr FROM overlap_v2_prs WHERE benchmark_instance_id IS NOT NULL AND benchmark <> 'Multi-SWE-bench')
+SELECT h.pos AS control_id, benchmark AS bench, n.id AS bench_id, false AS same_base FROM swe h JOIN named n ON lower(h.repo) = lower(n.repo) AND h.pr = n.pr AND h.repo <> ''"""
+SQL["base_presence"] = f"WITH {_SWE} SELECT lower(coalesce(language, '')) AS bench, count(*) AS items, count_if(lower(coalesce(base_commit, '')) IN (SELECT base FROM held WHERE base <> '')) AS with_known_base FROM swe_rebench_v2 GROUP BY 1"
+SQL["sanitizer_pairs"] = f"""WITH {_parsed('sp', 'sec_bench', 'sec_id', 'sanitizer_report')}, {_parsed('cp', 'cybergym', 'row_id', 'error_txt')},
+a AS (SELECT lower(split_part(instance_id, '.', 1)) AS project, sanitizer AS s FROM sec_bench JOIN sp USING (sec_id)), b AS (SELECT lower(trim(project_name, ' ')) AS project, sanitizer AS s FROM cybergym JOIN cp USING (row_id))
+SELECT 'sec_bench ' || a.s || ' vs cybergym ' || b.s AS label, count(*) AS pairs FROM a JOIN b USING (project) GROUP BY 1"""
+SQL["instance_id_lists"] = f"""WITH {_TRAIN}, i AS (SELECT sec_id, CASE WHEN split = 'oss' THEN TRY_CAST(nullif(regexp_extract(instance_id, '(\\d+)$', 1), '') AS BIGINT) END AS num FROM sec_bench),
+known AS (SELECT num FROM train UNION SELECT num FROM bench), t AS (SELECT sec_id, num, CASE WHEN num < 1000000 AND num IN (SELECT num FROM known) THEN num + 424000000 ELSE num END AS bug FROM i)
+SELECT sec_id, coalesce((SELECT string_agg(DISTINCT id, ';' ORDER BY id) FROM bench WHERE bench.num = t.num), '') AS plain_ids, coalesce((SELECT string_agg(DISTINCT id, ';' ORDER BY id) FROM bench WHERE bench.bug = t.bug), '') AS translated_ids FROM t"""
+SQL["same_fix_in_project"] = f"""WITH {_blobs('fa', 'sec_bench', 'sec_id')}, {_blobs('fb', 'swe_rebench_v2', 'row_id')}, x AS (SELECT fa.*, lower(split_part(instance_id, '.', 1)) AS project FROM fa JOIN sec_bench USING (sec_id)),
+y AS (SELECT fb.*, lower(split_part(repo, '/', -1)) AS project FROM fb JOIN swe_rebench_v2 USING (row_id)) SELECT sec_id, row_id FROM (SELECT sec_id, row_id, {_EQ} AS e FROM x JOIN y USING (project, path)) GROUP BY ALL HAVING bool_and(e)"""
+SQL["longest_run_by_bug"] = f"""WITH {_TRAIN}, cand AS (SELECT train.pos AS t, bench.pos AS b FROM train JOIN bench USING (bug)),
+tw AS (SELECT pos, {_W.format('text')} AS w FROM train), bw AS (SELECT pos, {_W.format('description')} AS w FROM bench),
+tp AS (SELECT pos AS t, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM tw), bp AS (SELECT pos AS b, unnest(range(1, len(w) + 1)) AS j, unnest(w) AS word FROM bw),
+met AS (SELECT t, b, i - j AS g, i - row_number() OVER (PARTITION BY t, b, i - j ORDER BY i) AS island FROM cand JOIN tp USING (t) JOIN bp USING (b, word)),
+runs AS (SELECT t, b, max(n) AS run FROM (SELECT t, b, g, island, count(*) AS n FROM met GROUP BY ALL) GROUP BY ALL)
+SELECT b AS bench_pos, max(coalesce(run, 0)) AS run FROM cand LEFT JOIN runs USING (t, b) GROUP BY 1"""

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kinsieve.functions.crash import grade_rank, names_entry_point, spec_grade, with_report
 from kinsieve.operators import keys, overlap, patches, presence, splits, stats
+from kinsieve.plans.lineage import cut, written
 
 
 def sections(wanted: dict[str, bool], builders: dict[str, Callable[[], DataFrame]]) -> dict[str, DataFrame | None]:
@@ -20,12 +21,12 @@ def bug_audit(train: DataFrame, bench: DataFrame, mapping: DataFrame, texts: boo
 
     ``train`` and ``bench`` come from the readers; ``mapping`` (old_id, new_id) translates numbers.
     """
-    train = keys.translate(train, "num", mapping).cache()
-    bench = keys.translate(bench, "num", mapping).cache()
-    shared = keys.bug_overlap(train, bench).cache()
+    train = written(keys.translate(train, "num", mapping))
+    bench = written(keys.translate(bench, "num", mapping))
+    shared = cut(keys.bug_overlap(train, bench))
 
     def crash():
-        reports = bench.groupBy("bug").agg(F.min_by("report", "pos").alias("report"))
+        reports = bench.where("bug is not null").groupBy("bug").agg(F.min_by("report", "pos").alias("report"))
         parsed = with_report(reports, "report").select("bug", F.col("stack").alias("frames"), F.col("crash_type").alias("report_type"))
         graded = train.join(parsed, "bug").withColumn("grade", spec_grade(F.col("function"), F.col("type"), F.col("file"), F.col("frames"), F.col("report_type")))
         return graded.groupBy("bug").agg(F.min_by("grade", grade_rank(F.col("grade"))).alias("grade")).groupBy("grade").count()
@@ -52,7 +53,7 @@ def _pool(train: DataFrame, bench: DataFrame) -> DataFrame:
 
 def repository_audit(train: DataFrame, bench: DataFrame, require_base: bool = True) -> dict[str, DataFrame | None]:
     """Training items against benchmark items of pull requests, both from ``swe_items``: pairs, fixes, text filter, presence."""
-    pairs = keys.multi_key_join(bench, train, keys.swe_keys(require_base)).cache()
+    pairs = cut(keys.multi_key_join(bench, train, keys.swe_keys(require_base)))
     blobs = lambda rows: patches.patch_blobs(keys.first_by(rows, "id", "pos"), "id", "patch")
     return {
         "pairs": pairs,

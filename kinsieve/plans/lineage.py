@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -9,6 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Names of the tables that ``written`` makes begin so.
+PREFIX = "kinsieve-"
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder of the session (``spark.checkpoint.dir``).
 
@@ -17,9 +24,12 @@ def shared_folder(spark: SparkSession) -> str:
     set_dir = spark.sparkContext.getCheckpointDir()
     if set_dir is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None and not spark.sparkContext.master.startswith("local"):
+        if named is None and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="kinsieve-"))
+        if named is None:
+            named = tempfile.mkdtemp(prefix="kinsieve-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(named)
         set_dir = spark.sparkContext.getCheckpointDir()
     return set_dir
 
@@ -31,13 +41,29 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """Like ``cut``, but as a compressed Parquet table in the shared folder."""
+    """Like ``cut``, but as a compressed Parquet table in the shared folder. ``cleared`` removes all such tables of a session.
+
+    A result may still be computed from them lazily, so that no operator can remove its own.
+    """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/kinsieve-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/{PREFIX}{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cleared(spark: SparkSession) -> int:
+    """Removes the tables that ``written`` made in the session's shared folder, when their results are no longer needed; how many there were.
+
+    Checkpoints are Spark's own, which removes them with ``spark.cleaner.referenceTracking.cleanCheckpoints``.
+    """
+    folder = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    tables = [f.getPath() for f in files.listStatus(folder) if f.getPath().getName().startswith(PREFIX)] if files.exists(folder) else []
+    for path in tables:
+        files.delete(path, True)
+    return len(tables)
+
+
 def lookup(left: DataFrame, mapping: DataFrame, key: str, hot_above: int, hottest: int | None = None) -> DataFrame:
     """Inner join of ``left`` with ``mapping`` on ``key`` that tolerates hot keys.
 

@@ -57,6 +57,11 @@ class Tables:
         side = lambda rows: rows.withColumn("id", F.col("pos"))
         return keys.multi_key_join(side(self.swe_bench()), side(self.swe()), keys.swe_keys()).where("a_id <> b_id")
 
+    def named_items(self) -> DataFrame:
+        """(bench, id, repo, pr, base) of the benchmark items that the pair table names."""
+        named = self("overlap_v2_prs").where("benchmark_instance_id is not null")
+        return named.select(F.col("benchmark").alias("bench"), F.col("benchmark_instance_id").alias("id"), F.col("benchmark_repo").alias("repo"), "pr", F.lit("").alias("base")).distinct()
+
     def fixes(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         """(pairs, blobs of sec_bench, blobs of swe_rebench_v2): rows of the security benchmark and of the training set that change the
         same file of a project, and (key, path, pre, post) of either side, for which each table is read and parsed once."""
@@ -310,6 +315,24 @@ def multi_key_join(spark, folder):
     return Tables(spark, folder).swe_pairs().select("a_id", "b_id", F.array_join("joins", ";").alias("joins"))
 
 
+@query
+def multi_key_join_benchmarks(spark, folder):
+    """All benchmark items that the pair table names against all training rows."""
+    t = Tables(spark, folder)
+    named = t.named_items()
+    keys_ = {k: v for k, v in keys.swe_keys().items() if k != "base_commit_and_pr"}  # the pair table has no base commits
+    return keys.multi_key_join(named, t.swe(), keys_, "id", "pos").select("a_id", "b_id", F.array_join("joins", ";").alias("joins"))
+
+
+@query
+def multi_key_counts_by_repo(spark, folder):
+    """Pairs of those by join and repository, and how many repositories and items a join has."""
+    t = Tables(spark, folder)
+    keys_ = {k: v for k, v in keys.swe_keys().items() if k != "base_commit_and_pr"}
+    found = keys.multi_key_join(t.named_items(), t.swe(), keys_, "id", "pos").select(F.col("b_id").alias("pos"), "a_id", F.explode("joins").alias("join_name"))
+    return found.join(t.swe().select("pos", F.lower("repo").alias("repo")), "pos").groupBy("join_name", "repo").agg(F.count(F.lit(1)).alias("pairs"), F.count_distinct("a_id").alias("items"))
+
+
 @query
 def multi_key_counts(spark, folder):
     found = Tables(spark, folder).swe_pairs().select("a_id", F.explode("joins").alias("join_name"))
@@ -336,8 +359,7 @@ def pair_kinds(spark, folder):
 def _items(spark, folder) -> DataFrame:
     """The benchmarks that the pair table names and the training set as one table of sources."""
     t = Tables(spark, folder)
-    bench = t("overlap_v2_prs").where("benchmark_instance_id is not null").select(F.col("benchmark").alias("bench"), F.col("benchmark_instance_id").alias("id"), F.col("benchmark_repo").alias("repo"), "pr", F.lit("").alias("base"))
-    return bench.unionByName(t.swe().select("bench", "id", F.nullif("repo", F.lit("")).alias("repo"), "pr", "base")).distinct()
+    return t.named_items().unionByName(t.swe().select("bench", "id", F.nullif("repo", F.lit("")).alias("repo"), "pr", "base")).distinct()
 
 
 def _source_pairs(spark, folder) -> DataFrame:
@@ -372,6 +394,61 @@ def shared_repo_detail(spark, folder):
     return presence.repo_detail(items, "bench", "repo")
 
 
+@query
+def shared_repo_pulls(spark, folder):
+    """The same with the pairs of the same pull request in each repository."""
+    items = _items(spark, folder)
+    repos = items.select(F.col("bench").alias("a_bench"), F.col("id").alias("a_id"), F.col("repo")).where("repo is not null").distinct()
+    pairs = _source_pairs(spark, folder).where(F.array_contains("joins", "case_insensitive_repo_pr")).join(repos, ["a_bench", "a_id"])
+    named = pairs.select("a_bench", "a_id", "b_bench", "b_id", F.lower("repo").alias("repo")).distinct()
+    return presence.repo_detail_with_pairs(items.select("bench", "id", "repo"), "bench", "repo", named)
+
+
+@query
+def control_pulls(spark, folder):
+    """A control set's pull requests in the benchmarks: the training table against all named items but one benchmark's."""
+    t = Tables(spark, folder)
+    control = t.swe().select(F.col("pos").alias("id"), "repo", "pr", "base")
+    return presence.control_pulls(control, t.named_items(), without="Multi-SWE-bench")
+
+
+@query
+def base_presence(spark, folder):
+    """Rows of each language that start from a base commit which the held-out rows have."""
+    t = Tables(spark, folder)
+    rows = t.swe().select(F.lower("language").alias("bench"), "base")
+    return presence.base_presence(t.swe_bench(), rows)
+
+
+@query
+def sanitizer_pairs(spark, folder):
+    """Reports of one project in two benchmarks, by the sanitizers that they name."""
+    t = Tables(spark, folder)
+    sec = t("sec_bench").select(F.lower(ids.project_of(F.col("instance_id"))).alias("project"), crash.sanitizer(F.coalesce("sanitizer_report", F.lit(""))).alias("s"))
+    cyber = t("cybergym").select(F.lower(F.trim("project_name")).alias("project"), crash.sanitizer(F.coalesce("error_txt", F.lit(""))).alias("s"))
+    return presence.versus_counts(sec, cyber, "project", "s", ("sec_bench", "cybergym"))
+
+
+@query
+def instance_id_lists(spark, folder):
+    """For each instance of the security benchmark the benchmark tasks of its own number and of its bug."""
+    t = Tables(spark, folder)
+    sec = readers.security_items(t("sec_bench")).select("sec_id", "tracker_id")
+    found = keys.id_lists(sec, "sec_id", "tracker_id", t.bench(), t.mapping())
+    return found.select("sec_id", F.array_join("plain_ids", ";").alias("plain_ids"), F.array_join("translated_ids", ";").alias("translated_ids"))
+
+
+@query
+def longest_run_by_bug(spark, folder):
+    """The longest run that a benchmark task's description shares with any training task of the same bug."""
+    t = Tables(spark, folder)
+    train = t.train().where("bug is not null").select(F.col("pos").alias("train_pos"), "bug", "text")
+    bench = t.bench().where("bug is not null").select(F.col("pos").alias("bench_pos"), "bug", "description")
+    pairs = train.select("train_pos", "bug").join(bench.select("bench_pos", "bug"), "bug")
+    runs = overlap.longest_runs(pairs, train, bench, "train_pos", "bench_pos", "text", "description")
+    return overlap.longest_in_group(runs, "bench_pos")
+
+
 def _aliases(spark, folder) -> DataFrame:
     sure = Tables(spark, folder)("overlap_v2_prs").where("joins like '%base_commit_and_pr%'")
     return keys.renames(sure, "training_repo", "benchmark_repo", "pair_id")
@@ -435,6 +512,19 @@ def same_fix(spark, folder):
     return patches.same_fix_pairs(a, b, "sec_id", "row_id").select(F.col("a_id").alias("sec_id"), F.col("b_id").alias("row_id"))
 
 
+@query
+def same_fix_in_project(spark, folder):
+    """The same among patches of one project."""
+    t = Tables(spark, folder)
+
+    def scoped(table, key, project):
+        rows = t(table).select(F.struct(F.col(key), F.lower(project).alias("project")).alias("k"), "patch")
+        return cut(patches.patch_blobs(rows, "k", "patch").select("k.*", "path", "pre", "post"))
+
+    a, b = scoped("sec_bench", "sec_id", ids.project_of(F.col("instance_id"))), scoped("swe_rebench_v2", "row_id", ids.short_repo(F.col("repo")))
+    return patches.same_fix_pairs(a, b, "sec_id", "row_id", scope="project").select(F.col("a_id").alias("sec_id"), F.col("b_id").alias("row_id"))
+
+
 @query
 def fix_relations(spark, folder):
     t = Tables(spark, folder)
@@ -531,8 +621,8 @@ def description_names_function(spark, folder):
     return found
 
 
-@query
-def related_bugs(spark, folder):
+def _related_sides(spark, folder) -> tuple[DataFrame, DataFrame]:
+    """(id, commits, signature) of the reports of both benchmarks."""
     t = Tables(spark, folder)
     x, y = _reports_by_project(spark, folder)
 
@@ -543,14 +633,25 @@ def related_bugs(spark, folder):
     cyber = t("cybergym").select("row_id", crash.fix_commits(F.col("vulnerability_description")).alias("commits"))
     a = x.join(sec, "sec_id").select(F.col("sec_id").alias("id"), "commits", sign("a_type", "a_frame"))
     b = y.join(cyber, "row_id").select(F.col("row_id").alias("id"), "commits", sign("b_type", "b_frame"))
-    return keys.related(a, b)
+    return a, b
+
+
+@query
+def related_bugs(spark, folder):
+    return keys.related(*_related_sides(spark, folder))
+
+
+@query
+def signature_frequencies(spark, folder):
+    """How many records of either benchmark carry each crash signature."""
+    found = keys.signature_counts(*_related_sides(spark, folder))
+    return found.select("signature.project", "signature.type", F.array_join("signature.frames", ";").alias("frames"), "records")
 
 
 @query
 def related_by_evidence(spark, folder):
-    pairs = related_bugs(spark, folder)
-    carried = pairs.groupBy("bench_id").agg(F.count(F.lit(1)).alias("records"))
-    return keys.related_evidence(pairs.join(carried, "bench_id"), "train_id")
+    a, b = (cut(x) for x in _related_sides(spark, folder))
+    return keys.related_evidence(keys.with_records(keys.related(a, b), a, keys.signature_counts(a, b)), "train_id")
 
 
 @query
@@ -586,10 +687,14 @@ def data_contexts(spark, folder):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_ALL)
+    from kinsieve import filequeries, rulequeries
+
+    return {**_ALL, **rulequeries.queries(), **filequeries.queries()}
 
 
 def oracle_sql() -> dict[str, str]:
+    from kinsieve import filequeries, rulequeries
     from kinsieve.oracle import SQL
 
-    return dict(SQL)
+    tests = {"hypergeom_stratified": rulequeries.stratified_sql(SQL["project_strata"]), "inclusion_test": rulequeries.stratified_sql(SQL["inclusion_strata_in_range"])}
+    return {**SQL, **tests, **rulequeries.oracle_sql(), **filequeries.oracle_sql()}

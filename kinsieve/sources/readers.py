@@ -26,6 +26,24 @@ def parquet_columns(spark: SparkSession, paths: Sequence[str], columns: Sequence
     return spark.read.parquet(*sorted(paths)).select(*columns)
 
 
+def located_columns(spark: SparkSession, paths: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Key columns of several Parquet files with ``__file``, where each row lies: for a first pass that leaves wide texts unread."""
+    return spark.read.parquet(*sorted(paths)).select(*columns, F.col("_metadata.file_path").alias("__file"))
+
+
+def late(found: DataFrame, rows: DataFrame, key: str, wide: Sequence[str]) -> DataFrame:
+    """(key, wide...) of the rows whose key is in ``found``: the second pass, which makes wide texts of matched rows alone.
+
+    The keys are shuffled or broadcast as their size says; a repeated key in ``found`` gives its rows once, a null one none.
+    """
+    return rows.select(key, *wide).join(found.select(key).distinct(), key, "left_semi")
+
+
+def with_optional(wanted: DataFrame, read: DataFrame, key: str) -> DataFrame:
+    """``wanted`` keys with what was read of them, and ``there``; a key without a file has nulls."""
+    return wanted.join(read.withColumn("there", F.lit(True)), key, "left").withColumn("there", F.coalesce("there", F.lit(False)))
+
+
 def cyber_tasks(rows: DataFrame, order: str = "row_id") -> DataFrame:
     """(id, num, spec, type, function, file, text, pos) of training tasks: nested columns, and JSON in a string.
 
@@ -128,8 +146,12 @@ def text_files(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def bug_records(spark: SparkSession, folder: str) -> DataFrame:
     """(id, commits, signature) of per-bug JSON files ``folder/<id>.json``; fix entries of any form are read as raw text."""
-    rows = spark.read.text(folder, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.json$", 1).alias("id"), F.col("value").alias("v"))
-    get = lambda p: F.get_json_object("v", p)
+    return parsed_records(spark.read.text(folder, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.json$", 1).alias("id"), "value"))
+
+
+def parsed_records(rows: DataFrame) -> DataFrame:
+    """(id, commits, signature) of per-bug JSON texts (id, value)."""
+    get = lambda p: F.get_json_object("value", p)
     return rows.select("id", crash.fix_commits(F.coalesce(F.nullif(get("$.fix_commit"), F.lit("")), get("$.fix"))).alias("commits"), crash.crash_signature(get("$.project"), get("$.crash_type"), get("$.report.comments[0].content")).alias("signature"))
 
 

@@ -40,9 +40,9 @@ def id_list(df: DataFrame, key: str, path: str, order: str | None = None) -> Non
     rows.select(F.col(key).cast("string").alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
-def summary_json(parts: dict[str, object], path: str, most: int = 10_000) -> dict:
+def summary_json(parts: dict[str, object], path: str | None = None, most: int = 10_000) -> dict:
     """A nested summary: DataFrames become lists of their rows (one row: an object), and must be aggregates of at most ``most`` rows
-    (an error beyond: nothing is left out)."""
+    (an error beyond: nothing is left out). Written to ``path`` if one is given."""
     def plain(v):
         if isinstance(v, DataFrame):
             rows = [r.asDict(recursive=True) for r in v.limit(most + 1).collect()]
@@ -52,7 +52,8 @@ def summary_json(parts: dict[str, object], path: str, most: int = 10_000) -> dic
         return {k: plain(x) for k, x in v.items()} if isinstance(v, dict) else v
 
     out = plain(parts)
-    Path(path).write_text(json.dumps(out, indent=2, default=str) + "\n", encoding="utf-8")
+    if path is not None:
+        Path(path).write_text(json.dumps(out, indent=2, default=str) + "\n", encoding="utf-8")
     return out
 
 
