@@ -15,12 +15,13 @@ from pyspark.sql import functions as F
 
 from kinsieve.plans.lineage import cut, lookup
 
-#: Keys with more than a two-hundredth of the rows (and this many) are hot: at most 200 of them can exist.
+#: Keys with more rows than this are hot if they have more than a quarter of a partition's fair share; with few partitions, if they have
+#: more than this part of all rows. So a hot key never fills a task, and there are at most four of them for each partition.
 HOT_ROWS, HOT_SHARE = 20_000, 200
 
 
-def _hot_above(rows: int) -> int:
-    return max(HOT_ROWS, rows // HOT_SHARE)
+def _hot_above(rows: int, partitions: int = 1) -> int:
+    return max(HOT_ROWS, rows // max(HOT_SHARE, 4 * partitions))
 
 
 def row_ids(*columns: Column | str, separator: str = ";") -> Column:
@@ -52,6 +53,7 @@ def contract(edges: DataFrame, seed: int = 0, max_rounds: int = 200) -> DataFram
     hashable type. Hub vertices are pre-aggregated map-side and their relabelling is a bounded broadcast (``lookup``).
     """
     live = cut(_undirected(edges.select("a", "b")))
+    partitions = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     maps: list[tuple[DataFrame, int]] = []
     count = live.count()
     while count:
@@ -63,7 +65,7 @@ def contract(edges: DataFrame, seed: int = 0, max_rounds: int = 200) -> DataFram
         hooks = cut(hooks.select(F.col("a").alias("vertex"), F.least(F.col("m"), order(F.col("a")))["v"].alias("to"), "weight"))
         vertices, hottest = hooks.agg(F.count(F.lit(1)), F.max("weight")).head()
         maps.append((hooks, vertices))
-        above = _hot_above(count)
+        above = _hot_above(count, partitions)
         step = lookup(live.withColumnRenamed("a", "vertex"), hooks, "vertex", above, hottest).select(F.col("to").alias("a"), F.col("b").alias("vertex"))
         step = lookup(step, hooks, "vertex", above, hottest).select("a", F.col("to").alias("b"))
         live = cut(_undirected(step))
@@ -76,7 +78,7 @@ def contract(edges: DataFrame, seed: int = 0, max_rounds: int = 200) -> DataFram
         weights = earlier.groupBy("to").agg(F.count(F.lit(1)).alias("weight"))
         known = roots.select(F.col("vertex").alias("to"), "root")
         sized = cut(weights.join(known, "to", "left").select("to", F.coalesce("root", "to").alias("root"), "weight"))
-        roots = lookup(earlier.select("vertex", "to"), sized, "to", _hot_above(vertices)).select("vertex", "root")
+        roots = lookup(earlier.select("vertex", "to"), sized, "to", _hot_above(vertices, partitions)).select("vertex", "root")
     return roots
 
 
@@ -87,7 +89,8 @@ def groups(records: DataFrame, edges: DataFrame, seed: int = 0) -> DataFrame:
     """
     roots = cut(contract(edges, seed))
     smallest = roots.groupBy("root").agg(F.min("vertex").alias("group_id"), F.count(F.lit(1)).alias("weight"))
-    linked = lookup(roots, smallest, "root", _hot_above(roots.count())).select(F.col("vertex").alias("record_id"), "group_id")
+    partitions = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    linked = lookup(roots, smallest, "root", _hot_above(roots.count(), partitions)).select(F.col("vertex").alias("record_id"), "group_id")
     alone = records.where(F.col("record_id").isNotNull()).select("record_id").distinct().join(linked.select("record_id"), "record_id", "left_anti")
     return linked.unionByName(alone.select("record_id", F.col("record_id").alias("group_id")))
 

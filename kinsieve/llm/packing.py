@@ -20,6 +20,8 @@ from kinsieve.plans.lineage import cut, written
 
 BLOCK_ITEMS, ISLANDS, EPOCHS, GENERATIONS, POPULATION, LEVELS = 4096, 3, 2, 16, 6, 3
 WELL_FILLED = 0.999
+#: States of blocks, of about 64 KB each, in a task.
+LANE_STATES = 64
 
 
 def best_fit(sizes: np.ndarray, order: np.ndarray, bins: np.ndarray, capacity: int) -> np.ndarray:
@@ -111,7 +113,8 @@ def _level(rest: DataFrame, count: int, level: int, capacity: int, block_items:
     block = F.pmod(F.xxhash64("item", F.lit(level)), F.lit(blocks))
     grouped = rest.groupBy(block.alias("block")).agg(F.sort_array(F.collect_list(F.struct("tokens", "item")), asc=False).alias("x"))  # a block is bounded
     state = grouped.select("block", F.explode(F.array(*[F.lit(i) for i in range(islands)])).alias("island"), F.col("x.item").alias("items"), F.col("x.tokens").alias("sizes"), F.lit(None).cast("array<int>").alias("bins"), F.lit(None).cast("array<int>").alias("guest"))
-    lanes = max(rest.sparkSession.sparkContext.defaultParallelism, min(blocks * islands, 4096))
+    states = blocks * islands
+    lanes = max(rest.sparkSession.sparkContext.defaultParallelism, min(states, 4096), -(-states // LANE_STATES))
     for epoch in range(epochs):
         state = state.repartition(lanes, "block", "island")
         state = cut(state.mapInPandas(_epoch(capacity, epoch, generations), _STATE))

@@ -16,6 +16,18 @@ def test_best_fit_and_crossover_keep_items_and_capacity():
     assert (packing.evolve(sizes, 100, 1, [], generations=5) == packing.evolve(sizes, 100, 1, [], generations=5)).all()
 
 
+def test_evolution_beats_best_fit_where_that_fails():
+    """Triples that fill a container exactly, of which best fit makes pairs: the evolved packings need clearly fewer containers."""
+    for seed in range(3):
+        rng = np.random.default_rng(seed)
+        a = rng.integers(380, 491, 40)
+        b = rng.integers(250, (1000 - a) // 2 + 1)
+        sizes = rng.permutation(np.concatenate([a, b, 1000 - a - b]))
+        fit = packing.best_fit(sizes, np.argsort(-sizes, kind="stable"), np.full(120, -1), 1000)
+        evolved = packing.evolve(sizes, 1000, seed, [], generations=300, population=12)
+        assert np.bincount(evolved, weights=sizes).max() <= 1000 and 40 <= evolved.max() + 1 <= fit.max() + 1 - 4
+
+
 def test_pack_places_everything(spark):
     rows = [(i, int(x)) for i, x in enumerate(np.random.default_rng(2).integers(1, 400, 700))] + [(9000, 2500), (9001, 2000), (9001, 2000), (None, 30), (9002, 0), (9003, None)]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, tokens long, bin string")
