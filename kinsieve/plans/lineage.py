@@ -8,7 +8,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -40,6 +40,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def measured(df: DataFrame, **sums: Column) -> tuple[DataFrame, dict]:
+    """``cut`` and some aggregates of the rows, from the same job. A stage that runs again may count twice: for sizes, not for results."""
+    seen = Observation()
+    got = cut(df.observe(seen, *[c.alias(n) for n, c in sums.items()]))
+    return got, seen.get
+
+
 def written(df: DataFrame) -> DataFrame:
     """Like ``cut``, but as a compressed Parquet table in the shared folder. ``cleared`` removes all such tables of a session.
 
