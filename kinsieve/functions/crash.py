@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinsieve.functions.text import lines, stripped
+from kinsieve.functions.text import let, lines, stripped
 
 # Entry points of fuzzers, prefixes of the sanitizers' runtime, and where system code lies.
 ENTRY_POINTS = ("LLVMFuzzerInitialize", "LLVMFuzzerTestOneInput")
@@ -26,11 +26,6 @@ def names_entry_point(function: Column) -> Column:
     return function.isin(*ENTRY_POINTS)
 
 
-def _let(value: Column, use) -> Column:
-    """``use(value)``, with the value worked out once however often it is used."""
-    return F.transform(F.array(value), use)[0]
-
-
 def _without_brackets(text: Column, opening: str, closing: str) -> Column:
     """Drops bracketed parts by depth: a closing sign at depth 0 stays, an opening one never closed drops the rest."""
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("depth"))
@@ -53,7 +48,7 @@ def bare_function_name(name: Column) -> Column:
         parts = F.filter(F.split(token, "::"), lambda p: (p != "") & ~p.contains("lambda") & ~p.rlike("^(operator|'|\\{)"))
         return F.coalesce(F.try_element_at(parts, F.lit(-1)), F.lit(""))
 
-    return _let(F.coalesce(name, F.lit("")), lambda n: _let(_without_brackets(n, "<", ">"), lambda m: _let(_without_brackets(m, "(", ")"), last_part)))
+    return let(F.coalesce(name, F.lit("")), lambda n: let(_without_brackets(n, "<", ">"), lambda m: let(_without_brackets(m, "(", ")"), last_part)))
 
 
 def crash_type(report: Column) -> Column:

@@ -23,11 +23,17 @@ def ngrams(tokens: Column, n: int) -> Column:
     return F.when(F.size(tokens) >= n, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)``, with the value worked out once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def lines(text: Column) -> Column:
     """Lines without their breaks; no last empty line."""
-    parts = F.split(F.coalesce(text, F.lit("")), LINE_BREAK)
-    last_empty = F.element_at(parts, -1) == ""
-    return F.when(last_empty, F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    def whole(parts):
+        return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+
+    return let(F.split(F.coalesce(text, F.lit("")), LINE_BREAK), whole)
 
 
 def stripped(text: Column) -> Column:

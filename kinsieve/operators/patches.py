@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinsieve.functions.text import lines, stripped
+from kinsieve.functions.text import let, lines, stripped
 
 _HEADER = r"^diff --git a/\S+ b/(\S+)"
 _INDEX = r"^index ([0-9a-f]+)\.\.([0-9a-f]+)"
@@ -20,10 +20,10 @@ def blob_list(patch: Column) -> Column:
 
     A later header without an index line gives nothing; a header whose path has blanks is passed over.
     """
-    kept = F.filter(lines(patch), lambda x: x.rlike(_HEADER) | x.rlike(_INDEX))
+    kept = F.filter(lines(patch), lambda x: (x.startswith("diff --git ") & x.rlike(_HEADER)) | (x.startswith("index ") & x.rlike(_INDEX)))
     # each kept line next to the one before it: an index line right behind a header is the first one of that file
-    following = F.arrays_zip(kept.alias("h"), F.slice(kept, F.lit(2), F.size(kept)).alias("i"))
-    firsts = F.filter(following, lambda z: z["h"].rlike(_HEADER) & z["i"].rlike(_INDEX))
+    following = let(kept, lambda k: F.arrays_zip(k.alias("h"), F.slice(k, F.lit(2), F.size(k)).alias("i")))
+    firsts = F.filter(following, lambda z: z["h"].startswith("diff") & z["i"].startswith("index"))
     return F.transform(firsts, lambda z: F.struct(F.regexp_extract(z["h"], _HEADER, 1).alias("path"), F.regexp_extract(z["i"], _INDEX, 1).alias("pre"), F.regexp_extract(z["i"], _INDEX, 2).alias("post")))
 
 
@@ -47,7 +47,8 @@ def changed_line_rows(patches: DataFrame, key: str, patch: str) -> DataFrame:
     """
     rows = lines(F.col(patch))
     header = lambda x: x.startswith("diff --git ")
-    kept = F.filter(rows, lambda x: header(x) | (x.rlike("^[-+]") & ~x.rlike(r"^(---|\+\+\+)")))
+    signed = lambda x: (x.startswith("-") & ~x.startswith("---")) | (x.startswith("+") & ~x.startswith("+++"))
+    kept = F.filter(rows, lambda x: header(x) | signed(x))
     # divided at the headers, so that a section's lines share its path; lines hold no breaks of their own
     sections = F.filter(F.split(F.array_join(kept, "\n"), "\n(?=diff --git )"), header)
     path = lambda h: F.when(h.contains(" b/"), F.regexp_replace(h, "^.*? b/", "")).otherwise(h)
@@ -55,9 +56,8 @@ def changed_line_rows(patches: DataFrame, key: str, patch: str) -> DataFrame:
     row = lambda p, sign, line: F.struct(p.alias("path"), sign.alias("sign"), line.alias("line"))
 
     def rows_of(section):
-        parts = F.split(section, "\n")
-        inside = lambda p: F.concat(F.array(row(p, none, none)), F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda x: row(p, F.left(x, F.lit(1)), stripped(F.substring(x, 2, 2147483647)))))
-        return F.transform(F.array(path(parts[0])), inside)[0]
+        inside = lambda p, parts: F.concat(F.array(row(p, none, none)), F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda x: row(p, F.left(x, F.lit(1)), stripped(F.substring(x, 2, 2147483647)))))
+        return let(F.split(section, "\n"), lambda parts: let(path(parts[0]), lambda p: inside(p, parts)))
 
     found = patches.select(F.col(key), F.explode(F.flatten(F.transform(sections, rows_of))).alias("r")).select(key, "r.*")
     return found.groupBy(key, "path", "sign", "line").agg(F.count(F.lit(1)).alias("copies"))
