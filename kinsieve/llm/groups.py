@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinsieve.plans.lineage import cut, lookup
+from kinsieve.plans.lineage import lookup, measured
 
 #: Keys with more rows than this are hot if they have more than a quarter of a partition's fair share; with few partitions, if they have
 #: more than this part of all rows. So a hot key never fills a task, and there are at most four of them for each partition.
@@ -52,24 +52,22 @@ def contract(edges: DataFrame, seed: int = 0, max_rounds: int = 200) -> DataFram
     Null ends and self-loops carry no link and are left out; an empty table gives no rows. Vertices may have any
     hashable type. Hub vertices are pre-aggregated map-side and their relabelling is a bounded broadcast (``lookup``).
     """
-    live = cut(_undirected(edges.select("a", "b")))
+    rows, hottest = F.count(F.lit(1)), F.max("weight")
+    live, size = measured(_undirected(edges.select("a", "b")), n=rows)
     partitions = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     maps: list[tuple[DataFrame, int]] = []
-    count = live.count()
-    while count:
+    while size["n"]:
         if len(maps) >= max_rounds:
             raise RuntimeError("contraction did not end")
         order = lambda c: F.struct(F.xxhash64(c, F.lit(seed + len(maps))).alias("h"), c.alias("v"))
         both = live.select("a", "b").unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hooks = both.groupBy("a").agg(F.min(order(F.col("b"))).alias("m"), F.count(F.lit(1)).alias("weight"))
-        hooks = cut(hooks.select(F.col("a").alias("vertex"), F.least(F.col("m"), order(F.col("a")))["v"].alias("to"), "weight"))
-        vertices, hottest = hooks.agg(F.count(F.lit(1)), F.max("weight")).head()
-        maps.append((hooks, vertices))
-        above = _hot_above(count, partitions)
-        step = lookup(live.withColumnRenamed("a", "vertex"), hooks, "vertex", above, hottest).select(F.col("to").alias("a"), F.col("b").alias("vertex"))
-        step = lookup(step, hooks, "vertex", above, hottest).select("a", F.col("to").alias("b"))
-        live = cut(_undirected(step))
-        count = live.count()
+        hooks, held = measured(hooks.select(F.col("a").alias("vertex"), F.least(F.col("m"), order(F.col("a")))["v"].alias("to"), "weight"), n=rows, w=hottest)
+        maps.append((hooks, held["n"]))
+        above = _hot_above(size["n"], partitions)
+        step = lookup(live.withColumnRenamed("a", "vertex"), hooks, "vertex", above, held["w"]).select(F.col("to").alias("a"), F.col("b").alias("vertex"))
+        step = lookup(step, hooks, "vertex", above, held["w"]).select("a", F.col("to").alias("b"))
+        live, size = measured(_undirected(step), n=rows)
     if not maps:
         return live.select(F.col("a").alias("vertex"), F.col("b").alias("root"))
     roots = maps[-1][0].select("vertex", F.col("to").alias("root"))
@@ -77,8 +75,8 @@ def contract(edges: DataFrame, seed: int = 0, max_rounds: int = 200) -> DataFram
         # a vertex that later rounds don't know was alone after its round: its hook is its root
         weights = earlier.groupBy("to").agg(F.count(F.lit(1)).alias("weight"))
         known = roots.select(F.col("vertex").alias("to"), "root")
-        sized = cut(weights.join(known, "to", "left").select("to", F.coalesce("root", "to").alias("root"), "weight"))
-        roots = lookup(earlier.select("vertex", "to"), sized, "to", _hot_above(vertices, partitions)).select("vertex", "root")
+        sized, held = measured(weights.join(known, "to", "left").select("to", F.coalesce("root", "to").alias("root"), "weight"), w=hottest)
+        roots = lookup(earlier.select("vertex", "to"), sized, "to", _hot_above(vertices, partitions), held["w"] or 0).select("vertex", "root")
     return roots
 
 
@@ -87,10 +85,11 @@ def groups(records: DataFrame, edges: DataFrame, seed: int = 0) -> DataFrame:
 
     ``records`` (record_id) may repeat; records without edges stand alone. Rows whose id is null are no records.
     """
-    roots = cut(contract(edges, seed))
-    smallest = roots.groupBy("root").agg(F.min("vertex").alias("group_id"), F.count(F.lit(1)).alias("weight"))
+    rows = F.count(F.lit(1))
     partitions = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    linked = lookup(roots, smallest, "root", _hot_above(roots.count(), partitions)).select(F.col("vertex").alias("record_id"), "group_id")
+    roots, size = measured(contract(edges, seed), n=rows)
+    smallest, held = measured(roots.groupBy("root").agg(F.min("vertex").alias("group_id"), rows.alias("weight")), w=F.max("weight"))
+    linked = lookup(roots, smallest, "root", _hot_above(size["n"], partitions), held["w"] or 0).select(F.col("vertex").alias("record_id"), "group_id")
     alone = records.where(F.col("record_id").isNotNull()).select("record_id").distinct().join(linked.select("record_id"), "record_id", "left_anti")
     return linked.unionByName(alone.select("record_id", F.col("record_id").alias("group_id")))
 
