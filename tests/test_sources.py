@@ -1,5 +1,8 @@
 import json
 
+import pytest
+from pyspark.sql import functions as F
+
 from kinsieve.plans import audits
 from kinsieve.sources import readers, writers
 from kinsieve.streaming.filters import ngram_stream
@@ -79,3 +82,34 @@ def test_stream_matches_batch(spark, sf_dir, tmp_path):
     run.stop()
     batch = ngram_stream(docs, "doc_id", "text", items, "item_id", "t", 8)
     assert sorted(map(tuple, spark.table("hits").collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_late_texts_and_optional_rows(spark):
+    rows = spark.createDataFrame([(1, "a", "x"), (2, None, "y"), (2, "b", "y"), (3, "c", "z")], "id long, text string, key string")
+    found = spark.createDataFrame([(2,), (2,), (None,), (9,)], "id long")
+    assert sorted((r.id, r.text or "") for r in readers.late(found, rows, "id", ["text"]).collect()) == [(2, ""), (2, "b")]
+    got = readers.with_optional(spark.createDataFrame([("x",), ("q",)], "key string"), rows.where("id = 1").select("key", "text"), "key")
+    assert sorted((r.key, r.text, r.there) for r in got.collect()) == [("q", None, False), ("x", "a", True)]
+
+
+def test_summaries_are_never_cut(spark):
+    assert len(writers.summary_json({"a": spark.range(50)}, most=50)["a"]) == 50
+    with pytest.raises(ValueError):
+        writers.summary_json({"a": {"b": spark.range(51)}}, most=50)
+
+
+def test_written_tables_can_be_cleared(spark):
+    from kinsieve.plans import lineage
+
+    lineage.cleared(spark)
+    kept = lineage.written(spark.range(10))
+    assert kept.count() == 10 and lineage.cleared(spark) == 1 and lineage.cleared(spark) == 0
+
+
+def test_measured_cut(spark):
+    from kinsieve.plans import lineage
+
+    df, sums = lineage.measured(spark.range(10), n=F.count(F.lit(1)), top=F.max("id"))
+    assert df.count() == 10 and sums == {"n": 10, "top": 9}
+    none, sums = lineage.measured(spark.range(10).where("id > 99"), n=F.count(F.lit(1)), top=F.max("id"))
+    assert none.count() == 0 and sums == {"n": 0, "top": None}
