@@ -104,17 +104,17 @@ class Part:
             row[: len(w)] = w
         self.rows = distinct(rows)
 
-    def speaking(self, ids: np.ndarray, weight: np.ndarray, floor: float) -> tuple[np.ndarray, np.ndarray]:
+    def speaking(self, ids: np.ndarray, weight: np.ndarray, floor: float, any_word: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """(starts, passages x DOC_WORDS numbers, filled up with -1) of a document that may hold a part of a leak: with a word that is the own one of an item of which the document
-        has as many own words as a leak keeps, and of at least the energy ``floor``."""
+        has as many own words as a leak keeps, and of at least the energy ``floor``. With ``any_word`` the energy alone decides."""
         known = ids >= 0
         words, place = np.unique(ids[known], return_inverse=True)
         owned = self.owned[words]
         enough = np.bincount(owned[owned >= 0], minlength=len(self.least_own)) >= np.maximum(self.least_own, 1)
-        if not enough.any():
+        if not (any_word and len(words)) and not enough.any():
             return np.empty(0, np.int64), np.empty((0, DOC_WORDS), np.int32)
         speaks, energy = np.zeros(len(ids) + 1, np.int64), np.zeros(len(ids) + 1)
-        speaks[1:][known] = np.append(enough, False)[owned].any(axis=1)[place]
+        speaks[1:][known] = (np.append(enough, False)[owned].any(axis=1) | any_word)[place]
         energy[1:][known] = (weight[words] ** 2)[place]
         speaks, energy = speaks.cumsum(), energy.cumsum()
         starts = passage_starts(len(ids))
@@ -240,7 +240,7 @@ def latent(docs: DataFrame, part: Part, weight: np.ndarray, rank: int = RANK, fi
         """The documents' passages' part of A^T (A q)."""
 
         def make(out, batch):
-            held = [part.speaking(local[np.frombuffer(v, np.int32)], weight, floor)[1] for v in batch.column(1).to_pylist()]
+            held = [part.speaking(local[np.frombuffer(v, np.int32)], weight, floor, any_word=True)[1] for v in batch.column(1).to_pylist()]
             p = np.concatenate([np.empty((0, DOC_WORDS), np.int32), *held])
             for k in range(0, len(p), 4096):
                 x = distinct(p[k : k + 4096])
