@@ -2,22 +2,30 @@
 
 Method: randomised graph contraction. In every round each vertex hooks to the member of its closed neighbourhood
 that comes first in a fresh hash order; edges are relabelled and deduplicated, and the maps of all rounds are expanded
-backwards once no edge is left. A round removes a constant share of the vertices in expectation, so that the number of
-rounds grows with the logarithm of the longest chain, not with its length.
+backwards. A round removes a constant share of the vertices in expectation, so that the number of rounds grows with the
+logarithm of the longest chain, not with its length. Once the edges that are left fit one task, that task joins them all
+by union-find: of the rounds, those over small tables cost the driver as much as the others and do next to nothing.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kinsieve.plans.lineage import lookup, measured
 
 #: Keys with more rows than this are hot if they have more than a quarter of a partition's fair share; with few partitions, if they have
 #: more than this part of all rows. So a hot key never fills a task, and there are at most four of them for each partition.
 HOT_ROWS, HOT_SHARE = 20_000, 200
+#: Edges that one task joins at once, whatever the size of the input: some 100 MB with ids of 50 characters.
+REST_EDGES = 250_000
+#: Types whose equality is the same in Arrow as in Spark; vertices of others are contracted until no edge is left.
+_PLAIN = (T.StringType(), T.BinaryType(), T.LongType(), T.IntegerType(), T.ShortType(), T.ByteType())
 
 
 def _hot_above(rows: int, partitions: int = 1) -> int:
@@ -46,6 +54,26 @@ def _undirected(pairs: DataFrame) -> DataFrame:
     return kept.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All edges (a, b) of a table -> (vertex, root) of every vertex, by union-find."""
+    held = [batch for batch in batches if batch.num_rows]
+    if not held:
+        return
+    coded = pa.concat_arrays([batch.column(end) for end in (0, 1) for batch in held]).dictionary_encode()
+    ends, parent = coded.indices.to_pylist(), list(range(len(coded.dictionary)))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for x, y in zip(ends[: len(ends) // 2], ends[len(ends) // 2 :]):
+        x, y = find(x), find(y)
+        parent[max(x, y)] = min(x, y)
+    roots = coded.dictionary.take(pa.array(map(find, range(len(parent))), pa.int32()))
+    yield from pa.table({"vertex": coded.dictionary, "root": roots}).to_batches(max_chunksize=10_000)
+
+
 def contract(edges: DataFrame, seed: int = 0, max_rounds: int = 200) -> DataFrame:
     """(vertex, root) for every vertex of ``edges`` (a, b): equal roots mean the same component.
 
@@ -56,7 +84,9 @@ def contract(edges: DataFrame, seed: int = 0, max_rounds: int = 200) -> DataFram
     live, size = measured(_undirected(edges.select("a", "b")), n=rows)
     partitions = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     maps: list[tuple[DataFrame, int]] = []
-    while size["n"]:
+    kind = live.schema["a"].dataType
+    rest = REST_EDGES if kind in _PLAIN and live.schema["b"].dataType == kind else 0
+    while size["n"] > rest:
         if len(maps) >= max_rounds:
             raise RuntimeError("contraction did not end")
         order = lambda c: F.struct(F.xxhash64(c, F.lit(seed + len(maps))).alias("h"), c.alias("v"))
@@ -68,10 +98,13 @@ def contract(edges: DataFrame, seed: int = 0, max_rounds: int = 200) -> DataFram
         step = lookup(live.withColumnRenamed("a", "vertex"), hooks, "vertex", above, held["w"]).select(F.col("to").alias("a"), F.col("b").alias("vertex"))
         step = lookup(step, hooks, "vertex", above, held["w"]).select("a", F.col("to").alias("b"))
         live, size = measured(_undirected(step), n=rows)
-    if not maps:
-        return live.select(F.col("a").alias("vertex"), F.col("b").alias("root"))
-    roots = maps[-1][0].select("vertex", F.col("to").alias("root"))
-    for earlier, vertices in reversed(maps[:-1]):
+    if size["n"]:
+        roots = live.select("a", "b").coalesce(1).mapInArrow(_joined, T.StructType([T.StructField("vertex", kind), T.StructField("root", kind)]))
+    elif maps:
+        roots = maps.pop()[0].select("vertex", F.col("to").alias("root"))
+    else:
+        roots = live.select(F.col("a").alias("vertex"), F.col("b").alias("root"))
+    for earlier, vertices in reversed(maps):
         # a vertex that later rounds don't know was alone after its round: its hook is its root
         weights = earlier.groupBy("to").agg(F.count(F.lit(1)).alias("weight"))
         known = roots.select(F.col("vertex").alias("to"), "root")

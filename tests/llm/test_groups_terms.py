@@ -44,6 +44,27 @@ def test_long_chain_and_hub(spark, monkeypatch):
     assert set(got.values()) == {"c000", "h000"} and len(got) == 121 + 151
 
 
+@pytest.mark.parametrize(("rest", "kind"), [(0, "string"), (12, "string"), (1000, "long"), (1000, "struct<s:string>")])
+def test_rounds_and_rest_agree(spark, monkeypatch, rest, kind):
+    edges = [(i, i + 1) for i in range(20)] + [(100, 101 + i) for i in range(15)] + [(300, 301), (301, 300), (302, 302), (303, None)]
+    monkeypatch.setattr(groups, "HOT_ROWS", 10)
+    monkeypatch.setattr(groups, "REST_EDGES", rest)
+    name = {"long": lambda v: v, "string": lambda v: None if v is None else f"v{v:03}"}.get(kind, lambda v: None if v is None else (f"v{v:03}",))
+    df = spark.createDataFrame([(name(a), name(b)) for a, b in edges], f"a {kind}, b {kind}")
+    records = df.select(F.col("a").alias("record_id")).unionByName(df.select(F.col("b").alias("record_id")))
+    rows = groups.groups(records, df).collect()
+    want = union_find([302, 303], [e for e in edges if None not in e])
+    assert len(rows) == len(want) and {r.record_id: r.group_id for r in rows} == {name(a): name(b) for a, b in want.items()}
+
+
+def test_jobs_do_not_grow_with_chains_that_fit_a_task(spark, monkeypatch):
+    cuts, measured = [], groups.measured
+    monkeypatch.setattr(groups, "measured", lambda df, **sums: cuts.append(df) or measured(df, **sums))
+    df = spark.createDataFrame([(f"c{i:03}", f"c{i + 1:03}") for i in range(500)], "a string, b string")
+    assert {r.group_id for r in groups.groups(df.select(F.col("a").alias("record_id")), df).collect()} == {"c000"}
+    assert len(cuts) == 3
+
+
 def test_ids_of_rows(spark):
     rows = [("A;b ; ;", "\tC "), (None, None), ("", " ; "), ("x", None), ("b", "B")]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "l string, r string, ids string")
